@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 #: Words of the decontamination and licence contracts: A-Z lower-cased, then runs of these characters.
 #: Matched on the raw text, so that lower-casing can follow word by word.
-RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+RAW_WORD = r"[a-zA-Z0-9\x{80}-\x{10FFFF}]++"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
