@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from creasework.llm.decontaminate import op1_decontaminate
+from creasework.llm.packing import op4_pack
 from creasework.llm.simhash import op7_simhash
 
-QUERIES = {"op1_decontaminate": op1_decontaminate, "op7_simhash": op7_simhash}
+QUERIES = {"op4_pack": op4_pack, "op1_decontaminate": op1_decontaminate, "op7_simhash": op7_simhash}
 SQL: dict[str, str] = {}
