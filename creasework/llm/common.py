@@ -76,3 +76,14 @@ def components(edges: DataFrame) -> DataFrame:
         lower = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(lower, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(lower.select("a", F.col("m").alias("b")))
         at = settle(small.distinct(), "edges")
+
+
+def fold(doc_id: str = "doc_id") -> Column:
+    """crc32 of the id as text, modulo 3; rows of remainder 1 are held out (a null id is never held out)."""
+    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3
+
+
+def bounded_sample(df: DataFrame, per_class: int, label: str, counts: dict) -> DataFrame:
+    """About per_class rows of each value of label, chosen by a hash of doc_id; all of them where there are fewer."""
+    share = F.coalesce(*(F.when(F.col(label) == k, F.lit(min(1.0, per_class / n))) for k, n in counts.items() if n), F.lit(0.0))
+    return df.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000)) < share * 1_000_000)
