@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from creasework.llm.decontaminate import op1_decontaminate
+from creasework.llm.html import op3_html
 from creasework.llm.language import op5_language
 from creasework.llm.licences import op10_licences
 from creasework.llm.packing import op4_pack
@@ -10,6 +11,7 @@ from creasework.llm.sharding import op9_shards
 from creasework.llm.simhash import op7_simhash
 from creasework.llm.sketches import op2_fingerprints
 from creasework.llm.toxicity import op6_toxicity
+from creasework.llm.warc import op8_warc
 
-QUERIES = {"op2_fingerprints": op2_fingerprints, "op9_shards": op9_shards, "op10_licences": op10_licences, "op5_language": op5_language, "op6_toxicity": op6_toxicity, "op4_pack": op4_pack, "op1_decontaminate": op1_decontaminate, "op7_simhash": op7_simhash}
+QUERIES = {"op3_html": op3_html, "op8_warc": op8_warc, "op2_fingerprints": op2_fingerprints, "op9_shards": op9_shards, "op10_licences": op10_licences, "op5_language": op5_language, "op6_toxicity": op6_toxicity, "op4_pack": op4_pack, "op1_decontaminate": op1_decontaminate, "op7_simhash": op7_simhash}
 SQL: dict[str, str] = {}
