@@ -83,8 +83,8 @@ class Store:
     def ratings(self, tournament: str = "ALL", least: int = 10) -> None:
         bat = ratings.batting(self.read("career_bat"), self.read("chase_bat"), tournament, least)
         bowl = ratings.bowling(self.read("career_bowl"), tournament, least)
-        rated = ratings.overall(bat, bowl).withColumn("tournament", F.lit(tournament))
-        tables.overwrite_partitions(rated, f"{self.path}/ratings", ["tournament"])
+        # one partition's folder is replaced, also where nobody has enough innings
+        tables.overwrite(ratings.overall(bat, bowl), f"{self.path}/ratings/tournament={tournament}")
 
     def enrich(self, tournament: str = "ALL") -> None:
         rated = self.read("ratings").where(F.col("tournament") == tournament)

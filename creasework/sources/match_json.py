@@ -27,7 +27,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 
 def accepted(documents: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """T20 documents with a date of the covered years, once each, that are not known yet (source_id)."""
-    date = F.try_to_date(F.get("info.dates", F.lit(0)), F.lit("yyyy-MM-dd")) if hasattr(F, "try_to_date") else F.to_date(F.get("info.dates", F.lit(0)))
+    date = F.get("info.dates", F.lit(0)).try_cast("date")
     d = documents.withColumn("match_date", date)
     d = d.where((F.col("info.match_type") == C.MATCH_TYPE) & F.year("match_date").between(C.YEAR_FROM, C.YEAR_TO)).dropDuplicates(["source_id"])
     return d.join(known.select("source_id"), "source_id", "left_anti") if known is not None else d
