@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Words of the decontamination and licence contracts: A-Z lower-cased, then runs of these characters.
 #: Matched on the raw text, so that lower-casing can follow word by word.
@@ -38,6 +39,11 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def extended(docs: DataFrame, keep: list[str], added: str) -> T.StructType:
+    """The schema of the kept columns, whatever their names are, and of those that an operator adds."""
+    return T.StructType([docs.schema[c] for c in keep] + T.StructType.fromDDL(added).fields)
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z to a-z and nothing else (F.lower would also change other alphabets)."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

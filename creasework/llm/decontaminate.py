@@ -112,16 +112,15 @@ def decontaminate(docs: DataFrame, items: DataFrame, length: int = 10, max_share
     A document of which max_share of the words or more are hit goes; in the others the hit spans are cut, up to the
     next word, and n_chars is counted again. Documents without hits stay untouched.
     """
-    tagged = docs.withColumn("_uid", F.monotonically_increasing_id())
-    found = settle(hits(docs, items, length).where(F.size("spans") > 0).select(F.col("uid").alias("_uid"), "spans", "n_words"), "hits")
+    tagged = docs.select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("uid"))
+    found = settle(hits(docs, items, length).where(F.size("spans") > 0).select("uid", "spans", "n_words"), "hits")
     hit = F.aggregate("spans", F.lit(0), lambda n, s: n + s["end"] - s["start"])
-    gaps = F.split("text", RAW_WORD)  # gap i stands before word i
-    words = raw_words("text")
-    pieces = F.zip_with(gaps, F.concat(words, F.array(F.lit(""))), lambda g, w: F.struct(g.alias("g"), w.alias("w")))
-    cut = F.filter(F.transform(pieces, lambda p, i: F.struct(p["g"].alias("g"), p["w"].alias("w"), F.exists("spans", lambda s: (s["start"] <= i) & (i < s["end"])).alias("gone"))), lambda p: ~p["gone"])
-    text = F.array_join(F.transform(cut, lambda p: F.concat(p["g"], p["w"])), "")
-    joined = tagged.join(found, "_uid", "left").where(F.col("spans").isNull() | (hit < max_share * F.col("n_words")))
-    out = joined.withColumn("text", F.when(F.col("spans").isNull(), F.col("text")).otherwise(text))
+    words, gaps = raw_words(F.col("row.text")), F.split("row.text", RAW_WORD)  # gap i stands before word i
+    pieces = F.zip_with(gaps, F.concat(words, F.array(F.lit(""))), lambda g, w: F.concat(g, w))
+    kept = F.filter(pieces, lambda p, i: ~F.exists("spans", lambda s: (s["start"] <= i) & (i < s["end"])))
+    text = F.array_join(kept, "")
+    joined = tagged.join(found, "uid", "left").where(F.col("spans").isNull() | (hit < max_share * F.col("n_words")))
+    row = F.col("row").withField("text", text)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("spans").isNull(), F.col("n_chars")).otherwise(F.length("text")))
-    return out.select(docs.columns)
+        row = row.withField("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))
+    return joined.select(F.when(F.col("spans").isNull(), F.col("row")).otherwise(row).alias("row")).select("row.*")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creasework.llm.common import table
+from creasework.llm.common import extended, table
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
 _ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
@@ -219,8 +219,7 @@ def extract(pages: DataFrame, keep: list[str]) -> DataFrame:
             texts = [main_text(h) for h in b.column("_html").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*keep, "text", "n_chars"])
 
-    kinds = dict(pages.dtypes)
-    return pages.select(*keep, F.col("html").alias("_html")).mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", text string, n_chars long")
+    return pages.select(*keep, F.col("html").alias("_html")).mapInArrow(run, extended(pages, keep, "text string, n_chars long"))
 
 
 def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creasework.llm.common import bounded_sample, fold, table
+from creasework.llm.common import bounded_sample, extended, fold, table
 
 #: Labelled texts of a language that the model is fitted on, at most (chosen by hash, whole texts).
 SAMPLE = 1500
@@ -45,10 +45,6 @@ def trigram_cells(text: str) -> np.ndarray:
     return ((mixed ^ (mixed >> np.uint32(15))) % np.uint32(CELLS)).astype(np.int64)
 
 
-def has_letter(text: str | None) -> bool:
-    return bool(text) and any(map(str.isalpha, text))
-
-
 def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
     """(languages, log-likelihoods of each cell in each language) from documents that are not held out."""
     rows = docs.where((fold() != 1) & F.col("lang").isNotNull())
@@ -101,7 +97,7 @@ def languages_of(cells: np.ndarray, logs: np.ndarray) -> tuple[np.ndarray, np.nd
     return chosen, share
 
 
-def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: list[str]) -> DataFrame:
+def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: list[str], text: str = "text") -> DataFrame:
     """The kept columns, lang_pred, score and the proportions of each row's languages."""
     langs, logs = model
     names = np.array(langs, object)
@@ -109,8 +105,8 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: list[st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             best, score, mix = [], [], []
-            for text in b.column("_text").to_pylist():
-                cells = trigram_cells(text) if text and langs else ()
+            for t in b.column("_text").to_pylist():
+                cells = trigram_cells(t) if t and langs else ()
                 if not len(cells):
                     best.append("und"), score.append(0.0), mix.append([])
                     continue
@@ -123,9 +119,8 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: list[st
             kind = pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())]))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(best, pa.string()), pa.array(score, pa.float64()), pa.array(mix, kind)], names=[*keep, "lang_pred", "score", "mixture"])
 
-    kinds = dict(docs.dtypes)
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep)
-    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, schema + ", lang_pred string, score double, mixture array<struct<lang:string,share:double>>")
+    schema = extended(docs, keep, "lang_pred string, score double, mixture array<struct<lang:string,share:double>>")
+    return docs.select(*keep, F.col(text).alias("_text")).mapInArrow(run, schema)
 
 
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creasework.llm.common import table
+from creasework.llm.common import extended, table
 
 #: Base phrases and their labels. Fixed by contract.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -128,9 +128,8 @@ def scan(docs: DataFrame, keep: list[str]) -> DataFrame:
             kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64(), pa.list_(pa.struct([("label", pa.string()), ("first_word", pa.int32()), ("last_word", pa.int32()), ("edits", pa.int32())]))]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *(pa.array(c, t) for c, t in zip(out, kinds, strict=True))], names=[*keep, *names])
 
-    types = dict(docs.dtypes)
-    schema = ", ".join(f"`{c}` {types[c]}" for c in keep)
-    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, schema + ", n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, matches array<struct<label:string,first_word:int,last_word:int,edits:int>>")
+    added = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, matches array<struct<label:string,first_word:int,last_word:int,edits:int>>"
+    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, extended(docs, keep, added))
 
 
 def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -318,4 +318,5 @@ def dedup(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFra
     named = settle(named, "roots")
     first = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "uid"))["uid"].alias("first"), F.count("*").alias("n")).where("n > 1")
     gone = named.join(first, "root").where("uid <> first").select("uid")
-    return docs.withColumn("_uid", F.monotonically_increasing_id()).join(gone.withColumnRenamed("uid", "_uid"), "_uid", "left_anti").drop("_uid").select(docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("uid"))
+    return rows.join(gone, "uid", "left_anti").select("row.*")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creasework.llm.common import bounded_sample, fold, settle, table
+from creasework.llm.common import bounded_sample, extended, fold, settle, table
 
 #: Labelled texts of each label that the weights are fitted on, at most.
 SAMPLE = 8000
@@ -166,15 +166,15 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     return model
 
 
-def scan_texts(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
+def scan_texts(docs: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
     """The kept columns, score, predicted and the significant passages (tokens first..last, expected number < 0.05)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model.__post_init__()
         for b in batches:
             scores, passages = [], []
-            for text in b.column("_text").to_pylist():
-                n, segments = model.segments(text)
+            for t in b.column("_text").to_pylist():
+                n, segments = model.segments(t)
                 scores.append(model.score(model.evidence(n, segments)))
                 expected = [(a, e, s, model.k * n * float(np.exp(-s))) for a, e, s in segments]
                 passages.append([{"first": a, "last": e - 1, "score": s, "expected": x} for a, e, s, x in expected if x < 0.05])
@@ -182,9 +182,8 @@ def scan_texts(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
             predicted = [int(s >= THRESHOLD) for s in scores]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(scores, pa.float64()), pa.array(predicted, pa.int32()), pa.array(passages, kind)], names=[*keep, "score", "predicted", "passages"])
 
-    kinds = dict(docs.dtypes)
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep)
-    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, schema + ", score double, predicted int, passages array<struct<first:int,last:int,score:double,expected:double>>")
+    schema = extended(docs, keep, "score double, predicted int, passages array<struct<first:int,last:int,score:double,expected:double>>")
+    return docs.select(*keep, F.col(text).alias("_text")).mapInArrow(run, schema)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

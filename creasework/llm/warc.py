@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creasework.llm.common import table
+from creasework.llm.common import extended, table
 from creasework.llm.html import flowed, text_nodes
 
 #: Capture date of pages that carry none.
@@ -93,9 +93,8 @@ def derivatives(source: DataFrame, keep: list[str]) -> DataFrame:
                 twice = pa.array([i // 2 for i in range(2 * len(part))])
                 yield pa.RecordBatch.from_arrays([*(part.column(c).take(twice) for c in keep), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], names=[*keep, *names])
 
-    types = dict(source.dtypes)
     strings = ", ".join(f"{n} string" for n in names[:8])
-    schema = ", ".join([*(f"`{c}` {types[c]}" for c in keep), strings, "content_length long, source_headers string, content string, record binary"])
+    schema = extended(source, keep, f"{strings}, content_length long, source_headers string, content string, record binary")
     return source.select(*keep, *_HEADERS, "payload").mapInArrow(run, schema)
 
 
