@@ -28,6 +28,9 @@ _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?
 _ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
 _PART = re.compile(r"[a-z]+")
+_CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
+_HIDDEN = re.compile(r"(?<![-\w])hidden(?![-\w])|display\s*:\s*none", re.I)
+_STATE = frozenset("has no with without is not".split())
 
 # Fixed values of HTML: elements without content, with raw text, and those that break a line.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -37,7 +40,7 @@ CLOSES_P = frozenset("address article aside blockquote details div dl fieldset f
 #: Elements and names (in class, id or role) that are never part of an article.
 NOT_ARTICLE = frozenset("head nav header footer aside form script style noscript iframe template textarea select button svg canvas object dialog menu title".split())
 NOT_ARTICLE_NAMES = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner menu nav navbar navigation breadcrumb breadcrumbs header masthead footer foot "
+    "ad ads adv advert adverts advertisement advertising adsense adsbygoogle sponsor sponsored promo promotion banner menu nav navbar navigation breadcrumb breadcrumbs header masthead footer foot "
     "sidebar aside rail widget widgets cookie cookies consent notice notices gdpr alert popup modal overlay newsletter subscribe subscription signup login comment comments commentlist "
     "reply replies respond disqus discussion share sharing social related recommended recommendations toolbar pagination pager search form skip copyright legal disclaimer contentinfo complementary".split()
 )
@@ -63,17 +66,22 @@ class Node:
 
 
 def _element(tag: str, attributes: str, parent: Element | None) -> Element:
-    names: set[str] = set()
+    whole: set[str] = set()
+    parts: set[str] = set()
     if attributes:
         for name, *values in _ATTRIBUTE.findall(attributes):
             if name.lower() in ("class", "id", "role", "itemprop"):
                 for value in "".join(values).split():
-                    names.add(value.lower())
-                    names.update(_PART.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value).lower()))
-    core = tag in ("html", "body", "article", "main")
-    dropped = bool(parent and parent.dropped) or tag in NOT_ARTICLE or (not core or "comment" in names) and bool(names & NOT_ARTICLE_NAMES)
-    marked = 0 if dropped else 2 if tag in ("article", "main") or names & {"main", "articlebody"} else 1 if tag != "body" and names & ARTICLE_NAMES else 0
-    label = ".".join([tag, *sorted(names)[:2]])
+                    whole.add(value.lower())
+                    own = _PART.findall(_CAMEL.sub("-", value).lower())
+                    if not _STATE & set(own):  # "has-sidebar" or "no-comments" tell of a state, not of what it is
+                        parts.update(own)
+    names = whole | parts
+    # html, body and articles are kept, whatever else their names tell, unless they are a comment
+    unwanted = "comment" in whole if tag in ("html", "body", "article", "main") else bool(names & NOT_ARTICLE_NAMES)
+    dropped = bool(parent and parent.dropped) or tag in NOT_ARTICLE or unwanted or bool(attributes and _HIDDEN.search(attributes))
+    marked = 0 if dropped else 2 if tag in ("article", "main") or whole & {"main", "articlebody"} else 1 if tag != "body" and names & ARTICLE_NAMES else 0
+    label = ".".join([tag, *sorted(whole)[:2]])
     return Element(tag, parent, f"{parent.path}/{label}" if parent else label, dropped, marked, parent.depth + 1 if parent else 0)
 
 
