@@ -119,7 +119,7 @@ def _context(g: League) -> DataFrame:
 
 PLANS: dict[str, Callable[[League], DataFrame]] = {
     "ball_context": _context,
-    "innings_totals": lambda g: g.innings,
+    "innings_totals": lambda g: g.innings.withColumn("chase_successful", F.col("chase_successful").cast("int")),
     "batter_innings": lambda g: g.batter_innings,
     "bowler_innings": lambda g: g.bowler_innings,
     "milestones": lambda g: balls.milestones(g.batter_innings, g.bowler_innings, SMALL_RUNS, SMALL_HAULS),

@@ -139,7 +139,7 @@ SELECTS = {
     "ball_context": """select innings_id, ball_number, phase, is_legal, is_dot, case when is_legal then sum(is_legal::int) over (partition by innings_id, over_number order by ball_number) else 0 end as ball_in_over, cum_runs, cum_legal,
  case when innings_number = 2 and target is not null then round_even(cum_runs / greatest(1, cum_legal) * 6, 2) end as crr_at_ball, case when innings_number = 2 and target is not null then round_even(greatest(0, target - cum_runs) / greatest(1, 120 - cum_legal) * 6, 2) end as req_rate_at_ball
  from (select *, sum(total_runs) over (partition by innings_id order by ball_number) as cum_runs, sum(is_legal::int) over (partition by innings_id order by ball_number) as cum_legal from balls)""",
-    "innings_totals": "select * from innings",
+    "innings_totals": "select * replace (chase_successful::int as chase_successful) from innings",
     "batter_innings": "select * from batter_innings",
     "bowler_innings": "select * from bowler_innings",
     "milestones": """select * from (select match_id, innings_id, batter_id as player_id, case when runs >= 30 then 'hundred' when runs >= 20 then 'fifty' when runs >= 10 then 'thirty' when runs = 0 and not not_out then 'duck' end as milestone, runs as value from batter_innings
