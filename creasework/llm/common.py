@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,6 +46,13 @@ def extended(docs: DataFrame, keep: list[str], added: str) -> T.StructType:
     return T.StructType([docs.schema[c] for c in keep] + T.StructType.fromDDL(added).fields)
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The batches in smaller ones, so that a worker holds few texts as Python objects at a time."""
+    for b in batches:
+        for at in range(0, len(b), rows):
+            yield b.slice(at, rows)
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z to a-z and nothing else (F.lower would also change other alphabets)."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

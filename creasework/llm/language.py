@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creasework.llm.common import bounded_sample, extended, fold, table
+from creasework.llm.common import bounded_sample, extended, fold, slices, table
 
 #: Labelled texts of a language that the model is fitted on, at most (chosen by hash, whole texts).
 SAMPLE = 1500
@@ -103,7 +103,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: list[st
     names = np.array(langs, object)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             best, score, mix = [], [], []
             for t in b.column("_text").to_pylist():
                 cells = trigram_cells(t) if t and langs else ()

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creasework.llm.common import extended, table
+from creasework.llm.common import extended, slices, table
 
 #: Base phrases and their labels. Fixed by contract.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -102,7 +102,7 @@ def scan(docs: DataFrame, keep: list[str]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "matches"]
-        for b in batches:
+        for b in slices(batches):
             out: list[list] = [[] for _ in names]
             for text in b.column("_text").to_pylist():
                 words = [w for w in plain_words(text) if w]

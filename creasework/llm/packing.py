@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creasework.llm.common import ranked, settle, table
+from creasework.llm.common import ranked, settle, slices, table
 
 CAPACITY = 4096
 END = 1
@@ -42,7 +42,7 @@ class WordTokens:
     """
 
     #: Remembered words at most; when it is full, memory starts anew.
-    WORDS = 600_000
+    WORDS = 300_000
     PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+|\n")
     #: Where Python and the tokenizer agree on letters, digits, white space and lower case.
     SIMPLE = re.compile(r"[\n\t\r\x0b\x0c\x20-\x84\x86-\xa9\xab-\xb1\xb4-\xb8\xbb\xbf-įı-ſ]*")
@@ -114,7 +114,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, end, step = WordTokens(tokenizer), array.array("I", [END]).tobytes(), 4 * capacity
-        for batch in batches:
+        for batch in slices(batches, 1024):
             docs_, rows, texts = (batch.column(i).to_pylist() for i in range(3))
             out: list[list] = [[] for _ in range(6)]
             for at in range(0, len(texts), 256):

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creasework.llm.common import components, settle, table
+from creasework.llm.common import components, settle, slices, table
 
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: Rows of a bucket that are compared at once; larger buckets are cut first.
@@ -63,7 +63,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """(doc_id, w0): the 64-bit fingerprint of each row's whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             prints = [majority(shingle_hashes(t, shingle)) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(prints, pa.int64())], names=["doc_id", "w0"])
 
@@ -258,7 +258,7 @@ def text_signatures(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """(doc_id, uid, w0..w3, bands): 256-bit fingerprint and minhash bands of the set of shingles; uid numbers the rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             prints, bands = [], []
             for t in b.column("text").to_pylist():
                 h = np.unique(shingle_hashes(t, shingle))

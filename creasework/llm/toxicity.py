@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creasework.llm.common import bounded_sample, extended, fold, settle, table
+from creasework.llm.common import bounded_sample, extended, fold, settle, slices, table
 
 #: Labelled texts of each label that the weights are fitted on, at most.
 SAMPLE = 8000
@@ -50,7 +50,7 @@ class Model:
         """The weight of the most specific significant feature, else 0."""
         found = self.known.get(word)
         if found is None:
-            if len(self.known) > 500_000:
+            if len(self.known) > 200_000:
                 self.known.clear()
             tries = (f"{word}$", *(word[:n] for n in reversed(STARTS) if len(word) >= n))
             found = self.known[word] = next((self.weights[t] for t in tries if t in self.weights), 0.0)
@@ -145,7 +145,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     halves = {part: _weights(tokens, part) for part in (0, 1)}
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             n, best = [], []
             for part, text in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
                 size, segments = halves[part].segments(text)
@@ -171,7 +171,7 @@ def scan_texts(docs: DataFrame, model: Model, keep: list[str], text: str = "text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model.__post_init__()
-        for b in batches:
+        for b in slices(batches):
             scores, passages = [], []
             for t in b.column("_text").to_pylist():
                 n, segments = model.segments(t)
