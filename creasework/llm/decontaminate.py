@@ -112,14 +112,14 @@ def decontaminate(docs: DataFrame, items: DataFrame, length: int = 10, max_share
     A document of which max_share of the words or more are hit goes; in the others the hit spans are cut, up to the
     next word, and n_chars is counted again. Documents without hits stay untouched.
     """
-    tagged = docs.select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("uid"))
-    found = settle(hits(docs, items, length).where(F.size("spans") > 0).select("uid", "spans", "n_words"), "hits")
+    tagged = settle(docs.select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("key")), "rows")  # numbered once
+    found = settle(hits(tagged.select("key", "row.text"), items, length, ["key"]).where(F.size("spans") > 0).select("key", "spans", "n_words"), "hits")
     hit = F.aggregate("spans", F.lit(0), lambda n, s: n + s["end"] - s["start"])
     words, gaps = raw_words(F.col("row.text")), F.split("row.text", RAW_WORD)  # gap i stands before word i
     pieces = F.zip_with(gaps, F.concat(words, F.array(F.lit(""))), lambda g, w: F.concat(g, w))
     kept = F.filter(pieces, lambda p, i: ~F.exists("spans", lambda s: (s["start"] <= i) & (i < s["end"])))
     text = F.array_join(kept, "")
-    joined = tagged.join(found, "uid", "left").where(F.col("spans").isNull() | (hit < max_share * F.col("n_words")))
+    joined = tagged.join(found, "key", "left").where(F.col("spans").isNull() | (hit < max_share * F.col("n_words")))
     row = F.col("row").withField("text", text)
     if "n_chars" in docs.columns:
         row = row.withField("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))

@@ -12,7 +12,8 @@ Two searches feed the buckets:
   (a leaf has few free bits, so few distinct fingerprints fit in it).
 * ``near_texts`` is for similarity of shingle sets (five words, 0.8 by default), where the radius is too wide for
   pigeonhole: buckets are minhash bands, the comparison uses 256-bit fingerprints, and an overfull band is first
-  linked to a few leaders and what is left is cut by further bands.
+  linked to a few leaders and what is left is cut by further bands; what is crowded even then is compared block by
+  block.
 
 Null texts count as empty. Texts without words have the fingerprint zero and link like any other. Repeated rows, null
 ids and extra columns are allowed; an empty table gives an empty result.
@@ -271,7 +272,7 @@ def text_signatures(docs: DataFrame, shingle: int = 5) -> DataFrame:
             words = np.array(prints, np.int64).reshape(len(prints), 4)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("uid"), *(pa.array(words[:, i]) for i in range(4)), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "uid", "w0", "w1", "w2", "w3", "bands"])
 
-    rows = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("uid"))
+    rows = docs.select("doc_id", "text", "uid" if "uid" in docs.columns else F.monotonically_increasing_id().alias("uid"))
     return rows.mapInArrow(run, "doc_id long, uid long, w0 long, w1 long, w2 long, w3 long, bands array<long>")
 
 
@@ -306,17 +307,27 @@ def near_texts(items: DataFrame, similarity: float = 0.8, bucket_rows: int = 512
         left = left.select("node", "path", "key", "bands", step.alias("step"))
         band = (F.col("path") % BANDS + F.col("step")) % BANDS
         rows = left.select("node", (F.col("path") + BANDS * F.col("step") * 3**level + F.col("step")).cast("int").alias("path"), F.xxhash64("key", F.element_at("bands", band + 1)).alias("key"))
-    return links
+    # what is still crowded is compared whole: each bucket in blocks, each pair of blocks in a bucket of its own
+    crowded = rows.groupBy("path", "key").agg(F.count("*").alias("n")).where("n > 1")
+    rows = settle(rows.join(crowded, ["path", "key"]), "crowded")
+    if rows.isEmpty():
+        return links
+    blocks = F.ceil(F.col("n") * 2 / bucket_rows).cast("int")
+    rows = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    rows = rows.select("node", "path", "key", "own", other)
+    rows = rows.select("node", "path", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"))
+    return links.union(_compare(rows.join(prints, "node"), 4, radius))
 
 
 def dedup(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs without near copies: of each group that links connect, the row with the smallest doc_id stays."""
-    signed = settle(text_signatures(docs, shingle).withColumn("node", F.xxhash64("w0", "w1", "w2", "w3")), "signatures")
+    numbered = settle(docs.select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("uid")), "rows")  # numbered once
+    signed = settle(text_signatures(numbered.select("row.doc_id", "row.text", "uid"), shingle).withColumn("node", F.xxhash64("w0", "w1", "w2", "w3")), "signatures")
     items = signed.groupBy("node").agg(*(F.min(c).alias(c) for c in ("w0", "w1", "w2", "w3", "bands")))
     roots = components(near_texts(items, similarity))
     named = signed.select("doc_id", "uid", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = settle(named, "roots")
     first = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "uid"))["uid"].alias("first"), F.count("*").alias("n")).where("n > 1")
     gone = named.join(first, "root").where("uid <> first").select("uid")
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("uid"))
-    return rows.join(gone, "uid", "left_anti").select("row.*")
+    return numbered.join(gone, "uid", "left_anti").select("row.*")

@@ -111,6 +111,16 @@ def test_crowded_bands(spark):
     assert roots == 1
 
 
+def test_crowded_to_the_last_band(spark):
+    """Texts far apart that share all bands, without and with a near pair: compared block by block, none is lost."""
+    rnd = random.Random(9)
+    prints = [[rnd.getrandbits(64) - (1 << 63) for _ in range(4)] for _ in range(60)]
+    prints += [[p[0] ^ 1, *p[1:]] for p in prints[:20]]
+    items = spark.createDataFrame([(i, *p, [1] * simhash.BANDS) for i, p in enumerate(prints)], "node long, w0 long, w1 long, w2 long, w3 long, bands array<long>")
+    links = {(max(r), min(r)) for r in simhash.near_texts(items, bucket_rows=8, levels=2, leaders=2).collect()}
+    assert links == {(60 + i, i) for i in range(20)}
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.simhash_components(docs).count() == 0 and simhash.dedup(docs).count() == 0
