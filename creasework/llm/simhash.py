@@ -328,6 +328,6 @@ def dedup(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFra
     roots = components(near_texts(items, similarity))
     named = signed.select("doc_id", "uid", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = settle(named, "roots")
-    first = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "uid"))["uid"].alias("first"), F.count("*").alias("n")).where("n > 1")
-    gone = named.join(first, "root").where("uid <> first").select("uid")
+    first = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "uid"))["uid"].alias("uid"))
+    gone = named.join(first, "uid", "left_anti").select("uid")  # by the unique uid, so that no group meets in one task
     return numbered.join(gone, "uid", "left_anti").select("row.*")
