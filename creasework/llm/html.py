@@ -15,6 +15,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from html import unescape
 
 import numpy as np
@@ -65,7 +66,9 @@ class Node:
     linked: bool
 
 
-def _element(tag: str, attributes: str, parent: Element | None) -> Element:
+@lru_cache(1 << 14)
+def _traits(tag: str, attributes: str) -> tuple[bool, int, str]:
+    """(dropped by itself, marked unless dropped, label in paths): what an element's tag and attributes tell."""
     whole: set[str] = set()
     parts: set[str] = set()
     if attributes:
@@ -79,10 +82,18 @@ def _element(tag: str, attributes: str, parent: Element | None) -> Element:
     names = whole | parts
     # html, body and articles are kept, whatever else their names tell, unless they are a comment
     unwanted = "comment" in whole if tag in ("html", "body", "article", "main") else bool(names & NOT_ARTICLE_NAMES)
-    dropped = bool(parent and parent.dropped) or tag in NOT_ARTICLE or unwanted or bool(attributes and _HIDDEN.search(attributes))
-    marked = 0 if dropped else 2 if tag in ("article", "main") or whole & {"main", "articlebody"} else 1 if tag != "body" and names & ARTICLE_NAMES else 0
-    label = ".".join([tag, *sorted(whole)[:2]])
-    return Element(tag, parent, f"{parent.path}/{label}" if parent else label, dropped, marked, parent.depth + 1 if parent else 0)
+    dropped = tag in NOT_ARTICLE or unwanted or bool(attributes and _HIDDEN.search(attributes))
+    marked = 2 if tag in ("article", "main") or whole & {"main", "articlebody"} else 1 if tag != "body" and names & ARTICLE_NAMES else 0
+    return dropped, marked, ".".join([tag, *sorted(whole)[:2]])
+
+
+def _element(tag: str, attributes: str, parent: Element | None) -> Element:
+    # long attributes (embedded images, styles) hardly recur and would fill the memory
+    dropped, marked, label = (_traits if len(attributes) < 500 else _traits.__wrapped__)(tag, attributes)
+    if parent is None:
+        return Element(tag, None, label, dropped, 0 if dropped else marked, 0)
+    dropped = dropped or parent.dropped
+    return Element(tag, parent, f"{parent.path}/{label}", dropped, 0 if dropped else marked, parent.depth + 1)
 
 
 def text_nodes(html: str) -> list[Node]:
