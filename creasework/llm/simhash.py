@@ -11,7 +11,7 @@ Two searches feed the buckets:
   part that too many fingerprints share is cut again by the same rule on its remaining bits, until buckets are small
   (a leaf has few free bits, so few distinct fingerprints fit in it).
 * ``near_texts`` is for similarity of shingle sets (five words, 0.8 by default), where the radius is too wide for
-  pigeonhole: buckets are minhash bands, the comparison uses 256-bit fingerprints, and an overfull band is first
+  pigeonhole: buckets are minhash bands, the comparison uses 512-bit fingerprints, and an overfull band is first
   linked to a few leaders and what is left is cut by further bands; what is crowded even then is compared block by
   block.
 
@@ -35,6 +35,8 @@ from creasework.llm.common import components, settle, slices, table
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: Rows of a bucket that are compared at once; larger buckets are cut first.
 BUCKET_ROWS = 128
+#: 64-bit words of fingerprints, a block's 64 slots counting as one, whose bit planes are made at once (4 KB each).
+PLANE_WORDS = 8192
 _BIT_OF_BYTE = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
@@ -162,7 +164,14 @@ def _bucket_links(words: int, radius: int):
 
     def links(p: pd.DataFrame) -> pd.DataFrame:
         group = (p[["path", "key"]] != p[["path", "key"]].shift()).any(axis=1).to_numpy().cumsum() - 1
-        label = _forest(len(p), *within(p[cols].to_numpy().view(np.uint64), group, radius))
+        prints = np.ascontiguousarray(p[cols].to_numpy()).view(np.uint64)
+        # whole buckets at a time, as many as PLANE_WORDS allows (one at least)
+        part = np.cumsum(-(-np.bincount(group) // 64)) * words // PLANE_WORDS
+        cuts = np.unique(np.searchsorted(part[group], np.arange(part[-1] + 1), "right"))
+        label = np.empty(len(p), np.int64)
+        for a, e in zip([0, *cuts[:-1].tolist()], cuts.tolist(), strict=True):
+            if a < e:
+                label[a:e] = a + _forest(e - a, *within(prints[a:e], group[a:e] - group[a], radius))
         node = p["node"].to_numpy()
         out = pd.DataFrame({"a": node, "b": node[label]})
         return out[out.a != out.b]
@@ -246,6 +255,8 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Bands and rows of a band: two texts of similarity 0.8 share a band with probability 0.998.
 BANDS, BAND_ROWS = 12, 4
+#: 64-bit words of a text's fingerprint. The spread of distances shrinks with its root.
+WORDS = 8
 _SEEDS = np.random.default_rng(7).integers(1, 1 << 63, (2, BANDS * BAND_ROWS), dtype=np.uint64)
 
 
@@ -256,42 +267,44 @@ def _mixed(h: np.ndarray, salt: int) -> np.ndarray:
 
 
 def text_signatures(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """(doc_id, uid, w0..w3, bands): 256-bit fingerprint and minhash bands of the set of shingles; uid numbers the rows."""
+    """(doc_id, uid, w0, w1.., bands): fingerprint and minhash bands of the set of shingles; uid numbers the rows."""
+    cols = [f"w{i}" for i in range(WORDS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             prints, bands = [], []
             for t in b.column("text").to_pylist():
                 h = np.unique(shingle_hashes(t, shingle))
-                prints.append([majority(_mixed(h, i)) for i in range(4)])
+                prints.append([majority(_mixed(h, i)) for i in range(WORDS)])
                 low = np.full(BANDS * BAND_ROWS, ALL)
                 for at in range(0, len(h), 4096):
                     part = h[at : at + 4096, None] * (_SEEDS[0] | np.uint64(1)) + _SEEDS[1]
                     low = np.minimum(low, (part ^ (part >> np.uint64(31))).min(axis=0))
                 bands.append([xxhash.xxh64_intdigest(x.tobytes(), i) - (1 << 63) for i, x in enumerate(low.reshape(BANDS, BAND_ROWS))])
-            words = np.array(prints, np.int64).reshape(len(prints), 4)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("uid"), *(pa.array(words[:, i]) for i in range(4)), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "uid", "w0", "w1", "w2", "w3", "bands"])
+            words = np.array(prints, np.int64).reshape(len(prints), WORDS)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("uid"), *(pa.array(words[:, i]) for i in range(WORDS)), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "uid", *cols, "bands"])
 
     rows = docs.select("doc_id", "text", "uid" if "uid" in docs.columns else F.monotonically_increasing_id().alias("uid"))
-    return rows.mapInArrow(run, "doc_id long, uid long, w0 long, w1 long, w2 long, w3 long, bands array<long>")
+    return rows.mapInArrow(run, f"doc_id long, uid long, {', '.join(f'{c} long' for c in cols)}, bands array<long>")
 
 
 def near_texts(items: DataFrame, similarity: float = 0.8, bucket_rows: int = 512, levels: int = 4, leaders: int = 8) -> DataFrame:
-    """(a, b) links between the nodes of distinct items (node, w0..w3, bands) whose shingle sets are similar.
+    """(a, b) links between the nodes of distinct items (node, w0, w1.., bands) whose shingle sets are similar.
 
-    Sets of similarity s have an angle of arccos(2s / (1 + s)) (equal sizes), so their 256-bit fingerprints differ in
-    about 256 * angle / pi bits; the radius allows for one standard deviation more.
+    Sets of similarity s have an angle of arccos(2s / (1 + s)) (equal sizes), so their fingerprints differ in about
+    bits * angle / pi bits; the radius allows for one standard deviation more.
     """
+    cols = [c for c in items.columns if c[0] == "w"]
+    bits = 64 * len(cols)
     share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    radius = int(256 * share + np.sqrt(256 * share * (1 - share)))
-    cols = ["w0", "w1", "w2", "w3"]
+    radius = int(bits * share + np.sqrt(bits * share * (1 - share)))
     prints = items.select("node", *cols)
     rows = items.select("node", F.posexplode("bands").alias("path", "key"))
     links = None
     for level in range(levels):
         shared = rows.groupBy("path", "key").agg(F.count("*").alias("n")).where("n > 1")
         rows = settle(rows.join(shared, ["path", "key"]).join(prints, "node"), "bands")
-        found = _compare(rows.where(F.col("n") <= bucket_rows), 4, radius)
+        found = _compare(rows.where(F.col("n") <= bucket_rows), len(cols), radius)
         links = found if links is None else links.union(found)
         rows = rows.where(F.col("n") > bucket_rows)
         if rows.isEmpty():
@@ -317,14 +330,15 @@ def near_texts(items: DataFrame, similarity: float = 0.8, bucket_rows: int = 512
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     rows = rows.select("node", "path", "key", "own", other)
     rows = rows.select("node", "path", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"))
-    return links.union(_compare(rows.join(prints, "node"), 4, radius))
+    return links.union(_compare(rows.join(prints, "node"), len(cols), radius))
 
 
 def dedup(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs without near copies: of each group that links connect, the row with the smallest doc_id stays."""
     numbered = settle(docs.select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("uid")), "rows")  # numbered once
-    signed = settle(text_signatures(numbered.select("row.doc_id", "row.text", "uid"), shingle).withColumn("node", F.xxhash64("w0", "w1", "w2", "w3")), "signatures")
-    items = signed.groupBy("node").agg(*(F.min(c).alias(c) for c in ("w0", "w1", "w2", "w3", "bands")))
+    cols = [f"w{i}" for i in range(WORDS)]
+    signed = settle(text_signatures(numbered.select("row.doc_id", "row.text", "uid"), shingle).withColumn("node", F.xxhash64(*cols)), "signatures")
+    items = signed.groupBy("node").agg(*(F.min(c).alias(c) for c in (*cols, "bands")))
     roots = components(near_texts(items, similarity))
     named = signed.select("doc_id", "uid", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = settle(named, "roots")

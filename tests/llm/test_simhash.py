@@ -136,3 +136,19 @@ def test_ranks_are_gapless(spark):
     d = spark.range(1000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise("x").alias("k"), "id")
     got = ranked(d, ["k"], ["id"], "r", 1000, 10).groupBy("k").agg(F.count("*").alias("n"), F.countDistinct("r").alias("d"), F.min("r").alias("lo"), F.max("r").alias("hi")).collect()
     assert all(r["n"] == r["d"] == r["hi"] + 1 and r["lo"] == 0 for r in got)
+
+
+def test_links_do_not_depend_on_the_parts(monkeypatch):
+    """Buckets of one row up to several blocks, compared all at once and part by part."""
+    import pandas as pd
+
+    rng = np.random.default_rng(11)
+    sizes = [1, 2, 200, 3, 64, 65, 1, 130]
+    base = rng.integers(0, 1 << 62, (3, 8))
+    x = base[rng.integers(0, 3, sum(sizes))] ^ (1 << rng.integers(0, 62, (sum(sizes), 8)))
+    p = pd.DataFrame(x, columns=[f"w{i}" for i in range(8)]).assign(path=1, key=np.repeat(np.arange(len(sizes)), sizes), node=np.arange(sum(sizes)))
+    found = []
+    for words in (8192, 24, 1):
+        monkeypatch.setattr(simhash, "PLANE_WORDS", words)
+        found.append(pd.concat(simhash._bucket_links(8, 40)(iter([p[:150], p[150:]]))).to_numpy().tolist())
+    assert found[0] and found[0] == found[1] == found[2]
