@@ -1,14 +1,16 @@
 """Operator 6: toxic passages by maximum-scoring segments.
 
 A token scores its log-odds between toxic and other texts, with a Dirichlet prior: counts of a word are shrunk to the
-rates of its beginnings (of 3 to 7 characters), those to the rate of the whole sample. Tokens without significant odds
-score the small negative drift that toxic texts have on ordinary words. A linear-time scan finds every maximal scoring
-segment (Ruzzo and Tompa); a segment's expected number in a text of n ordinary tokens is K n exp(-score) (Karlin and
+rates of its beginnings (of 3 to 7 characters), those to the rate of the whole sample. A feature must be LIFT times as
+frequent among the tokens of toxic texts as among those of others, whatever the shares of the two in the sample. Tokens
+without significant odds score the small negative drift that toxic texts have on ordinary words. A linear-time scan
+finds every maximal scoring segment (Ruzzo and Tompa); a segment's expected number in a text of n ordinary tokens is K n exp(-score) (Karlin and
 Altschul; log-odds have the scale 1), K being fitted on the non-toxic texts. The text's score is the probability that
 a logistic curve gives for its best segment's expected number.
 
 Weights are fitted on a sample of labelled rows that are not held out, SAMPLE for each label at most, chosen by a hash
-of doc_id. The curve is fitted on the same rows, each half being scanned with the other half's weights. Null and empty
+of doc_id. The curve is fitted on the same rows, each half being scanned with the other half's weights; its odds are
+then those of all labelled rows that are not held out, not of the sample. Null and empty
 texts score like texts without hits. Repeated rows and null ids give a row each. Repeated labels of an id count once
 (toxic if any is); null labels count as none. Without labels of both kinds every score is the toxic share.
 """
@@ -32,6 +34,8 @@ SAMPLE = 8000
 STARTS = (3, 4, 5, 6, 7)
 #: Standard errors that log-odds must be above zero; weight of the prior in tokens of a feature.
 Z, PRIOR = 3.0, 2.0
+#: Times that a feature must be more frequent in toxic texts than in others.
+LIFT = 2.0
 THRESHOLD = 0.7
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -105,9 +109,9 @@ def _weights(counts: DataFrame, part: int | None) -> Model:
     total = both.agg(F.sum("t"), F.sum("o")).first()
     if not total[0] or not total[1]:
         return Model()
-    # what can't be significant stays on the executors
+    # what can't be significant stays on the executors; rates within each label, so the sample's balance plays no part
     rate = total[0] / (total[0] + total[1])
-    few = sums.where((F.col("t") >= 3) & (F.col("t") > 2 * rate * (F.col("t") + F.col("o")))).orderBy(F.desc("t"), "name").limit(200_000).collect()
+    few = sums.where((F.col("t") >= 3) & (F.col("t") * total[1] > LIFT * F.col("o") * total[0])).collect()
     share = {r["name"]: (r["t"], r["o"]) for r in few}
     weights = {}
     for name, (t, o) in share.items():
@@ -162,7 +166,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     plain = seen[~seen["toxic"]]
     model.k = float(((plain["best"] > 0) * np.exp(np.minimum(plain["best"], 20))).clip(upper=50).sum() + 1) / float(plain["n"].sum() + 1)
     x = np.array([model.evidence(n, [(0, 0, s)] if s > 0 else []) for n, s in zip(seen["n"], seen["best"], strict=True)])
-    model.curve = _curve(x, y)
+    a, b = _curve(x, y)
+    # the sample takes another share of each label: back to the odds that the labels have
+    taken = {k: min(1.0, sample / n) for k, n in counts.items()}
+    model.curve = (a - float(np.log(taken[True] / taken[False])), b)
     return model
 
 

@@ -156,6 +156,39 @@ def test_toxicity(spark):
     assert all(r["predicted"] == 0 for r in toxicity.scan_texts(docs, none, ["doc_id"]).collect())
 
 
+@pytest.mark.parametrize(("every", "sample"), [(2, 8000), (8, 60)])
+def test_toxicity_of_a_balanced_sample(spark, every, sample):
+    """As many texts of each label, in the input or by the bound of the sample: the weights stay, the odds are the input's."""
+    rnd = random.Random(8)
+    plain = ["".join(rnd.choice("abcdefgh") for _ in range(4)) for _ in range(80)]
+    rows, labels = [], []
+    for i in range(800):
+        text = [rnd.choice(plain) for _ in range(60)]
+        bad = i // 2 % every == 0
+        if bad:
+            for k in range(20, 26):
+                text[k] = rnd.choice(["zzid", "zzot", "zzum"])
+        elif i % 40 < 4:
+            text[30] = "zzid"
+        rows.append((i, " ".join(text)))
+        labels.append((i, int(bad)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.fit(docs, marks, sample)
+    assert all(model.token(w) > 0 for w in ("zzid", "zzot", "zzum")) and not any(map(model.token, plain))
+    got = {r["doc_id"]: r for r in toxicity.scan_texts(docs, model, ["doc_id"]).collect()}
+    assert all(got[i]["predicted"] == bad for i, bad in labels)
+
+
+def test_toxicity_odds_are_those_of_the_labels(spark):
+    """Texts that tell nothing score the toxic share of the labels, not that of the sample."""
+    docs = spark.createDataFrame([(i, "one two three four") for i in range(2000)], "doc_id long, text string")
+    marks = spark.createDataFrame([(i, int(i % 10 == 0)) for i in range(2000)], "doc_id long, toxic int")
+    for sample in (8000, 100):
+        score = toxicity.scan_texts(docs.limit(1), toxicity.fit(docs, marks, sample), ["doc_id"]).first()["score"]
+        assert 0.06 < score < 0.16, sample
+
+
 def test_licences(spark):
     texts = ["Released under the MIT-License.\nApache license; mit license", "the GNU Genral Public Licence v3", "mitlicense commit license", "general public license general public license", None, "", "licensed under teh apache lisense, version 2.0", "permission is herby granted, free of charge, to any person"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
