@@ -11,9 +11,8 @@ Two searches feed the buckets:
   part that too many fingerprints share is cut again by the same rule on its remaining bits, until buckets are small
   (a leaf has few free bits, so few distinct fingerprints fit in it).
 * ``near_texts`` is for similarity of shingle sets (five words, 0.8 by default), where the radius is too wide for
-  pigeonhole: buckets are minhash bands, the comparison uses 512-bit fingerprints, and an overfull band is first
-  linked to a few leaders and what is left is cut by further bands; what is crowded even then is compared block by
-  block.
+  pigeonhole: buckets are minhash bands and the comparison uses 512-bit fingerprints. An overfull band is first linked
+  to a few leaders and what is left is compared block by block.
 
 Null texts count as empty. Texts without words have the fingerprint zero and link like any other. Repeated rows, null
 ids and extra columns are allowed; an empty table gives an empty result.
@@ -298,39 +297,35 @@ def near_texts(items: DataFrame, similarity: float = 0.8, bucket_rows: int = 512
     bits = 64 * len(cols)
     share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
     radius = int(bits * share + np.sqrt(bits * share * (1 - share)))
-    prints = items.select("node", *cols)
     rows = items.select("node", F.posexplode("bands").alias("path", "key"))
-    links = None
-    for level in range(levels):
-        shared = rows.groupBy("path", "key").agg(F.count("*").alias("n")).where("n > 1")
-        rows = settle(rows.join(shared, ["path", "key"]).join(prints, "node"), "bands")
-        found = _compare(rows.where(F.col("n") <= bucket_rows), len(cols), radius)
-        links = found if links is None else links.union(found)
-        rows = rows.where(F.col("n") > bucket_rows)
+    shared = rows.groupBy("path", "key").agg(F.count("*").alias("n")).where("n > 1")
+    rows = settle(rows.join(shared, ["path", "key"]).join(items.select("node", *cols), "node"), "bands")
+    links = _compare(rows.where(F.col("n") <= bucket_rows), len(cols), radius)
+    rows = rows.where(F.col("n") > bucket_rows).drop("n")
+    for _ in range(levels):
         if rows.isEmpty():
             return links
-        # an overfull bucket: link to a few leaders, cut the rest by the next bands
+        # an overfull bucket: link what is near a leader to it
         heads = rows.groupBy("path", "key").agg(*(F.min(F.struct(F.xxhash64("node", F.lit(i)).alias("order"), "node", *cols)).alias(f"h{i}") for i in range(leaders)))
-        apart = lambda h: sum(F.bit_count(F.col(c).bitwiseXOR(h[c])) for c in cols)
-        met = rows.join(heads.select("path", "key", F.array_distinct(F.array(*(f"h{i}" for i in range(leaders)))).alias("heads")), ["path", "key"])
-        met = settle(met.withColumn("near", F.transform(F.filter("heads", lambda h: apart(h) <= radius), lambda h: h["node"])).drop("heads"), "leaders")
-        links = links.union(met.select(F.col("node").alias("a"), F.explode("near").alias("b")).where("a <> b"))
-        left = met.where(F.size("near") == 0).join(items.select("node", "bands"), "node")
-        step = F.explode(F.array(F.lit(1), F.lit(2)))
-        left = left.select("node", "path", "key", "bands", step.alias("step"))
-        band = (F.col("path") % BANDS + F.col("step")) % BANDS
-        rows = left.select("node", (F.col("path") + BANDS * F.col("step") * 3**level + F.col("step")).cast("int").alias("path"), F.xxhash64("key", F.element_at("bands", band + 1)).alias("key"))
-    # what is still crowded is compared whole: each bucket in blocks, each pair of blocks in a bucket of its own
-    crowded = rows.groupBy("path", "key").agg(F.count("*").alias("n")).where("n > 1")
-    rows = settle(rows.join(crowded, ["path", "key"]), "crowded")
+        apart = lambda h: sum(F.bit_count(F.col(c).bitwiseXOR(F.col(h)[c])) for c in cols)
+        met = rows.join(heads, ["path", "key"])
+        met = settle(met.select("node", "path", "key", *cols, F.array(*(F.struct(F.col(f"h{i}.node").alias("node"), apart(f"h{i}").alias("apart")) for i in range(leaders))).alias("met")), "leaders")
+        near = F.filter("met", lambda h: h["apart"] <= radius)
+        links = links.union(met.select(F.col("node").alias("a"), F.explode(near).alias("h")).select("a", F.col("h.node").alias("b")).where("a <> b"))
+        left = met.where(F.size(near) == 0).select("node", "path", "key", *cols)
+        sizes = left.groupBy("path", "key").agg(F.count("*").alias("n")).where("n > 1")
+        rows = settle(left.join(sizes, ["path", "key"]), "left")
+        links = links.union(_compare(rows.where(F.col("n") <= bucket_rows), len(cols), radius))
+        rows = rows.where(F.col("n") > bucket_rows).drop("n")
     if rows.isEmpty():
         return links
-    blocks = F.ceil(F.col("n") * 2 / bucket_rows).cast("int")
-    rows = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int"))
+    # what is still crowded is compared whole: each bucket in blocks, each pair of blocks in a bucket of its own
+    sizes = rows.groupBy("path", "key").agg(F.ceil(F.count("*") / bucket_rows).cast("int").alias("blocks"))
+    rows = rows.join(sizes, ["path", "key"]).withColumn("own", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    rows = rows.select("node", "path", "key", "own", other)
-    rows = rows.select("node", "path", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"))
-    return links.union(_compare(rows.join(prints, "node"), len(cols), radius))
+    rows = rows.select("node", "path", "key", *cols, "own", other)
+    rows = rows.withColumn("key", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")))
+    return links.union(_compare(rows, len(cols), radius))
 
 
 def dedup(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:

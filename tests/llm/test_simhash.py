@@ -121,6 +121,29 @@ def test_crowded_to_the_last_band(spark):
     assert links == {(60 + i, i) for i in range(20)}
 
 
+def flipped(rnd, p, n):
+    """p, four words of 64 bits, with n bits changed."""
+    whole = sum((w % (1 << 64)) << 64 * i for i, w in enumerate(p))
+    for bit in rnd.sample(range(256), n):
+        whole ^= 1 << bit
+    words = [whole >> 64 * i & (1 << 64) - 1 for i in range(4)]
+    return [w - (1 << 64) if w >> 63 else w for w in words]
+
+
+def groups_of(spark, prints, bands, **kind):
+    items = spark.createDataFrame([(i, *p, b) for i, (p, b) in enumerate(zip(prints, bands, strict=True))], "node long, w0 long, w1 long, w2 long, w3 long, bands array<long>")
+    roots = {r["node"]: r["root"] for r in components(simhash.near_texts(items, **kind)).collect()}
+    return [roots.get(i, i) for i in range(len(prints))]
+
+
+def test_a_near_pair_shares_one_crowded_band_only(spark):
+    rnd = random.Random(14)
+    prints = [flipped(rnd, [0] * 4, 128) for _ in range(60)]
+    prints += [flipped(rnd, p, 30) for p in prints[:20]]
+    bands = [[1, *(rnd.getrandbits(62) for _ in range(simhash.BANDS - 1))] for _ in prints]
+    assert groups_of(spark, prints, bands, bucket_rows=8, leaders=2) == [*range(60), *range(20)]
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.simhash_components(docs).count() == 0 and simhash.dedup(docs).count() == 0
