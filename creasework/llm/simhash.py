@@ -12,7 +12,8 @@ Two searches feed the buckets:
   (a leaf has few free bits, so few distinct fingerprints fit in it).
 * ``near_texts`` is for similarity of shingle sets (five words, 0.8 by default), where the radius is too wide for
   pigeonhole: buckets are minhash bands and the comparison uses 512-bit fingerprints. An overfull band is first linked
-  to a few leaders and what is left is compared block by block.
+  to a few leaders; a row leaves the search there only if all that can be near it is near its leader too. What is
+  crowded even then is compared block by block, so that rows which share a band are always compared or connected.
 
 Null texts count as empty. Texts without words have the fingerprint zero and link like any other. Repeated rows, null
 ids and extra columns are allowed; an empty table gives an empty result.
@@ -21,6 +22,8 @@ ids and extra columns are allowed; an empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pandas as pd
@@ -312,7 +315,11 @@ def near_texts(items: DataFrame, similarity: float = 0.8, bucket_rows: int = 512
         met = settle(met.select("node", "path", "key", *cols, F.array(*(F.struct(F.col(f"h{i}.node").alias("node"), apart(f"h{i}").alias("apart")) for i in range(leaders))).alias("met")), "leaders")
         near = F.filter("met", lambda h: h["apart"] <= radius)
         links = links.union(met.select(F.col("node").alias("a"), F.explode(near).alias("h")).select("a", F.col("h.node").alias("b")).where("a <> b"))
-        left = met.where(F.size(near) == 0).select("node", "path", "key", *cols)
+        # A row leaves if a leader speaks for it: all that is near the row is near that leader too, as the nearest row
+        # that is not near the leader is further from the leader than the row's own distance and the radius.
+        far = [F.min(F.when(F.col("met")[i]["apart"] > radius, F.col("met")[i]["apart"])).alias(f"far{i}") for i in range(leaders)]
+        spoken = [(F.col("met")[i]["apart"] <= radius) & (F.col(f"far{i}").isNull() | (F.col("met")[i]["apart"] + radius < F.col(f"far{i}"))) for i in range(leaders)]
+        left = met.join(met.groupBy("path", "key").agg(*far), ["path", "key"]).where(~reduce(or_, spoken)).select("node", "path", "key", *cols)
         sizes = left.groupBy("path", "key").agg(F.count("*").alias("n")).where("n > 1")
         rows = settle(left.join(sizes, ["path", "key"]), "left")
         links = links.union(_compare(rows.where(F.col("n") <= bucket_rows), len(cols), radius))

@@ -136,6 +136,25 @@ def groups_of(spark, prints, bands, **kind):
     return [roots.get(i, i) for i in range(len(prints))]
 
 
+def test_a_star_in_a_crowded_band(spark):
+    """600 edits near the original only (radius 44), and copies near to one of them only: one group."""
+    rnd = random.Random(12)
+    prints = [flipped(rnd, [0] * 4, 128)]
+    prints += [flipped(rnd, prints[0], 40) for _ in range(600)]
+    prints += [flipped(rnd, p, 40) for p in prints[1:101]]
+    assert set(groups_of(spark, prints, [[1] * simhash.BANDS] * len(prints))) == {0}
+
+
+def test_clusters_that_touch_in_a_crowded_band(spark):
+    """Chains of three, the middle near both ends: whichever of them is a leader, the chain stays whole."""
+    rnd = random.Random(13)
+    first = [flipped(rnd, [0] * 4, rnd.randint(110, 140)) for _ in range(40)]
+    middle = [flipped(rnd, p, 35) for p in first]
+    prints = first + middle + [flipped(rnd, p, 35) for p in middle]
+    got = groups_of(spark, prints, [[1] * simhash.BANDS] * len(prints), bucket_rows=16)
+    assert got == list(range(40)) * 3
+
+
 def test_a_near_pair_shares_one_crowded_band_only(spark):
     rnd = random.Random(14)
     prints = [flipped(rnd, [0] * 4, 128) for _ in range(60)]
