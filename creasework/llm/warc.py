@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from creasework.llm.common import extended, table
-from creasework.llm.html import flowed, text_nodes
+from creasework.llm.html import Element, flowed, text_nodes
 
 #: Capture date of pages that carry none.
 DATE = "2024-01-01T00:00:00Z"
@@ -52,8 +52,14 @@ def warc_record(kind: str, headers: list[tuple[str, str | None]], block: bytes)
     return packer.compress("\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + packer.flush()
 
 
+def _in_head(element: Element | None) -> bool:
+    while element is not None and element.tag not in ("head", "body"):  # a body in a head that is not closed is a body
+        element = element.parent
+    return element is not None and element.tag == "head"
+
+
 def visible_text(html: str) -> str:
-    return "\n".join(flowed([n for n in text_nodes(html) if n.element.tag not in ("title", "noscript") and "/head" not in n.element.path]))
+    return "\n".join(flowed([n for n in text_nodes(html) if n.element.tag not in ("title", "noscript") and not _in_head(n.element)]))
 
 
 def responses(pages: DataFrame) -> DataFrame:

@@ -107,6 +107,13 @@ def test_broken_markup_does_not_crash(page):
     assert isinstance(html.main_text(page), str) and isinstance(warc.visible_text(page or ""), str)
 
 
+def test_visible_text_has_headers():
+    """<header> is no <head>, nor is a class with that name; a body in a head that is not closed is visible."""
+    page = "<html><head><title>T</title><custom>no</custom></head><body><header>Site</header><article><header><h1>Headline</h1><p>By A</p></header><p class='a/head'>Text</p></article></body></html>"
+    assert warc.visible_text(page) == "Site\nHeadline\nBy A\nText"
+    assert warc.visible_text("<html><head><title>T</title><body><header>A</header><p>B") == "A\nB"
+
+
 def test_warc_round_trip(spark, tmp_path):
     pages = spark.createDataFrame([(1, "http://a/x", PAGE % "<article><p>Hi, there.</p><a href='/y'>y</a></article>"), (2, None, None)], "page_id long, url string, html string")
     source = warc.responses(pages)
