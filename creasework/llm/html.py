@@ -26,11 +26,11 @@ from pyspark.sql import functions as F
 from creasework.llm.common import extended, table
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
-_ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)(?:"|\Z)|'([^']*)(?:'|\Z)|([^\s"'>]+)))?""")
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
 _PART = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
-_HIDDEN = re.compile(r"(?<![-\w])hidden(?![-\w])|display\s*:\s*none", re.I)
+_UNSEEN = re.compile(r"(?<![-\w])(?:display\s*:\s*none|visibility\s*:\s*hidden)(?![-\w])", re.I)
 _STATE = frozenset("has no with without is not".split())
 
 # Fixed values of HTML: elements without content, with raw text, and those that break a line.
@@ -71,18 +71,21 @@ def _traits(tag: str, attributes: str) -> tuple[bool, int, str]:
     """(dropped by itself, marked unless dropped, label in paths): what an element's tag and attributes tell."""
     whole: set[str] = set()
     parts: set[str] = set()
+    hidden = False
     if attributes:
         for name, *values in _ATTRIBUTE.findall(attributes):
-            if name.lower() in ("class", "id", "role", "itemprop"):
-                for value in "".join(values).split():
-                    whole.add(value.lower())
-                    own = _PART.findall(_CAMEL.sub("-", value).lower())
+            name, value = name.lower(), "".join(values)
+            hidden |= name == "hidden" or name == "class" and "hidden" in value.lower().split() or name == "style" and bool(_UNSEEN.search(value))
+            if name in ("class", "id", "role", "itemprop"):
+                for word in value.split():
+                    whole.add(word.lower())
+                    own = _PART.findall(_CAMEL.sub("-", word).lower())
                     if not _STATE & set(own):  # "has-sidebar" or "no-comments" tell of a state, not of what it is
                         parts.update(own)
     names = whole | parts
     # html, body and articles are kept, whatever else their names tell, unless they are a comment
     unwanted = "comment" in whole if tag in ("html", "body", "article", "main") else bool(names & NOT_ARTICLE_NAMES)
-    dropped = tag in NOT_ARTICLE or unwanted or bool(attributes and _HIDDEN.search(attributes))
+    dropped = tag in NOT_ARTICLE or unwanted or hidden
     marked = 2 if tag in ("article", "main") or whole & {"main", "articlebody"} else 1 if tag != "body" and names & ARTICLE_NAMES else 0
     return dropped, marked, ".".join([tag, *sorted(whole)[:2]])
 

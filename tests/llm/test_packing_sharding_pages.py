@@ -114,6 +114,15 @@ def test_visible_text_has_headers():
     assert warc.visible_text("<html><head><title>T</title><body><header>A</header><p>B") == "A\nB"
 
 
+@pytest.mark.parametrize(
+    ("element", "kept"),
+    [("<a href='/hidden/x'>w</a>", True), ('<span title="The hidden truth">w</span>', True), ("<b style='overflow:hidden'>w</b>", True), ("<b aria-hidden=true class=overflow-hidden>w</b>", True), ("<b title='display: none'>w</b>", True)]
+    + [("<b hidden>w</b>", False), ("<b HIDDEN='' id=x>w</b>", False), ("<b class='x Hidden'>w</b>", False), ("<b style='color:red; display : none'>w</b>", False), ("<b style=visibility:hidden>w</b>", False)],
+)
+def test_hidden_is_an_attribute_not_a_word(element, kept):
+    assert html.main_text(PAGE % f"<article><p>One, two {element} three.</p></article>") == ("One, two w three." if kept else "One, two three.")
+
+
 def test_warc_round_trip(spark, tmp_path):
     pages = spark.createDataFrame([(1, "http://a/x", PAGE % "<article><p>Hi, there.</p><a href='/y'>y</a></article>"), (2, None, None)], "page_id long, url string, html string")
     source = warc.responses(pages)
