@@ -21,12 +21,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a temporary one only where none is set (tests, local mode)."""
+    """The shared folder of the cluster; a temporary one only in local mode where none is set (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         java = spark.sparkContext._jsc.sc().getCheckpointDir()
         if java.isDefined():
             return java.get()
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="checkpoint-")
         spark.sparkContext.setCheckpointDir(found)
         found = spark.sparkContext._jsc.sc().getCheckpointDir().get()
@@ -72,11 +74,38 @@ def ranked(df: DataFrame, keys: list[str], order: list[str], out: str, rows: int
     return df.withColumn("_own", F.row_number().over(own) - 1).join(starts, [*keys, "_bucket"]).withColumn(out, F.col("_start") + F.col("_own")).drop("_bucket", "_own", "_start")
 
 
+#: Rows of a key that may meet in a task; keys with more are broadcast (CROWDED_KEYS of them at most).
+TASK_ROWS, CROWDED_KEYS = 20_000, 50_000
+
+
+def small_side(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """A settled frame of a few numbers a row, broadcast if it has no more than so many rows (some 50 MB)."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
+def join_one(rows: DataFrame, one: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """rows joined with a frame that has one row for each key, so that the rows of a crowded key never meet in a task.
+
+    Keys with more rows than TASK_ROWS, or than a CROWDED_KEYS-th of all rows where that is more, go by a broadcast
+    of their rows of one; the others by a shuffle.
+    """
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
+    crowded = settle(counts.where(F.col("_n") > TASK_ROWS), "crowded_keys")
+    top = crowded.agg(F.count("*").alias("keys"), F.sum("_n").alias("rows")).first()
+    if not top["keys"]:
+        return rows.join(one, keys, how)
+    if top["keys"] > CROWDED_KEYS:
+        crowded = settle(crowded.where(F.col("_n") > top["rows"] // CROWDED_KEYS), "crowded_keys")
+    hot = F.broadcast(crowded.select(*keys))
+    spread = rows.join(hot, keys, "left_semi").join(F.broadcast(one.join(hot, keys, "left_semi")), keys, how)
+    return spread.unionByName(rows.join(hot, keys, "left_anti").join(one, keys, how))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node in an edge (a, b): root is the smallest node that can be reached.
 
-    Alternating large-star and small-star steps; minima are aggregated before they are joined back, so a hub's
-    neighbours never meet in one task. Ends when a step changes nothing.
+    Alternating large-star and small-star steps; minima are aggregated on the way to the shuffle and come back by
+    ``join_one``, so a hub's neighbours never meet in one task. Ends when a step changes nothing.
     """
     at = settle(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     mark = None
@@ -87,9 +116,10 @@ def components(edges: DataFrame) -> DataFrame:
         mark = seen
         both = at.select(F.col("a").alias("u"), F.col("b").alias("v")).union(at.select(F.col("b").alias("u"), F.col("a").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+        beside = join_one if seen[0] > TASK_ROWS else DataFrame.join  # fewer can't crowd a task
+        large = settle(beside(both, least, ["u"]).where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct(), "stars")
         lower = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(lower, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(lower.select("a", F.col("m").alias("b")))
+        small = beside(large, lower, ["a"]).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(lower.select("a", F.col("m").alias("b")))
         at = settle(small.distinct(), "edges")
 
 

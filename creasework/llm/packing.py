@@ -33,17 +33,22 @@ END = 1
 # --- tokens ------------------------------------------------------------------------------------------------------
 
 
+#: The byte-level alphabet: bytes without a printable sign of their own are shifted to 256 and on, in order.
+_BYTE_LEVEL = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
+
+
 class WordTokens:
     """Ids of a lower-casing word-level BPE, as little-endian unsigned 32-bit integers.
 
-    White space separates words and no merge crosses a word, so ids are looked up word by word; the tokenizer is only
-    asked for words that are not remembered. Characters beyond the Latin blocks go to the tokenizer as whole texts,
-    because their case and composition may depend on their neighbours; so do texts with special tokens.
+    White space separates words and no merge crosses a piece of a word (a run of letters, a digit, a run of other
+    signs), so ids are looked up word by word; the tokenizer's merges are only asked for pieces that are not
+    remembered. Characters beyond the Latin blocks go to the tokenizer as whole texts, because their case and
+    composition may depend on their neighbours; so do texts with special tokens.
     """
 
-    #: Remembered words at most; when it is full, memory starts anew.
-    WORDS = 300_000
-    PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+|\n")
+    #: Bytes of remembered words and pieces at most; when they are full, memory starts anew.
+    MEMORY = 48_000_000
+    PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
     #: Where Python and the tokenizer agree on letters, digits, white space and lower case.
     SIMPLE = re.compile(r"[\n\t\r\x0b\x0c\x20-\x84\x86-\xa9\xab-\xb1\xb4-\xb8\xbb\xbf-įı-ſ]*")
 
@@ -51,62 +56,47 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-
-    def _whole(self, text: str) -> bytes:
-        return array.array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-
-    def _learn(self, words: set[str]) -> None:
-        if len(self.words) > self.WORDS:
-            self.words.clear()
-        if len(self.pieces) > self.WORDS:
-            self.pieces.clear()
-        order = list(words)
-        found = self.PIECE.findall("\n".join(order).lower())
-        new = list({p for p in found if p not in self.pieces and p != "\n"})
-        for at in range(0, len(new), 1000):
-            part = new[at : at + 1000]
-            got = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            ids: list[list[int]] = [[] for _ in part]
-            for word, token in zip(got.word_ids, got.ids, strict=True):
-                ids[word].append(token)
-            for piece, tokens in zip(part, ids, strict=True):
-                self.pieces[piece] = array.array("I", tokens).tobytes()
-        self.pieces["\n"] = b""
-        own, at = [], 0
-        for p in found:
-            if p == "\n":
-                self.words[order[at]] = own[0] if len(own) == 1 else b"".join(own)
-                own, at = [], at + 1
-            else:
-                own.append(self.pieces[p])
-        self.words[order[at]] = b"".join(own)
-
-    def ids(self, texts: list[str | None]) -> list[bytes]:
-        out: list[bytes | None] = []
-        open_, missing = [], set()
-        for i, text in enumerate(texts):
-            if not text:
-                out.append(b"")
-            elif not self.SIMPLE.fullmatch(text) or "<|" in text:
-                out.append(self._whole(text))
-            else:
-                words = text.split()
-                got = list(map(self.words.get, words))
-                if None in got:
-                    missing.update(w for w, g in zip(words, got, strict=True) if g is None)
-                    open_.append((i, words))
-                    out.append(None)
-                else:
-                    out.append(b"".join(got))
-        if missing:
-            if len(self.words) > self.WORDS:
-                missing.update(w for _, words in open_ for w in words)
-            self._learn(missing)
-            for i, words in open_:
-                out[i] = b"".join(map(self.words.__getitem__, words))
-        return out
+        self.known: dict[str, bytes] = {}
+        self.bytes = 0
+
+    def _piece(self, piece: str) -> bytes:
+        signs = piece if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(_BYTE_LEVEL)
+        return array.array("I", [t.id for t in self.tokenizer.model.tokenize(signs)]).tobytes()
+
+    def _learn(self, word: str) -> bytes:
+        """The ids of a word that is not remembered; short ones are remembered, with their pieces."""
+        low, known = word.lower(), self.known
+        pieces = (low,) if low.isalpha() else self.PIECE.findall(low)
+        found = []
+        for p in pieces:
+            ids = known.get(p)
+            if ids is None:
+                ids = self._piece(p)
+                if len(p) < 64:
+                    known[p] = ids
+                    self.bytes += 200 + len(ids)
+            found.append(ids)
+        ids = found[0] if len(found) == 1 else b"".join(found)
+        if len(word) < 64 and word not in known:
+            known[word] = ids
+            self.bytes += 200 + len(ids)
+        return ids
+
+    def ids(self, text: str | None) -> bytes:
+        if not text:
+            return b""
+        if "<|" in text or not self.SIMPLE.fullmatch(text):
+            return array.array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        if self.bytes > self.MEMORY:
+            self.known.clear()
+            self.bytes = 0
+        words = text.split()
+        got = list(map(self.known.get, words))
+        try:
+            return b"".join(got)
+        except TypeError:  # some are not remembered
+            learn = self._learn
+            return b"".join([learn(w) if g is None else g for w, g in zip(words, got, strict=True)])
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
@@ -117,13 +107,12 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
         for batch in slices(batches, 1024):
             docs_, rows, texts = (batch.column(i).to_pylist() for i in range(3))
             out: list[list] = [[] for _ in range(6)]
-            for at in range(0, len(texts), 256):
-                for doc, row, ids in zip(docs_[at : at + 256], rows[at : at + 256], tokens.ids(texts[at : at + 256]), strict=True):
-                    ids += end
-                    for k, a in enumerate(range(0, len(ids), step)):
-                        part = ids[a : a + step]
-                        for column, x in zip(out, (doc, row, k, k * capacity, len(part) // 4, zlib.crc32(part)), strict=True):
-                            column.append(x)
+            for doc, row, text in zip(docs_, rows, texts, strict=True):
+                ids = tokens.ids(text) + end
+                for k, a in enumerate(range(0, len(ids), step)):
+                    part = ids[a : a + step]
+                    for column, x in zip(out, (doc, row, k, k * capacity, len(part) // 4, zlib.crc32(part)), strict=True):
+                        column.append(x)
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["doc_id", "row", "piece", "start", "length", "ids_crc32"])
 

@@ -190,7 +190,43 @@ def test_links_do_not_depend_on_the_parts(monkeypatch):
     x = base[rng.integers(0, 3, sum(sizes))] ^ (1 << rng.integers(0, 62, (sum(sizes), 8)))
     p = pd.DataFrame(x, columns=[f"w{i}" for i in range(8)]).assign(path=1, key=np.repeat(np.arange(len(sizes)), sizes), node=np.arange(sum(sizes)))
     found = []
-    for words in (8192, 24, 1):
-        monkeypatch.setattr(simhash, "PLANE_WORDS", words)
-        found.append(pd.concat(simhash._bucket_links(8, 40)(iter([p[:150], p[150:]]))).to_numpy().tolist())
+    for rows in (8192, 150, 1):
+        monkeypatch.setattr(simhash, "COMPARED_ROWS", rows)
+        found.append(pd.concat(simhash._by_bucket(simhash._links_within(8, 40))(iter([p[:150], p[:0], p[150:]]))).to_numpy().tolist())
     assert found[0] and found[0] == found[1] == found[2]
+
+
+def test_dedup_equals_exact_similarity(spark):
+    """Groups by the exact similarity of all pairs; edits around the threshold, and one band more crowded than a bucket."""
+    rnd = random.Random(21)
+    rows = []
+    for g in range(25):
+        base = [f"{g}x{rnd.randrange(10**6)}" for _ in range(400)]
+        rows.append(" ".join(base))
+        for edits in (3, 9, 12, 15, 18, 21, 24, 30, 60):
+            words = list(base)
+            for at in rnd.sample(range(400), edits):
+                words[at] = f"e{rnd.randrange(10**6)}"
+            rows.append(" ".join(words))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in rows)]
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i - i % 10, i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                old, new = max(root[i], root[j]), min(root[i], root[j])
+                root = [new if r == old else r for r in root]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in simhash.dedup(docs).collect()) == sorted(set(root))
+
+
+def test_joins_of_crowded_keys(spark, monkeypatch):
+    from creasework.llm import common
+
+    monkeypatch.setattr(common, "TASK_ROWS", 10)
+    rows = spark.range(200).select(F.when(F.col("id") < 150, 1).otherwise(F.col("id")).alias("k"), "id")
+    one = spark.createDataFrame([(1, "hot"), (160, "x"), (500, "y")], "k long, v string")
+    got = {r["id"]: r["v"] for r in common.join_one(rows, one, ["k"], "left").collect()}
+    assert got == {i: "hot" if i < 150 else "x" if i == 160 else None for i in range(200)}
+    edges = [(0, i) for i in range(1, 60)] + [(900, i) for i in range(300, 400)] + [(59, 300)]
+    roots = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert set(roots.values()) == {0} and len(roots) == 160
