@@ -89,13 +89,11 @@ def join_one(rows: DataFrame, one: DataFrame, keys: list[str], how: str = "inner
     Keys with more rows than TASK_ROWS, or than a CROWDED_KEYS-th of all rows where that is more, go by a broadcast
     of their rows of one; the others by a shuffle.
     """
-    counts = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
-    crowded = settle(counts.where(F.col("_n") > TASK_ROWS), "crowded_keys")
+    crowded = rows.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > TASK_ROWS)
     top = crowded.agg(F.count("*").alias("keys"), F.sum("_n").alias("rows")).first()
     if not top["keys"]:
         return rows.join(one, keys, how)
-    if top["keys"] > CROWDED_KEYS:
-        crowded = settle(crowded.where(F.col("_n") > top["rows"] // CROWDED_KEYS), "crowded_keys")
+    crowded = settle(crowded.where(F.col("_n") > max(TASK_ROWS, top["rows"] // CROWDED_KEYS)), "crowded_keys")
     hot = F.broadcast(crowded.select(*keys))
     spread = rows.join(hot, keys, "left_semi").join(F.broadcast(one.join(hot, keys, "left_semi")), keys, how)
     return spread.unionByName(rows.join(hot, keys, "left_anti").join(one, keys, how))

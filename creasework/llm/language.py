@@ -47,7 +47,7 @@ def trigram_cells(text: str) -> np.ndarray:
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
     """(languages, log-likelihoods of each cell in each language) from documents that are not held out."""
-    rows = docs.where((fold() != 1) & F.col("lang").isNotNull())
+    rows = docs.where((fold() != 1) & F.col("lang").isNotNull())  # a null id is never held out, nor learned from
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     langs = sorted(counts)
     if not langs:
@@ -69,28 +69,35 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
     return langs, np.log(seen / seen.sum(axis=0)).astype(np.float32)
 
 
-def mixture(odds: np.ndarray, rounds: int = 12) -> tuple[np.ndarray, float]:
-    """(proportions, log-likelihood) by expectation-maximisation; odds[i, l]: likelihood of trigram i in language l."""
+def mixture(odds: np.ndarray, times: np.ndarray, rounds: int = 12) -> tuple[np.ndarray, float]:
+    """(proportions, log-likelihood) by expectation-maximisation; odds[i, l]: likelihood of trigram i, which stands
+    times[i] times, in language l."""
     share = np.full(odds.shape[1], 1 / odds.shape[1], odds.dtype)
+    total = times.sum()
     for _ in range(rounds):
-        new = share * (odds.T @ (1 / (odds @ share))) / len(odds)
+        new = share * (odds.T @ (times / (odds @ share))) / total
         done = np.abs(new - share).max() < 1e-3
         share = new
         if done:
             break
-    return share, float(np.log(odds @ share).sum())
+    return share, float(times @ np.log(odds @ share))
 
 
 def languages_of(cells: np.ndarray, logs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(languages, proportions): the set with the best penalised likelihood, found by leaving out the least."""
-    own = logs[cells]
+    """(languages, proportions): the set with the best penalised likelihood, found by leaving out the least.
+
+    Equal trigrams count together, so memory is bounded by CELLS however long a text is.
+    """
+    kinds, times = np.unique(cells, return_counts=True)
+    own = logs[kinds]
     odds = np.exp(own - own.max(axis=1, keepdims=True)) + np.float32(1e-6)
+    times = times.astype(np.float64)
     chosen = np.arange(logs.shape[1])
-    share, fit_ = mixture(odds)
+    share, fit_ = mixture(odds, times)
     penalty = 0.5 * np.log(len(cells) / OVERLAP + 1)
     while len(chosen) > 1:
         rest = np.arange(len(chosen)) != np.argmin(share)
-        fewer, fewer_fit = mixture(odds[:, chosen[rest]])
+        fewer, fewer_fit = mixture(odds[:, chosen[rest]], times)
         if (fit_ - fewer_fit) / OVERLAP > penalty:
             break
         chosen, share, fit_ = chosen[rest], fewer, fewer_fit

@@ -4,12 +4,14 @@ A token scores its log-odds between toxic and other texts, with a Dirichlet prio
 rates of its beginnings (of 3 to 7 characters), those to the rate of the whole sample. A feature must be LIFT times as
 frequent among the tokens of toxic texts as among those of others, whatever the shares of the two in the sample. Tokens
 without significant odds score the small negative drift that toxic texts have on ordinary words. A linear-time scan
-finds every maximal scoring segment (Ruzzo and Tompa); a segment's expected number in a text of n ordinary tokens is K n exp(-score) (Karlin and
-Altschul; log-odds have the scale 1), K being fitted on the non-toxic texts. The text's score is the probability that
-a logistic curve gives for its best segment's expected number.
+finds every maximal scoring segment (Ruzzo and Tompa); a segment's expected number in a text of n ordinary tokens is
+K n exp(-score) (Karlin and Altschul; log-odds have the scale 1), K being fitted on the non-toxic texts. The evidence
+of all segments is the least chance of any number r of them: their normalised scores add up to t with probability
+exp(-t) t^(r-1) / (r! (r-1)!), and each further segment costs a factor of two. The score is the share of toxic texts
+among those of like evidence, ascending with it (pooled bins of the labelled rows).
 
 Weights are fitted on a sample of labelled rows that are not held out, SAMPLE for each label at most, chosen by a hash
-of doc_id. The curve is fitted on the same rows, each half being scanned with the other half's weights; its odds are
+of doc_id; of repeated ids one text (the last in order) is learned from. The curve is fitted on the same rows, each half being scanned with the other half's weights; its odds are
 then those of all labelled rows that are not held out, not of the sample. Null and empty
 texts score like texts without hits. Repeated rows and null ids give a row each. Repeated labels of an id count once
 (toxic if any is); null labels count as none. Without labels of both kinds every score is the toxic share.
@@ -17,6 +19,7 @@ texts score like texts without hits. Repeated rows and null ids give a row each.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -37,6 +40,10 @@ Z, PRIOR = 3.0, 2.0
 #: Times that a feature must be more frequent in toxic texts than in others.
 LIFT = 2.0
 THRESHOLD = 0.7
+#: Evidence that counts at most.
+MOST = 40.0
+#: Segments whose scores may add up; further ones are lower and no longer change the least chance.
+SEGMENTS = 50
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -45,7 +52,10 @@ class Model:
     weights: dict[str, float] = field(default_factory=dict)  # whole words end in "$"
     drift: float = -0.01
     k: float = 1e-4
-    curve: tuple[float, float] = (0.0, 0.0)
+    curve: tuple[tuple[float, ...], tuple[float, ...]] = ((0.0,), (0.5,))  # evidence and the toxic share, both ascending
+
+    #: Remembered tokens at most (some 150 bytes each); then memory starts anew.
+    KNOWN = 100_000
 
     def __post_init__(self) -> None:
         self.known: dict[str, float] = {}
@@ -54,7 +64,7 @@ class Model:
         """The weight of the most specific significant feature, else 0."""
         found = self.known.get(word)
         if found is None:
-            if len(self.known) > 200_000:
+            if len(self.known) > self.KNOWN:
                 self.known.clear()
             tries = (f"{word}$", *(word[:n] for n in reversed(STARTS) if len(word) >= n))
             found = self.known[word] = next((self.weights[t] for t in tries if t in self.weights), 0.0)
@@ -71,13 +81,20 @@ class Model:
         places = np.nonzero(np.array(known))[0].tolist()
         return len(words), maximal_segments([(i, known[i]) for i in places], self.drift)
 
-    def evidence(self, n: int, segments: list[tuple[int, int, float]]) -> float:
-        """Minus the log of the best segment's expected number, 0 at least."""
-        best = max((s for *_, s in segments), default=0.0)
-        return min(40.0, max(0.0, best - np.log(self.k * n + 1e-3))) if best > 0 else 0.0
+    def evidence(self, n: int, scores: list[float]) -> float:
+        """Minus the log of the chance of the segments' scores in a text of n tokens, 0 at least."""
+        found = total = 0.0
+        floor = math.log(self.k * n + 1e-3)
+        for r, s in enumerate(sorted(scores, reverse=True)[:SEGMENTS]):
+            total += s - floor
+            if s <= floor or total <= 0:
+                break
+            found = max(found, total - r * math.log(max(total, 1.0)) + math.lgamma(r + 2) + math.lgamma(r + 1) - r * math.log(2))
+        return min(MOST, found)
 
     def score(self, evidence: float) -> float:
-        return float(1 / (1 + np.exp(-(self.curve[0] + self.curve[1] * evidence))))
+        share = float(np.interp(evidence, *self.curve))
+        return share + (1 - share) * 1e-3 * evidence / MOST  # more evidence ranks higher where the curve is flat
 
 
 def maximal_segments(hits: list[tuple[int, float]], drift: float) -> list[tuple[int, int, float]]:
@@ -126,15 +143,23 @@ def _weights(counts: DataFrame, part: int | None) -> Model:
     return Model(weights, float(np.log(max(0.5, 1 - heavy))) - 0.01)
 
 
-def _curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Logistic regression with a slight ridge, by Newton steps."""
-    a = np.stack([np.ones_like(x), x], axis=1)
-    w = np.zeros(2)
-    for _ in range(40):
-        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        step = np.linalg.solve((a.T * (p * (1 - p) + 1e-9)) @ a + np.diag([1e-6, 1e-2]), a.T @ (y - p) - np.array([0, 1e-2]) * w)
-        w = w + np.clip(step, -5, 5)
-    return float(w[0]), float(w[1])
+def _curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[tuple[float, ...], tuple[float, ...]]:
+    """The toxic share by evidence: weighted shares of bins of equal size, made ascending by pooling neighbours."""
+    order = np.argsort(x, kind="stable")
+    x, y, weight = x[order], y[order], weight[order]
+    none = int((x <= 0).sum())
+    size = max(20, (len(x) - none) // 100)
+    cuts = [0, none, *range(none + size, len(x) - size + 1, size), len(x)]
+    blocks: list[list[float]] = []  # weight, weight of toxic texts, weighted evidence
+    for a, e in zip(cuts, cuts[1:], strict=False):
+        if a == e:
+            continue
+        w = weight[a:e]
+        blocks.append([float(w.sum()), float((w * y[a:e]).sum()), float((w * x[a:e]).sum())])
+        while len(blocks) > 1 and blocks[-2][1] * blocks[-1][0] >= blocks[-1][1] * blocks[-2][0]:
+            last = blocks.pop()
+            blocks[-1] = [p + q for p, q in zip(blocks[-1], last, strict=True)]
+    return tuple(b[2] / b[0] for b in blocks), tuple(b[1] / b[0] for b in blocks)
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
@@ -143,33 +168,34 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     marks = marks.where(fold() != 1)
     counts = {r["toxic"]: r["n"] for r in marks.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     chosen = bounded_sample(marks, sample, "toxic", counts)
-    rows = settle(docs.select("doc_id", "text").join(chosen, "doc_id").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int")), "labelled")
-    words = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"\p{L}+"), F.lit(0))
+    # the sample's ids are 2 * sample at most (give or take their hashes), so they are broadcast and no other text moves
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.max("text").alias("text"))
+    rows = settle(texts.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int")), "labelled")
+    words = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{Nl}\p{No}]+"), F.lit(0))  # what WORD matches
     tokens = settle(rows.select("part", "toxic", F.explode(words).alias("word")).groupBy("word", "part", "toxic").agg(F.count("*").alias("n")), "tokens")
     halves = {part: _weights(tokens, part) for part in (0, 1)}
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            n, best = [], []
+            n, found = [], []
             for part, text in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
                 size, segments = halves[part].segments(text)
-                n.append(size), best.append(max((s for *_, s in segments), default=0.0))
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(n, pa.int64()), pa.array(best, pa.float64())], names=["toxic", "n", "best"])
+                n.append(size), found.append(sorted((s for *_, s in segments), reverse=True)[:SEGMENTS])
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(n, pa.int64()), pa.array(found, pa.list_(pa.float64()))], names=["toxic", "n", "scores"])
 
-    seen = rows.select("part", "toxic", "text").mapInArrow(scan, "toxic boolean, n long, best double").toPandas()  # 2 * sample rows at most
+    seen = rows.select("part", "toxic", "text").mapInArrow(scan, "toxic boolean, n long, scores array<double>").toPandas()  # 2 * sample rows at most
     model = _weights(tokens, None)
     y = seen["toxic"].to_numpy(float)
     if not 0 < y.sum() < len(y):
-        share = (y.sum() + 0.5) / (len(y) + 1)
-        model.curve = (float(np.log(share / (1 - share))), 0.0)
+        model.curve = ((0.0,), (float((y.sum() + 0.5) / (len(y) + 1)),))
         return model
     plain = seen[~seen["toxic"]]
-    model.k = float(((plain["best"] > 0) * np.exp(np.minimum(plain["best"], 20))).clip(upper=50).sum() + 1) / float(plain["n"].sum() + 1)
-    x = np.array([model.evidence(n, [(0, 0, s)] if s > 0 else []) for n, s in zip(seen["n"], seen["best"], strict=True)])
-    a, b = _curve(x, y)
-    # the sample takes another share of each label: back to the odds that the labels have
+    best = np.array([x[0] if len(x) else 0.0 for x in plain["scores"]])
+    model.k = float(np.where(best > 0, np.minimum(np.exp(np.minimum(best, 20)), 50), 0).sum() + 1) / float(plain["n"].sum() + 1)
+    x = np.array([model.evidence(n, list(s)) for n, s in zip(seen["n"], seen["scores"], strict=True)])
+    # the sample may take another share of each label; weights give it the odds that the labels have
     taken = {k: min(1.0, sample / n) for k, n in counts.items()}
-    model.curve = (a - float(np.log(taken[True] / taken[False])), b)
+    model.curve = _curve(x, y, np.where(y > 0, 1 / taken[True], 1 / taken[False]))
     return model
 
 
@@ -182,7 +208,7 @@ def scan_texts(docs: DataFrame, model: Model, keep: list[str], text: str = "text
             scores, passages = [], []
             for t in b.column("_text").to_pylist():
                 n, segments = model.segments(t)
-                scores.append(model.score(model.evidence(n, segments)))
+                scores.append(model.score(model.evidence(n, [s for *_, s in segments])))
                 expected = [(a, e, s, model.k * n * float(np.exp(-s))) for a, e, s in segments]
                 passages.append([{"first": a, "last": e - 1, "score": s, "expected": x} for a, e, s, x in expected if x < 0.05])
             kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("score", pa.float64()), ("expected", pa.float64())]))
