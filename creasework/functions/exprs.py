@@ -20,16 +20,29 @@ def sum_if(cond: Column, value: str | Column) -> Column:
     return F.sum(F.when(cond, col(value)).otherwise(0))
 
 
+def round_even(c: Column, digits: int) -> Column:
+    """Scaled, rounded half to even, scaled back, as array libraries do it: 2.675 is 267.49.. hundredths and gives 2.67.
+    (Spark's bround takes the shortest decimal text of a double instead.)"""
+    scale = F.lit(10.0**digits)
+    return F.rint(c * scale) / scale
+
+
+def round_half_up(c: Column, digits: int) -> Column:
+    """Scaled, rounded with halves away from zero, scaled back."""
+    scale = F.lit(10.0**digits)
+    return F.signum(c) * F.floor(F.abs(c) * scale + 0.5) / scale
+
+
 def ratio(num: str | Column, den: str | Column, scale: float = 1.0, digits: int | None = 2) -> Column:
     """num * scale / den, null where den is not positive; rounded half to even."""
     out = F.when(col(den) > 0, col(num) * F.lit(float(scale)) / col(den))
-    return out if digits is None else F.bround(out, digits)
+    return out if digits is None else round_even(out, digits)
 
 
 def over_one(num: str | Column, den: str | Column, scale: float = 1.0, digits: int | None = 2) -> Column:
     """num * scale / den with the denominator clamped to at least 1."""
     out = col(num) * F.lit(float(scale)) / F.greatest(col(den), F.lit(1))
-    return out if digits is None else F.bround(out, digits)
+    return out if digits is None else round_even(out, digits)
 
 
 def clamp(c: str | Column, low: float, high: float) -> Column:

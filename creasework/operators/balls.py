@@ -43,8 +43,8 @@ def with_context(d: DataFrame) -> DataFrame:
     left = F.greatest(F.lit(1), F.lit(C.INNINGS_BALLS) - F.col("cum_legal"))
     return d.withColumns(
         {
-            "crr_at_ball": F.when(chase, F.bround(F.col("cum_runs") / F.greatest(F.lit(1), F.col("cum_legal")) * 6, 2)),
-            "req_rate_at_ball": F.when(chase, F.bround(need / left * 6, 2)),
+            "crr_at_ball": F.when(chase, X.round_even(F.col("cum_runs") / F.greatest(F.lit(1), F.col("cum_legal")) * 6, 2)),
+            "req_rate_at_ball": F.when(chase, X.round_even(need / left * 6, 2)),
         }
     )
 
@@ -109,7 +109,7 @@ def bowler_innings(d: DataFrame, charge_illegal: bool = False) -> DataFrame:
         X.count_if(F.col("is_four") | F.col("is_six")).alias("boundaries_con"),
         *out,
     )
-    return spell.withColumn("overs_bowled", F.bround(F.col("balls_bowled") / 6, 1))
+    return spell.withColumn("overs_bowled", X.round_even(F.col("balls_bowled") / 6, 1))
 
 
 def milestones(batting: DataFrame, bowling: DataFrame, runs: dict[str, int] | None = None, wickets: dict[str, int] | None = None) -> DataFrame:

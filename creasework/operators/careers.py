@@ -70,7 +70,7 @@ def _averages(d: DataFrame) -> DataFrame:
 
 def career_batting(batting: DataFrame, venue_factors: DataFrame) -> DataFrame:
     phases = [F.sum(f"{p}_{w}").alias(f"{p}_{w}") for p in ("pp", "mid", "death") for w in ("runs", "balls")]
-    more = [F.median("runs").alias("median_runs"), X.count_if(F.col("runs").between(30, 49)).alias("thirties"), X.count_if(F.col("batting_position") <= 2).alias("times_opened"), F.sum(F.bround(F.col("runs") / F.col("factor"), 6).cast("decimal(20,6)")).alias("adj_runs")]
+    more = [F.median("runs").alias("median_runs"), X.count_if(F.col("runs").between(30, 49)).alias("thirties"), X.count_if(F.col("batting_position") <= 2).alias("times_opened"), F.sum(X.round_even(F.col("runs") / F.col("factor"), 6).cast("decimal(20,6)")).alias("adj_runs")]
     d = _averages(with_total(with_factor(batting, venue_factors), ["player_id"], [*batting_sums(), F.sum("fours").alias("fours"), F.sum("sixes").alias("sixes"), *phases, *more]))
     d = d.withColumn("adj_average", X.ratio(F.col("adj_runs").cast("double"), F.col("innings") - F.col("not_outs"))).withColumn("adj_strike_rate", F.col("strike_rate"))
     return d.withColumns({f"{p}_sr": X.ratio(f"{p}_runs", f"{p}_balls", 100) for p in ("pp", "mid", "death")}).drop("adj_runs")
@@ -78,7 +78,7 @@ def career_batting(batting: DataFrame, venue_factors: DataFrame) -> DataFrame:
 
 def career_bowling(bowling: DataFrame, venue_factors: DataFrame) -> DataFrame:
     phases = [F.sum(f"{p}_{w}").alias(f"{p}_{w}") for p in ("pp", "mid", "death") for w in ("balls", "runs", "wickets")]
-    more = [F.sum("dot_balls").alias("dots"), F.sum(F.bround(F.col("runs_conceded") / F.col("factor"), 6).cast("decimal(20,6)")).alias("adj_runs")]
+    more = [F.sum("dot_balls").alias("dots"), F.sum(X.round_even(F.col("runs_conceded") / F.col("factor"), 6).cast("decimal(20,6)")).alias("adj_runs")]
     d = with_total(with_factor(bowling, venue_factors), ["player_id"], [*bowling_sums(), *phases, *more])
     d = d.withColumns(
         {
@@ -157,7 +157,7 @@ def by_season(batting: DataFrame, bowling: DataFrame) -> DataFrame:
 
 def _shares(counts: DataFrame) -> DataFrame:
     total = F.sum("n").over(Window.partitionBy("player_id"))
-    return counts.withColumn("pct", F.bround(F.col("n") * 100.0 / total, 1))
+    return counts.withColumn("pct", X.round_even(F.col("n") * 100.0 / total, 1))
 
 
 def dismissals_batting(batting: DataFrame) -> DataFrame:

@@ -22,14 +22,35 @@ def leaderboard(ratings: DataFrame, by: str = "overall_rating", n: int = 20) ->
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc_nulls_last(by), "player_id")))
 
 
-def explore(players: DataFrame, least_innings: int = 0, country: str | None = None, styles: DataFrame | None = None, style: str | None = None, strong: bool | None = None, by: str = "bat_rating", n: int = 200) -> DataFrame:
-    """Players by country, innings and strike rate against a style (130 or more if strong, 100 or less if not)."""
-    d = players.where(F.coalesce("innings", F.lit(0)) >= least_innings)
+def explore(players: DataFrame, least_innings: int = 0, country: str | None = None, styles: DataFrame | None = None, style: str | None = None, strong: bool | None = None, by: str = "bat_rating", n: int = 200, name: str | None = None, role: str | None = None, ascending: bool = False) -> DataFrame:
+    """Players by name (part of it, in any case), country, role, innings and strike rate against a style (130 or more if
+    strong, 100 or less if not).
+
+    Bowlers need no innings as batters and are ordered by bowl_rating, where another order is not asked for.
+    """
+    bowlers = role == "Bowler"
+    d = players if bowlers else players.where(F.coalesce("innings", F.lit(0)) >= least_innings)
+    d = d.where(F.contains(F.lower("name"), F.lit(name.lower()))) if name else d
     d = d.where(F.col("country") == country) if country else d
+    d = d.where(F.col("role") == role) if role else d
     if styles is not None and strong is not None:
         met = styles.where((F.col("style") == style) & (F.col("strike_rate") >= 130 if strong else F.col("strike_rate") <= 100))
         d = d.join(met.select(F.col("batter_id").alias("player_id")), "player_id", "left_semi")
-    return d.orderBy(F.desc_nulls_last(by), "player_id").limit(n)
+    by = "bowl_rating" if bowlers and by == "bat_rating" else by
+    return d.orderBy(F.asc_nulls_last(by) if ascending else F.desc_nulls_last(by), "player_id").limit(n)
+
+
+def venue_filter(venues: DataFrame, **wanted: str | None) -> DataFrame:
+    """Venues with the wanted values (country=.., city=.., pitch_type=.., operational_status=..); None leaves a facet open."""
+    for column, value in wanted.items():
+        venues = venues.where(F.col(column) == value) if value is not None else venues
+    return venues
+
+
+def venue_facets(venues: DataFrame, facets: tuple[str, ...] = ("country", "city", "pitch_type", "operational_status")) -> DataFrame:
+    """(facet, value, venues): the values that each facet can take, in one pass."""
+    long = venues.select(F.explode(F.array(*(F.struct(F.lit(f).alias("facet"), F.col(f).cast("string").alias("value")) for f in facets))).alias("x")).select("x.*")
+    return long.where("value is not null").groupBy("facet", "value").agg(F.count("*").alias("venues")).orderBy("facet", "value")
 
 
 def venue_extremes(factors: DataFrame, by: str = "bat_factor", n: int = 8) -> DataFrame:
@@ -54,7 +75,7 @@ def team_ids(matches: DataFrame, tournament: str | None = None) -> DataFrame:
 def opponents_of_kind(split: DataFrame, countries: DataFrame, inside: bool = True) -> DataFrame:
     """Rows whose opponent is (or is not) among the teams; a null opponent is in neither."""
     keys = countries.select(F.col("team_id").alias("opponent_id"))
-    return split.where("opponent_id is not null").join(F.broadcast(keys) if countries.isLocal() else keys, "opponent_id", "left_semi" if inside else "left_anti")
+    return split.where("opponent_id is not null").join(keys, "opponent_id", "left_semi" if inside else "left_anti")
 
 
 def shared_venues(split: DataFrame, a: int, b: int) -> DataFrame:

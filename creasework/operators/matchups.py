@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from creasework.functions import exprs as X
 
 
+#: Bowlers whose predicted matchups are asked for at once; their few columns are broadcast.
+BOWLERS = 100_000
+
+
 def faced() -> Column:
     """Balls that count for matchups: no wides, but no-balls do."""
     return F.col("wide") == 0
@@ -67,23 +71,39 @@ def dismissal_phases(d: DataFrame) -> DataFrame:
     return wide.select("batter_id", "wicket_kind", F.col("0").alias("powerplay"), F.col("1").alias("middle"), F.col("2").alias("death"))
 
 
+#: Cells of a matrix of matchups at most.
+CELLS = 10_000
+
+
 def matrix(d: DataFrame, batters: DataFrame, bowlers: DataFrame) -> DataFrame:
     """Each of a few batters against each of a few bowlers (a side's top six and the other's last five).
 
     The two lists have a fixed size, so their product has too; balls are aggregated once for all cells.
     """
-    cells = batters.join(F.broadcast(bowlers))
+    if batters.count() * bowlers.count() > CELLS:
+        raise ValueError(f"a matrix has {CELLS} cells at most; matchups of all pairs come from pair_sums")
+    cells = batters.crossJoin(F.broadcast(bowlers))
     own = d.join(F.broadcast(batters), "batter_id", "left_semi").join(F.broadcast(bowlers), "bowler_id", "left_semi")
     return cells.join(with_rates(pair_sums(own, "batter_id", "bowler_id")), ["batter_id", "bowler_id"], "left").fillna(0, subset=["balls", "runs", "dismissals", "wickets", "dots", "boundaries"])
 
 
+def threats(d: DataFrame, batters: DataFrame, bowlers: DataFrame, least: int = 6) -> DataFrame:
+    """Bowlers against each batter of the other side with enough balls between them (wides count here): balls, whole
+    strike rate, wickets; most wickets first."""
+    own = d.join(F.broadcast(batters.limit(CELLS)), "batter_id", "left_semi").join(F.broadcast(bowlers.limit(CELLS)), "bowler_id", "left_semi")
+    met = own.groupBy("bowler_id", "batter_id").agg(F.count("*").alias("balls"), F.sum("bat_runs").alias("runs"), X.count_if(F.col("is_wicket")).alias("wickets")).where(F.col("balls") >= least)
+    return met.select("bowler_id", "batter_id", "balls", X.round_even(F.col("runs") * 100.0 / F.col("balls"), 0).cast("long").alias("strike_rate"), "wickets").orderBy(F.desc("wickets"), "bowler_id", "batter_id")
+
+
 def predicted(bat: DataFrame, bowl: DataFrame, bat_factor: Column | None = None, dot_as_percent: bool = False) -> DataFrame:
     """Predicted edge of batters (average, strike_rate, pp_sr, mid_sr, death_sr) over bowlers (economy, strike_rate,
     dot_pct, pp_economy, mid_economy, death_economy), joined already as columns b_* and w_*.
 
     dot_as_percent keeps the behaviour of taking the dot percentage as if it were a fraction.
     """
-    d = bat.join(F.broadcast(bowl))
+    if bowl.count() > BOWLERS:
+        raise ValueError(f"more than {BOWLERS} bowlers: predict them in several calls")
+    d = bat.crossJoin(F.broadcast(bowl))
     sr, avg = X.default("b_strike_rate", 120.0), X.default("b_average", 25.0)
     pp, mid, death = (F.coalesce(F.nullif(F.col(f"b_{p}_sr"), F.lit(0.0)), sr) for p in ("pp", "mid", "death"))
     eco, bpw = X.default("w_economy", 8.0), X.default("w_strike_rate", 20.0)
@@ -99,5 +119,5 @@ def predicted(bat: DataFrame, bowl: DataFrame, bat_factor: Column | None = None,
     ground = X.clamp((F.coalesce(bat_factor, one) - 1) * 0.25, -0.25, 0.25) if bat_factor is not None else F.lit(0.0)
     total = X.clamp(d1 * 0.30 + d2 * 0.25 + d3 * 0.25 + d4 * 0.20 + ground, -1, 1)
     verdict = F.when(F.col("edge") > 0.4, "batter dominates").when(F.col("edge") > 0.15, "batter has the edge").when(F.col("edge") > 0, "slight batter advantage").when(F.col("edge") > -0.15, "slight bowler advantage").when(F.col("edge") > -0.4, "bowler has the edge").otherwise("bowler dominates")
-    rounded = {n: F.round(c, 6) for n, c in (("rate_clash", d1), ("phase_threat", d2), ("wicket_vulnerability", d3), ("pressure", d4), ("edge", total))}
+    rounded = {n: X.round_half_up(c, 6) for n, c in (("rate_clash", d1), ("phase_threat", d2), ("wicket_vulnerability", d3), ("pressure", d4), ("edge", total))}
     return d.withColumns(rounded).withColumn("verdict", verdict)

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from creasework import config as C
 from creasework.functions import exprs as X
+from creasework.sources.shared import settle
 
 BAT_FEATURES = ["venue_bat_factor", "boundary_rate", "pace_index", "batting_position", "is_chase", "req_rr", "career_adj_avg", "career_adj_sr", "career_innings", "chase_avg", "first_avg", "chase_sr", "pp_sr", "mid_sr", "death_sr", "tournament_enc"]
 BOWL_FEATURES = ["venue_bat_factor", "boundary_rate", "pace_index", "career_adj_econ", "career_dot_pct", "career_bowl_inn", "pp_economy", "mid_economy", "death_economy", "tournament_enc"]
@@ -53,7 +55,7 @@ def batting_features(batting: DataFrame, factors: DataFrame, career: DataFrame,
         "chase_sr": _clipped("_cs", 120, 50, 250),
         "tournament_enc": _tournament(),
     }
-    return d.select("innings_id", "player_id", "runs", "season", *((out | own)[n].alias(n) for n in BAT_FEATURES))
+    return d.select("innings_id", "player_id", "runs", "season", "tournament", *((out | own)[n].alias(n) for n in BAT_FEATURES))
 
 
 def bowling_features(bowling: DataFrame, factors: DataFrame, career: DataFrame, least_balls: int = 6) -> DataFrame:
@@ -72,25 +74,63 @@ def bowling_features(bowling: DataFrame, factors: DataFrame, career: DataFrame,
     return d.where((F.col("economy_target") > 2) & (F.col("economy_target") < 24)).select("innings_id", "player_id", "economy_target", "season", *(out[n].alias(n) for n in BOWL_FEATURES))
 
 
-def train(d: DataFrame, features: list[str], label: str, trees: int = 196, rate: float = 0.1357, depth: int = 6, share: float = 0.7745, least: int = 41) -> PipelineModel:
+#: Settings of the boosted trees: batters (openers and top order, and all), lower order and tail, bowlers.
+BAT_TREES = {"trees": 196, "rate": 0.1357, "depth": 6, "share": 0.7745, "least": 41}
+LOW_TREES = {"trees": 150, "rate": 0.1, "depth": 4, "share": 0.7745, "least": 20}
+BOWL_TREES = {"trees": 400, "rate": 0.05, "depth": 4, "share": 0.8, "least": 20, "subset": "all"}
+#: Rows of a partition that trees are trained on; few rows in many partitions cost more in tasks than in work.
+TRAIN_ROWS = 50_000
+
+
+def train(d: DataFrame, features: list[str], label: str, trees: int = 196, rate: float = 0.1357, depth: int = 6, share: float = 0.7745, least: int = 41, subset: str = "0.7645") -> PipelineModel:
     """Scaler and boosted trees, fitted by Spark over all rows."""
-    trees_ = GBTRegressor(featuresCol="scaled", labelCol=label, predictionCol="prediction", maxIter=trees, stepSize=rate, maxDepth=depth, subsamplingRate=share, minInstancesPerNode=least, featureSubsetStrategy="0.7645", seed=42)
+    trees_ = GBTRegressor(featuresCol="scaled", labelCol=label, predictionCol="prediction", maxIter=trees, stepSize=rate, maxDepth=depth, subsamplingRate=share, minInstancesPerNode=least, featureSubsetStrategy=subset, seed=42)
     stages = [VectorAssembler(inputCols=features, outputCol="features"), StandardScaler(inputCol="features", outputCol="scaled", withMean=True), trees_]
-    return Pipeline(stages=stages).fit(d.withColumn(label, F.col(label).cast("double")))
+    d = settle(d.select(*features, F.col(label).cast("double").alias(label)), "training")
+    return Pipeline(stages=stages).fit(d.coalesce(max(1, -(-d.count() // TRAIN_ROWS))))
 
 
 def train_by_position(d: DataFrame, trees: int | None = None, least_rows: int = 100) -> dict[str, PipelineModel]:
-    """A model for each position group with enough rows, and one over all as fallback."""
-    counts = {r["g"]: r["n"] for r in d.withColumn("g", position_group()).groupBy("g").agg(F.count("*").alias("n")).collect()}
-    models = {"all": train(d, BAT_FEATURES, "runs", trees or 196)}
+    """A model for each position group with enough rows, and one over all as fallback; trees: fewer than the settings'."""
+    d = settle(d.withColumn("_g", position_group()), "positions")
+    counts = {r["_g"]: r["n"] for r in d.groupBy("_g").agg(F.count("*").alias("n")).collect()}
+    own = lambda kind: kind | {"trees": trees or kind["trees"]}
+    models = {"all": train(d, BAT_FEATURES, "runs", **own(BAT_TREES))}
     for group in C.POSITION_GROUPS:
         if counts.get(group, 0) >= least_rows:
-            early = group in ("openers", "top_order")
-            own = d.where(position_group() == group)
-            models[group] = train(own, BAT_FEATURES, "runs", trees or 196) if early else train(own, BAT_FEATURES, "runs", trees or 150, 0.1, 4, 0.7745, 20)
+            models[group] = train(d.where(F.col("_g") == group), BAT_FEATURES, "runs", **own(BAT_TREES if group in ("openers", "top_order") else LOW_TREES))
     return models
 
 
+def train_bowling(d: DataFrame, **settings) -> PipelineModel:
+    """The model of economy."""
+    return train(d, BOWL_FEATURES, "economy_target", **(BOWL_TREES | settings))
+
+
+def fold_errors(d: DataFrame, features: list[str], label: str, folds: int = 3, **settings) -> DataFrame:
+    """(fold, n, mae): errors on each fold, by hash of the innings, of a model of the others."""
+    d = settle(d.withColumn("fold", F.pmod(F.xxhash64("innings_id", "player_id"), F.lit(folds)).cast("int")), "folds")
+    rows = [train(d.where(F.col("fold") != k), features, label, **settings).transform(d.where(F.col("fold") == k)).select("fold", F.abs(F.col("prediction") - F.col(label)).alias("e")) for k in range(folds)]
+    return reduce(DataFrame.union, rows).groupBy("fold").agg(F.count("*").alias("n"), F.avg("e").alias("mae"))
+
+
+def save_model(model: PipelineModel, path: str, meta: dict) -> None:
+    """The model and what is known of it (features, sizes, errors, importances) as JSON beside it."""
+    model.write().overwrite().save(f"{path}/model")
+    spark = SparkSession.active()
+    spark.createDataFrame([(json.dumps(meta, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
+
+
+def load_model(spark: SparkSession, path: str) -> tuple[PipelineModel, dict]:
+    return PipelineModel.load(f"{path}/model"), json.loads(spark.read.text(f"{path}/meta").first()["value"])
+
+
+def metrics_table(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(model, metric, value): the numbers in the meta of saved models."""
+    rows = [(p.rstrip("/").rsplit("/", 1)[-1], k, float(v)) for p in paths for k, v in load_model(spark, p)[1].items() if isinstance(v, (int, float))]
+    return spark.createDataFrame(rows, "model string, metric string, value double")
+
+
 def position_group() -> Column:
     p = F.col("batting_position")
     return F.coalesce(*(F.when(p.between(lo, hi), name) for name, (lo, hi) in C.POSITION_GROUPS.items()), F.lit("top_order"))
@@ -119,18 +159,48 @@ def evaluate(d: DataFrame, label: str) -> DataFrame:
     )
 
 
+def errors_by(d: DataFrame, label: str, key: str = "tournament") -> DataFrame:
+    """Innings, mean absolute error and bias of each tournament, the least error first."""
+    e = F.col("prediction") - F.col(label)
+    return d.groupBy(key).agg(F.count("*").alias("innings"), X.round_even(F.avg(F.abs(e)), 2).alias("mae"), X.round_even(F.avg(e), 2).alias("bias")).orderBy("mae", key)
+
+
 def holdout(d: DataFrame, features: list[str], label: str, season: str, strict: bool = False, **params) -> DataFrame:
-    """Fit on the other seasons (only those before, if strict), evaluate on the one held out."""
+    """Fit on the other seasons (only those before, if strict), evaluate on the one held out.
+
+    The features must not come from the held-out season either: see ``split_by_season``.
+    """
     rest = d.where(F.col("season") < season) if strict else d.where(F.col("season") != season)
     return evaluate(train(rest, features, label, **params).transform(d.where(F.col("season") == season)), label)
 
 
-def tune(d: DataFrame, features: list[str], label: str, season: str, grid: list[dict]) -> DataFrame:
-    """Holdout errors of each setting, best first."""
-    rows = [holdout(d, features, label, season, **g).withColumn("setting", F.lit(str(sorted(g.items())))) for g in grid]
+def split_by_season(facts: DataFrame, season: str, strict: bool = True) -> DataFrame:
+    """The facts that features may be made from: seasons before the held-out one, or all others."""
+    return facts.where(F.col("season") < season) if strict else facts.where(F.col("season") != season)
+
+
+def tune(d: DataFrame, features: list[str], label: str, grid: list[dict], season: str | None = None, folds: int = 3) -> DataFrame:
+    """(setting, mae) of each setting over folds, best first; a held-out season is left out of the search."""
+    rest = d.where(F.col("season") != season) if season else d
+    rows = [fold_errors(rest, features, label, folds, **g).agg((F.sum(F.col("mae") * F.col("n")) / F.sum("n")).alias("mae")).withColumn("setting", F.lit(str(sorted(g.items())))) for g in grid]
     return reduce(DataFrame.union, rows).orderBy("mae")
 
 
+def players_at_venue(bat_model: PipelineModel, bowl_model: PipelineModel, players: DataFrame, venue: DataFrame) -> DataFrame:
+    """Each player at one venue: predicted runs batting first and chasing, and predicted economy, best first.
+
+    players: player_id and the features of batting and bowling but for those of the venue (null where unknown); venue:
+    one row of bat_factor, boundary_rate, pace_index.
+    """
+    v = venue.limit(1).select(F.col("bat_factor"), F.col("boundary_rate").alias("_boundary"), F.col("pace_index").alias("_pace"))
+    d = players.crossJoin(F.broadcast(v)).withColumns({n: f() for n, f in _VENUE.items()}).drop("bat_factor", "_boundary", "_pace")
+    usual = {"career_adj_avg": 20.0, "career_adj_sr": 120.0, "career_innings": 20.0, "chase_avg": 20.0, "first_avg": 20.0, "chase_sr": 120.0, "batting_position": 4.0, "pp_sr": 130.0, "mid_sr": 125.0, "death_sr": 135.0, "career_adj_econ": 8.5, "career_dot_pct": 33.0, "career_bowl_inn": 20.0, "pp_economy": 8.0, "mid_economy": 8.0, "death_economy": 9.5, "tournament_enc": 5.0}
+    d = d.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(x)) if c in d.columns else F.lit(x) for c, x in usual.items()})
+    runs = bat_model.transform(two_situations(d)).groupBy("player_id").agg(*(F.greatest(X.round_even(F.max(F.when(F.col("situation") == k, F.col("prediction"))), 1), F.lit(0.0)).alias(n) for k, n in (("first", "runs_first"), ("chase", "runs_chase"))))
+    economy = bowl_model.transform(d).select("player_id", X.round_even(F.col("prediction"), 2).alias("economy"))
+    return runs.join(economy, "player_id").orderBy(F.desc("runs_first"), "player_id")
+
+
 def intervals(model: PipelineModel, d: DataFrame, features: list[str], key: str, draws: int = 300, noise: float = 0.07, seed: int = 0) -> DataFrame:
     """10 % and 90 % points of predictions under multiplicative noise on every feature: all draws of all rows are one
     transformed frame."""

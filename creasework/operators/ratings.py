@@ -13,10 +13,9 @@ def scored(d: DataFrame, metrics: dict[str, tuple[Column, bool]], digits: int =
     """Add a 0-100 score of each metric over all rows: (value, whether higher is better).
 
     Nulls take the median; a constant metric scores 50. One aggregation to a single row gives all statistics: mean and
-    deviation with the nulls filled follow from those without and the median. The rows (players, few against the balls)
-    are kept for the second pass.
+    deviation with the nulls filled follow from those without and the median.
     """
-    d = d.withColumns({f"_v_{n}": v.cast("double") for n, (v, _) in metrics.items()}).persist()
+    d = d.withColumns({f"_v_{n}": v.cast("double") for n, (v, _) in metrics.items()})
     parts = {"k": F.count, "a": F.avg, "q": F.var_pop, "m": F.median}
     stats = d.agg(F.count("*").alias("_n"), *(F.coalesce(f(f"_v_{n}"), F.lit(0)).cast("double").alias(f"_{p}_{n}") for n in metrics for p, f in parts.items()))
     derived = {}

@@ -20,9 +20,9 @@ def xi_rating(squads: DataFrame, ratings: DataFrame, venue: DataFrame | None = N
     bat, bowl, death = (F.when(known, F.coalesce(c, F.lit(50.0))) for c in ("bat_rating", "bowl_rating", "s_death_sr"))
     w_bat, w_bowl = F.when(top, 2).otherwise(1), F.when(top, 1).otherwise(2)
     d = d.groupBy("side").agg(
-        F.bround(F.sum(bat * w_bat) / F.sum(w_bat), 1).alias("batting"),
-        F.bround(F.sum(bowl * w_bowl) / F.sum(w_bowl), 1).alias("bowling"),
-        F.bround(X.count_if(known & (F.coalesce("bat_rating", F.lit(0.0)) > depth_above)) * 100.0 / F.count("*"), 1).alias("depth"),
+        X.round_even(F.sum(bat * w_bat) / F.sum(w_bat), 1).alias("batting"),
+        X.round_even(F.sum(bowl * w_bowl) / F.sum(w_bowl), 1).alias("bowling"),
+        X.round_even(X.count_if(known & (F.coalesce("bat_rating", F.lit(0.0)) > depth_above)) * 100.0 / F.count("*"), 1).alias("depth"),
         F.coalesce(F.avg(F.when(~top & known, X.default("bowl_rating", 50.0))), F.lit(50.0)).alias("low_bowl"),
         F.coalesce(F.avg(death), F.lit(50.0)).alias("death"),
     )
@@ -32,8 +32,8 @@ def xi_rating(squads: DataFrame, ratings: DataFrame, venue: DataFrame | None = N
         v = venue.select(X.default("pace_index", 0.5).alias("pace"), X.default("bat_factor", 1.0).alias("factor"))
         pace = F.col("low_bowl") * F.col("pace") + (100 - F.col("low_bowl")) * (1 - F.col("pace"))
         hitting = X.clamp(F.col("death") * (F.col("factor") - 0.7) / 0.6, 0, 100)
-        d = d.crossJoin(F.broadcast(v)).withColumn("venue_fit", F.bround(pace * 0.5 + hitting * 0.3 + 10.0, 1))
-    overall = F.bround(F.col("batting") * 0.35 + F.col("bowling") * 0.35 + F.col("depth") * 0.15 + F.col("venue_fit") * 0.15, 1)
+        d = d.crossJoin(F.broadcast(v)).withColumn("venue_fit", X.round_even(pace * 0.5 + hitting * 0.3 + 10.0, 1))
+    overall = X.round_even(F.col("batting") * 0.35 + F.col("bowling") * 0.35 + F.col("depth") * 0.15 + F.col("venue_fit") * 0.15, 1)
     return d.withColumn("overall", overall).withColumn("grade", X.grade("overall")).select("side", "batting", "bowling", "depth", "venue_fit", "overall", "grade")
 
 

@@ -40,8 +40,8 @@ def factors(innings: DataFrame, deliveries: DataFrame, matches: DataFrame, least
         (F.col("runs") / F.col("n")).alias("avg_first_inn_runs"),
         "avg_first_inn_wickets",
         "avg_second_inn_runs",
-        F.bround(F.col("shrunk") / F.col("mean"), 6).alias("bat_factor"),
-        F.bround(F.col("mean") / F.col("shrunk"), 6).alias("bowl_factor"),
+        X.round_even(F.col("shrunk") / F.col("mean"), 6).alias("bat_factor"),
+        X.round_even(F.col("mean") / F.col("shrunk"), 6).alias("bowl_factor"),
         "boundary_rate",
         "pace_index",
         "spin_index",

@@ -7,13 +7,17 @@
 from __future__ import annotations
 
 import sys
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creasework.operators import balls, careers, form, lookups, ratings, similarity, venues
+from creasework.operators import balls, careers, entities, form, lookups, ratings, similarity, venues
 from creasework.sources import match_json, tables
+from creasework.sources.shared import settle
 
+#: Tables that an ingest writes before its matches.
+INGESTED = ("deliveries", "people")
 SCORES = ["s_opener", "s_finisher", "s_anchor", "s_pp_sr", "s_death_sr", "s_chase", "s_pp_bowl", "s_mid_bowl", "s_death_bowl"]
 
 
@@ -24,7 +28,11 @@ class Store:
         self.spark, self.path = spark, path
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{name}")
+        d = self.spark.read.parquet(f"{self.path}/{name}")
+        if name in INGESTED:  # only what an ingest that came to its end has written
+            done = self.spark.read.parquet(f"{self.path}/matches").select("batch").distinct()
+            d = d.join(F.broadcast(done), "batch", "left_semi").drop("batch")  # a row for each ingest
+        return d
 
     def has(self, name: str) -> bool:
         jvm = self.spark._jvm
@@ -35,14 +43,22 @@ class Store:
         tables.overwrite(d, f"{self.path}/{name}")
 
     def ingest(self, documents: str, tournament: str) -> dict[str, int]:
-        known = self.read("matches").select("source_id") if self.has("matches") else None
+        """Add new documents. All rows of an ingest have one batch, and its matches are written last: balls of an ingest
+        that failed are never read, and its documents count as new the next time."""
+        known = self.spark.read.parquet(f"{self.path}/matches").select("source_id") if self.has("matches") else None
         got = match_json.ingest(self.spark, documents, tournament, known)
-        tables.append(got.deliveries, f"{self.path}/deliveries")
-        tables.append(got.people, f"{self.path}/people")
-        skipped = got.skipped.count()
-        inserted = got.matches.count()
-        tables.append(got.matches, f"{self.path}/matches")
-        return {"inserted": inserted, "skipped": skipped}
+        batch = F.lit(uuid.uuid4().hex)
+        new = settle(got.matches, "new_matches")
+        counts = {"inserted": new.count(), "skipped": got.skipped.count()}
+        if counts["inserted"]:
+            tables.append(got.deliveries.withColumn("batch", batch), f"{self.path}/deliveries")
+            tables.append(got.people.withColumn("batch", batch), f"{self.path}/people")
+            tables.append(new.withColumn("batch", batch), f"{self.path}/matches")
+        return counts
+
+    def players(self, by_name: bool = False) -> DataFrame:
+        """(player_key, uuid, name): one key for each player of all ingests, by uuid, then by name."""
+        return entities.resolve_players(self.read("people"), by_name)
 
     def _canonical(self) -> DataFrame:
         m = self.read("matches").dropDuplicates(["source_id"])
@@ -90,7 +106,9 @@ class Store:
         rated = self.read("ratings").where(F.col("tournament") == tournament)
         numbered = rated.withColumn("id", F.xxhash64("player_id"))
         near = similarity.top_similar(similarity.role_vectors(numbered.withColumn("player_id", F.col("id")), SCORES))
-        self.write("similarity", near)
+        ids = numbered.select("id", "player_id")
+        near = near.join(ids.select(F.col("id").alias("id_a"), F.col("player_id").alias("player_a")), "id_a").join(ids.select(F.col("id").alias("id_b"), F.col("player_id").alias("player_b")), "id_b")
+        self.write("similarity", near.select("player_a", "player_b", "similarity", "rank"))
         played = self.read("batter_innings").join(self._canonical().select("match_id", "match_date"), "match_id").where("balls_faced > 0")
         self.write("form", form.last_n(played.select(F.col("batter_id").alias("player_id"), "match_date", "innings_id", "runs", F.col("balls_faced").alias("balls")), ["match_date", "innings_id"]))
 

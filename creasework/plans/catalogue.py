@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from creasework import config as C
 from creasework.operators import balls, careers, entities, form, lookups, matchups, models, profiles, ratings, similarity, squads, venues
 from creasework.sources.driver_tables import League
+from creasework.sources.shared import settle
 
 #: Marks for the driver's short innings; the library's defaults are 100, 50, 30 and 5, 4.
 SMALL_RUNS = {"hundred": 30, "fifty": 20, "thirty": 10}
@@ -36,7 +37,9 @@ def _rounded_form(d: DataFrame) -> DataFrame:
 
 
 def _countries(g: League) -> DataFrame:
-    return lookups.team_ids(g.matches.where("match_id <= 60"), "BUILDING")
+    """National sides: the teams of one region, over all matches."""
+    home = g.table("nation").join(F.broadcast(g.table("region").where("r_name = 'ASIA'")), F.col("n_regionkey") == F.col("r_regionkey"), "left_semi")
+    return home.select(F.col("n_nationkey").cast("long").alias("team_id")).join(lookups.team_ids(g.matches), "team_id", "left_semi")
 
 
 def _busiest_pair(g: League) -> tuple[int, int]:
@@ -51,7 +54,7 @@ def _squads(g: League) -> DataFrame:
 
 def _predicted(g: League) -> DataFrame:
     bat = g.career_batting.where("tournament = 'ALL'").select(F.col("player_id").alias("batter_id"), *(F.col(c).alias(f"b_{c}") for c in ("average", "strike_rate", "pp_sr", "mid_sr", "death_sr")))
-    bowl = g.career_bowling.where("tournament = 'ALL' and player_id < 22").select(F.col("player_id").alias("bowler_id"), *(F.col(c).alias(f"w_{c}") for c in ("economy", "strike_rate", "dot_pct", "pp_economy", "mid_economy", "death_economy")))
+    bowl = g.career_bowling.where("tournament = 'ALL'").select(F.col("player_id").alias("bowler_id"), *(F.col(c).alias(f"w_{c}") for c in ("economy", "strike_rate", "dot_pct", "pp_economy", "mid_economy", "death_economy")))
     return matchups.predicted(bat, bowl).select("batter_id", "bowler_id", "rate_clash", "phase_threat", "wicket_vulnerability", "pressure", "edge", "verdict")
 
 
@@ -101,16 +104,65 @@ def _venue(g: League) -> DataFrame:
     return g.venue_factors.where("venue_id = 7")
 
 
+def _test_season(g: League) -> str:
+    """The season with the most matches of those that have one before them."""
+    seasons = g.matches.groupBy("season").agg(F.count("*").alias("n"))
+    first = seasons.agg(F.min("season").alias("s"))
+    r = seasons.join(F.broadcast(first), F.col("season") > F.col("s"), "left_semi").orderBy(F.desc("n"), "season").first()
+    return r["season"] if r else ""
+
+
+def _train_features(g: League, season: str) -> DataFrame:
+    """Batting features of all innings, careers and chases being those of the seasons before the held-out one."""
+    past = models.split_by_season(g.batting, season)
+    return models.batting_features(g.batting, g.venue_factors, careers.career_batting(past, g.venue_factors), careers.chase_split(past))
+
+
 def _holdout(g: League) -> DataFrame:
-    seasons = [r["season"] for r in g.matches.groupBy("season").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "season").limit(1).collect()]
-    return models.holdout(_bat_features(g), models.BAT_FEATURES, "runs", seasons[0] if seasons else "", trees=10, depth=4)
+    season = _test_season(g)
+    return models.holdout(_train_features(g, season), models.BAT_FEATURES, "runs", season, strict=True)
+
+
+def _holdout_by_position(g: League) -> DataFrame:
+    """Errors by tournament in the held-out season, each innings by the model of its position group."""
+    season = _test_season(g)
+    d = settle(_train_features(g, season), "features")
+    own = models.train_by_position(d.where(F.col("season") < season), trees=20)
+    return models.errors_by(models.predict_by_position(own, d.where(F.col("season") == season)), "runs")
+
+
+def _bowling_holdout(g: League) -> DataFrame:
+    season = _test_season(g)
+    past = careers.career_bowling(models.split_by_season(g.bowling, season), g.venue_factors)
+    d = models.bowling_features(g.bowling, g.venue_factors, past, least_balls=3)
+    return models.holdout(d, models.BOWL_FEATURES, "economy_target", season, strict=True, **(models.BOWL_TREES | {"trees": 100}))
 
 
 def _intervals(g: League) -> DataFrame:
     d = _bat_features(g)
-    model = models.train(d, models.BAT_FEATURES, "runs", trees=10, depth=4)
-    players = models.two_situations(d.groupBy("player_id").agg(*(F.avg(f).alias(f) for f in models.BAT_FEATURES))).where("situation = 'first'")
-    return models.intervals(model, players, models.BAT_FEATURES, "player_id", draws=50)
+    model = models.train(d, models.BAT_FEATURES, "runs")
+    players = models.two_situations(d.groupBy("player_id").agg(*(F.avg(f).alias(f) for f in models.BAT_FEATURES)))
+    keyed = players.withColumn("key", F.struct("player_id", "situation"))
+    return models.intervals(model, keyed, models.BAT_FEATURES, "key").select("key.*", "lo", "hi")
+
+
+def _at_venue(g: League) -> DataFrame:
+    """Eight players at one venue."""
+    bat, bowl = _bat_features(g), models.bowling_features(g.bowling, g.venue_factors, g.career_bowling, least_balls=3)
+    own = g.career_batting.where("tournament = 'ALL' and player_id between 44 and 51").select("player_id", F.col("adj_average").alias("career_adj_avg"), F.col("adj_strike_rate").alias("career_adj_sr"), F.col("innings").alias("career_innings"), "pp_sr", "mid_sr", "death_sr")
+    other = g.career_bowling.where("tournament = 'ALL'").select("player_id", F.col("adj_economy").alias("career_adj_econ"), F.col("dot_pct").alias("career_dot_pct"), F.col("innings").alias("career_bowl_inn"), "pp_economy", "mid_economy", "death_economy")
+    players = own.join(other, "player_id", "left")
+    return models.players_at_venue(models.train(bat, models.BAT_FEATURES, "runs", trees=20), models.train_bowling(bowl, trees=20), players, _venue(g))
+
+
+def _facets(g: League) -> DataFrame:
+    v = g.venues.join(g.venue_factors, "venue_id", "left").withColumn("pitch_type", _pitch_label()).withColumn("status", F.when(F.col("first_innings") >= 20, "busy").otherwise("quiet"))
+    return lookups.venue_facets(lookups.venue_filter(v, country="ASIA", status=None), ("country", "venue", "pitch_type", "status"))
+
+
+def _threats(g: League) -> DataFrame:
+    n = g.spark.range
+    return matchups.threats(g.deliveries, n(44, 55).withColumnRenamed("id", "batter_id"), n(0, 275).withColumnRenamed("id", "bowler_id"), least=3)
 
 
 def _context(g: League) -> DataFrame:
@@ -139,7 +191,7 @@ PLANS: dict[str, Callable[[League], DataFrame]] = {
     "caught_and_bowled": lambda g: careers.caught_and_bowled(g.deliveries, g.matches),
     "style_matchups": lambda g: matchups.style_matchups(g.deliveries, styles(g)),
     "venue_factors": lambda g: g.venue_factors,
-    "venue_factor_ci": lambda g: venues.factor_intervals(g.innings, g.matches, draws=200),
+    "venue_factor_ci": lambda g: venues.factor_intervals(g.innings, g.matches),
     "pitch_labels": lambda g: g.venue_factors.select("venue_id", _pitch_label()),
     "batting_ratings": lambda g: g.batting_ratings,
     "bowling_ratings": lambda g: g.bowling_ratings,
@@ -174,9 +226,14 @@ PLANS: dict[str, Callable[[League], DataFrame]] = {
     "table_audit": _audit,
     "xi_rating": lambda g: squads.xi_rating(_squads(g), g.overall_ratings, _venue(g)),
     "match_prediction": lambda g: squads.match_prediction(_squads(g), g.overall_ratings, _venue(g), "home"),
-    "batting_features": lambda g: _bat_features(g).drop("season"),
+    "batting_features": lambda g: _bat_features(g).drop("season", "tournament"),
     "bowling_features": lambda g: models.bowling_features(g.bowling, g.venue_factors, g.career_bowling, least_balls=3).drop("season"),
+    "venue_facets": _facets,
+    "matchup_threats": _threats,
     "gbm_holdout_eval": _holdout,
+    "gbm_holdout_by_position": _holdout_by_position,
+    "gbm_bowling_holdout": _bowling_holdout,
+    "players_at_venue": _at_venue,
     "prediction_interval": _intervals,
 }
 

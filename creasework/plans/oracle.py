@@ -179,12 +179,26 @@ SELECTS = {
     "matchup_extremes": f"|r as (select *, {_RATES} from ps where balls >= 3)|" + " union all ".join(f"select * from (select batter_id, bowler_id, balls, strike_rate, dismissals, '{n}' as list from r order by {o}, batter_id, bowler_id limit 10)" for n, o in (("best", "strike_rate desc"), ("worst", "strike_rate"), ("most_dismissed", "dismissals desc"))),
     "dismissal_phase_pivot": "select batter_id, wicket_kind, sum((phase = 0)::int) as powerplay, sum((phase = 1)::int) as middle, sum((phase = 2)::int) as death from balls where is_wicket group by all",
     "predicted_matchup": f"""|d as (select b.player_id as batter_id, w.player_id as bowler_id, {_D['sr']} as sr, {_D['avg']} as av, {_D['eco']} as eco, {_D['bpw']} as bpw, {_D['dot']} as dot, coalesce(nullif(b.pp_sr,0),{_D['sr']}) as bpp, coalesce(nullif(b.mid_sr,0),{_D['sr']}) as bmid, coalesce(nullif(b.death_sr,0),{_D['sr']}) as bdth,
- coalesce(nullif(w.pp_economy,0),{_D['eco']}) as wpp, coalesce(nullif(w.mid_economy,0),{_D['eco']}) as wmid, coalesce(nullif(w.death_economy,0),{_D['eco']}) as wdth from career_batting b, career_bowling w where b.tournament = 'ALL' and w.tournament = 'ALL' and w.player_id < 22),
+ coalesce(nullif(w.pp_economy,0),{_D['eco']}) as wpp, coalesce(nullif(w.mid_economy,0),{_D['eco']}) as wmid, coalesce(nullif(w.death_economy,0),{_D['eco']}) as wdth from career_batting b, career_bowling w where b.tournament = 'ALL' and w.tournament = 'ALL'),
  e as (select *, greatest(-1, least(1, (sr - eco*100/6) / greatest(eco*100/6, 1) * 2)) as d1, greatest(-1, least(1, (case when wpp <= wmid and wpp <= wdth then bpp when wmid <= wdth then bmid else bdth end - sr) / greatest(sr, 1) * 3)) as d2, greatest(-1, least(1, av*100/greatest(sr,1)/greatest(bpw,1) - 1)) as d3, greatest(-1, least(1, sr/greatest(av,1)/5 - dot*2)) as d4 from d),
  f as (select *, round(greatest(-1, least(1, d1*0.30::double + d2*0.25::double + d3*0.25::double + d4*0.20::double)), 6) as edge from e)|select batter_id, bowler_id, round(d1, 6) as rate_clash, round(d2, 6) as phase_threat, round(d3, 6) as wicket_vulnerability, round(d4, 6) as pressure, edge,
  case when edge > 0.4 then 'batter dominates' when edge > 0.15 then 'batter has the edge' when edge > 0 then 'slight batter advantage' when edge > -0.15 then 'slight bowler advantage' when edge > -0.4 then 'bowler has the edge' else 'bowler dominates' end as verdict from f""",
-    "country_opponents_semi": "|" + _both("z", "opponent_id", "full") + "|select player_id, opponent_id, bat_runs, bowl_wickets from z where opponent_id in (select team1_id from sides where tournament = 'BUILDING' and match_id <= 60 union select team2_id from sides where tournament = 'BUILDING' and match_id <= 60)",
-    "club_opponents_anti": "|" + _both("z", "opponent_id", "full") + "|select player_id, opponent_id, bat_runs, bowl_wickets from z where opponent_id not in (select team1_id from sides where tournament = 'BUILDING' and match_id <= 60 union select team2_id from sides where tournament = 'BUILDING' and match_id <= 60)",
+    "country_opponents_semi": "|" + _both("z", "opponent_id", "full") + "|select player_id, opponent_id, bat_runs, bowl_wickets from z where opponent_id in (select n_nationkey from nation join region on n_regionkey = r_regionkey where r_name = 'ASIA')",
+    "club_opponents_anti": "|" + _both("z", "opponent_id", "full") + "|select player_id, opponent_id, bat_runs, bowl_wickets from z where opponent_id not in (select n_nationkey from nation join region on n_regionkey = r_regionkey where r_name = 'ASIA')",
+    "venue_facets": """|v as (select r_name as country, n_name as venue, concat(case when bat_factor is null then 'Unknown scoring' when bat_factor > 1.10 then 'High-scoring' when bat_factor < 0.90 then 'Low-scoring' else 'Balanced scoring' end, ' · ', case when pace_index is null then 'unknown surface' when pace_index > 0.65 then 'pace-friendly surface' when pace_index < 0.35 then 'spin-friendly surface' else 'balanced surface' end, '.', case when boundary_rate is null then '' when boundary_rate > 0.16 then ' Short boundaries.' when boundary_rate < 0.10 then ' Large ground.' else ' Standard dimensions.' end) as pitch_type, case when first_innings >= 20 then 'busy' else 'quiet' end as status
+ from nation join region on n_regionkey = r_regionkey left join venue_factors on venue_id = n_nationkey where r_name = 'ASIA')|select facet, value, count(*) as venues from (select 'country' as facet, country as value from v union all select 'venue', venue from v union all select 'pitch_type', pitch_type from v union all select 'status', status from v) where value is not null group by all""",
+    "matchup_threats": "select bowler_id, batter_id, count(*) as balls, round_even(sum(bat_runs) * 100.0::double / count(*), 0)::bigint as strike_rate, sum(is_wicket::int) as wickets from balls where batter_id between 44 and 54 and bowler_id between 0 and 274 group by all having count(*) >= 3",
+    "xi_rating": """|sq as (select * from (select 'home' as side, 44 + unnest(range(11)) as player_id, 1 + unnest(range(11)) as slot) union all select * from (select 'away', 99 + unnest(range(11)), 1 + unnest(range(11)))), qr as (select sq.*, o.* exclude (player_id), o.player_id is not null as known from sq left join overall_ratings o using (player_id)),
+ x as (select side, round_even(sum(case when known then coalesce(bat_rating, 50.0) * (case when slot <= 6 then 2 else 1 end) end) / sum(case when slot <= 6 then 2 else 1 end), 1) as batting, round_even(sum(case when known then coalesce(bowl_rating, 50.0) * (case when slot <= 6 then 1 else 2 end) end) / sum(case when slot <= 6 then 1 else 2 end), 1) as bowling,
+ round_even(sum((known and coalesce(bat_rating, 0) > 45)::int) * 100.0::double / count(*), 1) as depth, coalesce(avg(case when slot > 6 and known then coalesce(nullif(bowl_rating, 0), 50.0) end), 50.0) as low, coalesce(avg(case when known then coalesce(s_death_sr, 50.0) end), 50.0) as death from qr group by side),
+ y as (select x.*, coalesce(nullif(pace_index, 0), 0.5) as pace, coalesce(nullif(bat_factor, 0), 1.0) as factor from x, venue_factors where venue_id = 7),
+ z as (select *, round_even((low * pace + (100 - low) * (1 - pace)) * 0.5::double + greatest(0.0::double, least(100.0::double, death * (factor - 0.7::double) / 0.6::double)) * 0.3::double + 10, 1) as venue_fit from y),
+ o as (select *, round_even(batting * 0.35::double + bowling * 0.35::double + depth * 0.15::double + venue_fit * 0.15::double, 1) as overall from z)|select side, batting, bowling, depth, venue_fit, overall, case when overall >= 80 then 'A+' when overall >= 72 then 'A' when overall >= 65 then 'B+' when overall >= 58 then 'B' when overall >= 50 then 'C+' else 'C' end as grade from o""",
+    "match_prediction": """|sq as (select * from (select 'home' as side, 44 + unnest(range(11)) as player_id, 1 + unnest(range(11)) as slot) union all select * from (select 'away', 99 + unnest(range(11)), 1 + unnest(range(11)))), qr as (select sq.*, o.* exclude (player_id), o.player_id is not null as known from sq left join overall_ratings o using (player_id)),
+ x as (select side, sum(case when known then coalesce(nullif(bat_rating, 0), 50.0) else 0 end * (case when slot <= 6 then 2 else 1 end)) / sum(case when slot <= 6 then 2 else 1 end) as bat, sum(case when known then coalesce(nullif(bowl_rating, 0), 50.0) else 0 end * (case when slot <= 6 then 1 else 2 end)) / sum(case when slot <= 6 then 1 else 2 end) as bowl from qr group by side),
+ y as (select greatest(130.0::double, least(185.0::double, coalesce(nullif(avg_first_inn_runs, 0), 158.0))) as base, case when coalesce(nullif(bat_factor, 0), 1.0) > 1.05 then 5.0::double else 0.0 end as dew, a.bat as ab, a.bowl as aw, b.bat as bb, b.bowl as bw from venue_factors, x a, x b where venue_id = 7 and a.side = 'home' and b.side = 'away'),
+ z as (select round(greatest(110.0::double, least(210.0::double, base + (ab - bw) * 0.3::double - dew)) + 12, 1) as first_total, round(greatest(110.0::double, least(210.0::double, base + (bb - aw) * 0.3::double + dew)) + 12, 1) as second_total from y),
+ w as (select *, round(100 / (1 + exp(-(first_total - second_total) / 20)), 1) as first_win_pct from z)|select *, round(100 - first_win_pct, 1) as second_win_pct, round(abs(first_total - second_total), 1) as margin from w""",
     "all_team_ids": "select team1_id as team_id from matches union select team2_id from matches",
     "shared_venues": "select a.venue_id, a.innings as innings_a, a.average as average_a, a.strike_rate as strike_rate_a, b.innings as innings_b, b.average as average_b, b.strike_rate as strike_rate_b from vbat a join vbat b using (venue_id) where a.player_id = 50 and b.player_id = 51",
     "missing_ids": "select distinct c_custkey as id from customer where c_custkey not in (select o_custkey from orders)",

@@ -52,10 +52,19 @@ def copy_tables(spark: SparkSession, source: str, target: str, names: list[str],
 
 
 def snapshot(d: DataFrame, path: str, compression: str = "gzip") -> None:
-    """A compressed copy that overwrite() can restore from."""
+    """A compressed copy that restore() reads."""
     d.write.mode("overwrite").option("compression", compression).parquet(path)
 
 
+def restore(spark: SparkSession, snapshot_path: str, path: str) -> bool:
+    """Write a snapshot to path if no table is there yet; whether it was written."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        return False
+    spark.read.parquet(snapshot_path).write.parquet(path)
+    return True
+
+
 def read_presets(spark: SparkSession, path: str) -> DataFrame:
     """(team, playing_xi, bench, substitutes) from JSON lines {"team": ..., "squad": ...}; a squad that is a plain list
     of names is one of the old form, with the eleven only."""

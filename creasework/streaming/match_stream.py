@@ -11,11 +11,12 @@ from creasework.sources import match_json
 
 def document_stream(spark: SparkSession, path: str, files_per_trigger: int = 500) -> DataFrame:
     raw = spark.readStream.schema(match_json.SCHEMA).option("multiLine", True).option("columnNameOfCorruptRecord", "_corrupt").option("maxFilesPerTrigger", files_per_trigger).option("pathGlobFilter", "*.json").json(path)
-    return raw.withColumn("source_id", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.json$", 1))
+    return raw.withColumn("source_id", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.json$", 1)).withColumn("modified", F.col("_metadata.file_modification_time"))
 
 
-def ingest_stream(spark: SparkSession, path: str, target: str, checkpoint: str, tournament: str) -> StreamingQuery:
-    """Append deliveries and matches of new documents to tables below target; state keeps the ids that were taken.
+def ingest_stream(spark: SparkSession, path: str, target: str, checkpoint: str, tournament: str, repeats: str = "30 days") -> StreamingQuery:
+    """Append deliveries and matches of new documents to tables below target. The file source takes each file once;
+    state keeps ids for as long as the same document may come again under another path (by time of modification).
 
     A batch that is run again after a failure overwrites its own partition, so every document lands exactly once.
     """
@@ -26,7 +27,7 @@ def ingest_stream(spark: SparkSession, path: str, target: str, checkpoint: str,
             d.withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{target}/{name}")
         new.unpersist()
 
-    once = document_stream(spark, path).dropDuplicates(["source_id"])
+    once = document_stream(spark, path).withWatermark("modified", repeats).dropDuplicatesWithinWatermark(["source_id"]).drop("modified")
     return once.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 

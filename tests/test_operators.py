@@ -119,6 +119,40 @@ def test_tables(spark, tmp_path):
     assert got == {"a": (["p"], [], []), "b": (["q"], ["r"], [])}
 
 
+def test_models_are_saved_with_their_meta(spark, tmp_path):
+    from creasework.operators import models
+
+    rows = [(i, i % 7, float(i % 11), float(i % 5), "s1" if i % 3 else "s2", "abc"[i % 3]) for i in range(300)]
+    d = spark.createDataFrame(rows, "innings_id long, player_id long, x double, y double, season string, tournament string").withColumn("label", F.col("x") * 2 + F.col("y"))
+    model = models.train(d, ["x", "y"], "label", trees=3, depth=3, least=1, subset="all")
+    models.save_model(model, str(tmp_path / "m"), {"features": ["x", "y"], "mae": 0.5})
+    back, meta = models.load_model(spark, str(tmp_path / "m"))
+    assert meta == {"features": ["x", "y"], "mae": 0.5}
+    assert back.transform(d).agg(F.sum("prediction")).first() == model.transform(d).agg(F.sum("prediction")).first()
+    assert [tuple(r) for r in models.metrics_table(spark, [str(tmp_path / "m")]).collect()] == [("m", "mae", 0.5)]
+    errors = models.fold_errors(d, ["x", "y"], "label", 2, trees=2, depth=2, least=1)
+    assert {r["fold"] for r in errors.collect()} == {0, 1} and errors.agg(F.sum("n")).first()[0] == 300
+    by = models.errors_by(back.transform(d), "label").collect()
+    assert sum(r["innings"] for r in by) == 300 and [r["mae"] for r in by] == sorted(r["mae"] for r in by)
+    assert models.split_by_season(d, "s2").where("season <> 's1'").isEmpty()
+
+
+def test_explorer_and_facets(spark):
+    players = spark.createDataFrame([(1, "Ann Lee", "x", "Bowler", 0, None, 70.0), (2, "Bo", "x", "Batter", 9, 60.0, 1.0), (3, "Annika", "y", "Batter", 2, 50.0, 2.0)], "player_id long, name string, country string, role string, innings int, bat_rating double, bowl_rating double")
+    ids = lambda **kind: [r["player_id"] for r in lookups.explore(players, **kind).collect()]
+    assert ids(least_innings=5) == [2] and ids(least_innings=5, role="Bowler") == [1] and ids(name="ANN") == [3, 1]
+    assert ids(ascending=True) == [3, 2, 1] and ids(country="x", by="bowl_rating") == [1, 2]
+    v = spark.createDataFrame([("a", "p", None), ("a", "q", "open")], "country string, city string, status string")
+    assert {tuple(r) for r in lookups.venue_facets(v, ("country", "city", "status")).collect()} == {("country", "a", 2), ("city", "p", 1), ("city", "q", 1), ("status", "open", 1)}
+    assert lookups.venue_filter(v, country="a", city="q", status=None).count() == 1
+
+
+def test_snapshot_and_restore(spark, tmp_path):
+    tables.snapshot(spark.range(3), str(tmp_path / "s"))
+    assert tables.restore(spark, str(tmp_path / "s"), str(tmp_path / "t")) and spark.read.parquet(str(tmp_path / "t")).count() == 3
+    assert not tables.restore(spark, str(tmp_path / "s"), str(tmp_path / "t"))
+
+
 @settings(max_examples=25, deadline=None)
 @given(st.floats(-8, 8), st.floats(-8, 8))
 def test_sigmoid_is_monotonic(a, b):
