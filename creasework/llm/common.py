@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,38 +9,21 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from creasework.sources.shared import settle
+
 #: Words of the decontamination and licence contracts: A-Z lower-cased, then runs of these characters.
 #: Matched on the raw text, so that lower-casing can follow word by word.
 RAW_WORD = r"[a-zA-Z0-9\x{80}-\x{10FFFF}]++"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of a folder. Its texts are long, so Arrow batches are cut to a thousand rows where the session has no
+    setting of its own: they take memory of executors and Python workers."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a temporary one only in local mode where none is set (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        java = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if java.isDefined():
-            return java.get()
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        found = tempfile.mkdtemp(prefix="checkpoint-")
-        spark.sparkContext.setCheckpointDir(found)
-        found = spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return found
-
-
-def settle(df: DataFrame, name: str) -> DataFrame:
-    """Write df once as Parquet to the shared folder and read it back: lineage ends, lost executors cost nothing."""
-    spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def extended(docs: DataFrame, keep: list[str], added: str) -> T.StructType:
     """The schema of the kept columns, whatever their names are, and of those that an operator adds."""
     return T.StructType([docs.schema[c] for c in keep] + T.StructType.fromDDL(added).fields)

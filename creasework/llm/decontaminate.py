@@ -2,7 +2,7 @@
 
 Words are runs of digits, letters and non-ASCII characters, with A-Z lower-cased. A benchmark window is ten
 consecutive words of an item; an item of fewer words, but not none, is one window. The windows are a hash set that is
-broadcast behind a check of its size (beyond it the same join shuffles). Every window of every document is hashed by
+broadcast behind a check of its size (beyond it, hashes and places are shuffled to it, never words). Every window of every document is hashed by
 doubling (pairs, fours, eights, then ten words), looked up, and a hit is verified word by word.
 
 Null texts have no words. Null ids and repeated rows are kept as they are, one result per input row. Items without
@@ -78,7 +78,6 @@ def hits(docs: DataFrame, items: DataFrame, length: int = 10, keep: list[str] |
     if not sizes:
         return rows.select("row.*", "uid", n.alias("n_words"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"), F.array().cast("array<long>").alias("items"))
     rows = rows.select("row", "uid", "words", F.concat(F.array(F.xxhash64("uid")), *(f"h{s}" for s in sizes)).alias("hashes"))
-    rows = rows.select("row", "uid", "words", F.posexplode_outer("hashes").alias("at", "hash"))
     # the windows of the first size come first, then those of the next; the header is before them
     starts, before = {}, F.lit(1)
     for s in sizes:
@@ -86,12 +85,18 @@ def hits(docs: DataFrame, items: DataFrame, length: int = 10, keep: list[str] |
         before = before + F.greatest(n - s + 1, F.lit(0))
     place = F.col("at") - F.coalesce(*(F.when(F.col("size") == s, starts[s]) for s in sizes))
     set_ = settle(reduce(DataFrame.union, hashed), "grams").select("size", "gram", "items", F.element_at("hs", 1).alias("hash"))
-    set_ = F.broadcast(set_) if known[0] <= BROADCAST_WINDOWS else set_
-    met = rows.join(set_, "hash", "left").where("at = 0 or size is not null")
+    if known[0] <= BROADCAST_WINDOWS:
+        tall = rows.select("row", "uid", "words", F.posexplode_outer("hashes").alias("at", "hash"))
+        met = tall.join(F.broadcast(set_), "hash", "left").where("at = 0 or size is not null")
+    else:  # only numbers are shuffled for the search; the few hits come back to the words for verification
+        rows = settle(rows, "hashed")
+        tall = rows.select("uid", F.posexplode("hashes").alias("at", "hash")).where("at > 0").join(set_, "hash").drop("hash")
+        found = rows.select("row", "uid", "words").join(tall, "uid", "left")
+        met = found.withColumn("at", F.coalesce("at", F.lit(0)))
     start = F.when((F.col("at") > 0) & (place >= 0) & (place + F.col("size") <= n), place)
     true = start.isNotNull() & (F.transform(F.slice("words", F.coalesce(start, F.lit(0)) + 1, F.coalesce("size", F.lit(0))), lambda w: ascii_lower(w)) == F.col("gram"))
-    met = met.select("row", "uid", F.when(F.col("at") == 0, n).alias("n_words"), F.when(true, F.struct(start.alias("start"), (start + F.col("size")).alias("end"))).alias("span"), F.when(true, F.col("items")).alias("items"))
-    by_row = met.groupBy("uid").agg(F.first(F.when(F.col("n_words").isNotNull(), F.col("row")), ignorenulls=True).alias("row"), F.max("n_words").alias("n_words"), F.sort_array(F.collect_list("span")).alias("spans"), F.collect_set("items").alias("items"))
+    met = met.select("row", "uid", n.alias("n_words"), F.when(true, F.struct(start.alias("start"), (start + F.col("size")).alias("end"))).alias("span"), F.when(true, F.col("items")).alias("items"))
+    by_row = met.groupBy("uid").agg(F.first("row").alias("row"), F.max("n_words").alias("n_words"), F.sort_array(F.collect_list("span")).alias("spans"), F.collect_set("items").alias("items"))
     empty = F.array().cast("array<struct<start:int,end:int>>")
     end = lambda a: F.coalesce(F.try_element_at(a, F.lit(-1))["end"], F.lit(-1))
     joined = lambda a, s: F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.struct(F.element_at(a, -1)["start"].alias("start"), F.greatest(end(a), s["end"]).alias("end"))))

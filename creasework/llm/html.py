@@ -1,19 +1,21 @@
 """Operator 3: main text of web pages by tag-path ratios.
 
 A page becomes a sequence of text nodes, each with its root-to-leaf tag path. Text length and punctuation are averaged
-over the nodes of each path, smoothed along the page, and fused by product; paths above the threshold are content.
-The article is the marked container (article, main or the like) with the most content, or else the deepest element
-that holds nearly all content nodes. All text in it counts, but for elements that are not article by their tag, role
-or class: menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments.
+over the nodes of each path, smoothed along the page, and fused by product; nodes of paths above the threshold are
+content. The deepest element that holds nearly all content is the article's box; it grows to a container around it that
+is marked as the article (article, main or the like). All text in the box counts, in an unmarked one without the links
+before the first and after the last content node. Names of tags, roles and classes are a veto: menus, headers, footers,
+sidebars, notices, adverts, forms, scripts, styles and reader comments never count.
 
 Null, empty and text-free html gives an empty text. Broken markup is read as far as it goes: unclosed elements end with
-their parents, a stray "<" is text. Repeated rows and null ids give a row each; an empty table an empty result.
+their parents, a stray "<" is text. Work and memory grow with the length of a page, whatever its nesting. Repeated rows
+and null ids give a row each; an empty table an empty result.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 from html import unescape
@@ -23,9 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creasework.llm.common import extended, table
+from creasework.llm.common import extended, slices, table
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
+_OPEN = re.compile(r"<(?:!--|[!?]|(/?)([a-zA-Z][^\s/>]*))")
+_QUOTED = re.compile(r"""(?:[^>"']|"[^"]*"|'[^']*')*+>""")
 _ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)(?:"|\Z)|'([^']*)(?:'|\Z)|([^\s"'>]+)))?""")
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
 _PART = re.compile(r"[a-z]+")
@@ -38,6 +41,12 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title noscript iframe template".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
+_ALIKE = {"li": ("li",), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",)}
+_WALLS = ("ul", "ol", "table", "dl", "select")
+_END = {tag: re.compile(rf"</{tag}\b[^>]*>", re.I) for tag in RAW}
+#: Tags of a page whose quotes may be broken before quotes lose their meaning there; inline elements that an end tag
+#: looks past at most.
+BROKEN, FAR = 50, 64
 #: Elements and names (in class, id or role) that are never part of an article.
 NOT_ARTICLE = frozenset("head nav header footer aside form script style noscript iframe template textarea select button svg canvas object dialog menu title".split())
 NOT_ARTICLE_NAMES = frozenset(
@@ -52,10 +61,12 @@ ARTICLE_NAMES = frozenset("article articlebody content main maincontent post pos
 class Element:
     tag: str
     parent: Element | None
-    path: str
+    path: int  # a number for each root-to-leaf path of labels
     dropped: bool
     marked: int  # 2: article or main; 1: named like one
     depth: int
+    first: int  # number in page order; its descendants have the numbers up to last
+    last: int
 
 
 @dataclass(slots=True)
@@ -90,133 +101,157 @@ def _traits(tag: str, attributes: str) -> tuple[bool, int, str]:
     return dropped, marked, ".".join([tag, *sorted(whole)[:2]])
 
 
-def _element(tag: str, attributes: str, parent: Element | None) -> Element:
-    # long attributes (embedded images, styles) hardly recur and would fill the memory
-    dropped, marked, label = (_traits if len(attributes) < 500 else _traits.__wrapped__)(tag, attributes)
-    if parent is None:
-        return Element(tag, None, label, dropped, 0 if dropped else marked, 0)
-    dropped = dropped or parent.dropped
-    return Element(tag, parent, f"{parent.path}/{label}", dropped, 0 if dropped else marked, parent.depth + 1)
-
-
-def text_nodes(html: str) -> list[Node]:
-    """The text nodes of a page in order; nodes with the same block number flow into each other."""
-    top = _element("#page", "", None)
-    stack, nodes, block, at, links = [top], [], 0, 0, 0
-
-    def text(raw: str) -> None:
+class Parser:
+    """The elements and text nodes of a page in order; nodes with the same block number flow into each other."""
+
+    def __init__(self, html: str):
+        self.elements: list[Element] = []
+        self.nodes: list[Node] = []
+        self.paths: dict[tuple[int, str], int] = {}
+        self.stack: list[Element] = []
+        self.open: dict[str, int] = {}
+        self.block = 0
+        self._push("#page", "")
+        self._read(html)
+        self._close(0)
+
+    def _push(self, tag: str, attributes: str) -> None:
+        # long attributes (embedded images, styles) hardly recur and would fill the memory
+        dropped, marked, label = (_traits if len(attributes) < 500 else _traits.__wrapped__)(tag, attributes)
+        parent = self.stack[-1] if self.stack else None
+        dropped = dropped or parent is not None and parent.dropped
+        path = self.paths.setdefault((parent.path if parent else -1, label), len(self.paths))
+        n = len(self.elements)
+        self.elements.append(Element(tag, parent, path, dropped, 0 if dropped else marked, len(self.stack), n, n))
+        self.stack.append(self.elements[-1])
+        self.open[tag] = self.open.get(tag, 0) + 1
+
+    def _close(self, upto: int) -> None:
+        while len(self.stack) > upto:
+            gone = self.stack.pop()
+            gone.last = len(self.elements) - 1
+            self.open[gone.tag] -= 1
+            if gone.tag not in INLINE:
+                self.block += 1
+
+    def _close_last(self, tags: tuple[str, ...], walls: Callable[[str], bool], far: int | None = None) -> None:
+        """End the innermost open element of these tags, unless a wall comes first."""
+        if not any(self.open.get(t) for t in tags):
+            return
+        least = 0 if far is None else max(0, len(self.stack) - 1 - far)
+        for i in range(len(self.stack) - 1, least, -1):
+            if self.stack[i].tag in tags:
+                self._close(i)
+                return
+            if walls(self.stack[i].tag):
+                return
+
+    def _text(self, raw: str) -> None:
         if raw:
-            nodes.append(Node(unescape(raw) if "&" in raw else raw, stack[-1], block, links > 0))
+            self.nodes.append(Node(unescape(raw) if "&" in raw else raw, self.stack[-1], self.block, self.open.get("a", 0) > 0))
 
-    def close(upto: int) -> None:
-        nonlocal block, links
-        while len(stack) > upto:
-            gone = stack.pop()
-            links -= gone.tag == "a"
-            if gone.tag not in INLINE:
-                block += 1
-
-    position = 0
-    while m := _TOKEN.search(html, position):
-        text(html[at : m.start()])
-        at = position = m.end()
-        tag = (m[2] or m[5] or "").lower()
-        if not tag:
-            continue
-        if m[1] or m[4]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    close(i)
-                    break
-                if tag in INLINE and stack[i].tag not in INLINE:
-                    break
-            continue
+    def _start(self, tag: str) -> None:
+        """End what a start tag ends."""
         if tag in CLOSES_P:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == "p":
-                    close(i)
-                    break
-                if stack[i].tag not in INLINE:
+            self._close_last(("p",), lambda t: t not in INLINE)
+        elif tag in _ALIKE:
+            self._close_last(_ALIKE[tag], lambda t: t in _WALLS or tag in ("td", "th") and t == "tr")
+
+    def _read(self, html: str) -> None:
+        at = position = broken = 0
+        while m := _OPEN.search(html, position):
+            position = m.end()
+            if not m[2]:
+                comment = m[0] == "<!--"
+                end = html.find("-->" if comment else ">", position)
+                if end < 0 and not comment:
                     break
-        elif tag in ("li", "tr", "td", "th", "dt", "dd", "option"):
-            alike, walls = {"td": ("td", "th"), "th": ("td", "th"), "dt": ("dt", "dd"), "dd": ("dt", "dd")}.get(tag, (tag,)), ("ul", "ol", "table", "dl", "select")
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in alike:
-                    close(i)
-                    break
-                if stack[i].tag in walls or tag in ("td", "th") and stack[i].tag == "tr":
-                    break
-        if tag not in INLINE:
-            block += 1
-        attributes = m[3] if m[2] else m[6]
-        if tag in VOID or attributes.endswith("/") and tag not in INLINE and tag in ("path", "circle", "rect"):
-            continue
-        if tag in RAW:
-            end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(html, at)
-            stop = end.start() if end else len(html)
-            if tag in ("title", "noscript"):
-                stack.append(_element(tag, attributes, stack[-1]))
-                text(re.sub(r"<[^>]*>", " ", html[at:stop]))
-                close(len(stack) - 1)
-            at = position = end.end() if end else len(html)
-            continue
-        stack.append(_element(tag, attributes, stack[-1]))
-        links += tag == "a"
-    text(html[at:])
-    return nodes
+                self._text(html[at : m.start()])
+                at = position = len(html) if end < 0 else end + (3 if comment else 1)
+                continue
+            quoted = _QUOTED.match(html, position) if broken < BROKEN else None
+            end = quoted.end() if quoted else html.find(">", position) + 1
+            broken += quoted is None
+            if not end:
+                break  # no tag ends from here on
+            self._text(html[at : m.start()])
+            attributes, tag = html[position : end - 1], m[2].lower()
+            at = position = end
+            if m[1]:
+                inline = tag in INLINE
+                self._close_last((tag,), lambda t, inline=inline: inline and t not in INLINE, FAR if inline else None)
+                continue
+            self._start(tag)
+            if tag not in INLINE:
+                self.block += 1
+            if tag in VOID or attributes.endswith("/") and tag in ("path", "circle", "rect"):
+                continue
+            if tag in RAW:
+                stop = _END[tag].search(html, at)
+                inner = html[at : stop.start() if stop else len(html)]
+                if tag in ("title", "noscript"):
+                    self._push(tag, attributes)
+                    self._text(re.sub(r"<[^<>]*>", " ", inner))
+                    self._close(len(self.stack) - 1)
+                at = position = stop.end() if stop else len(html)
+                continue
+            self._push(tag, attributes)
+        self._text(html[at:])
+
+
+def text_nodes(html: str) -> list[Node]:
+    return Parser(html).nodes
 
 
 def path_ratios(nodes: list[Node]) -> np.ndarray:
     """Of each node, its path's mean text length times mean punctuation, both smoothed along the page."""
-    sums: dict[str, list[float]] = {}
-    for n in nodes:
-        s = sums.setdefault(n.element.path, [0, 0, 0])
-        own = n.text.strip()
-        s[0] += len(own) * (0.2 if n.linked else 1)
-        s[1] += len(_PUNCTUATION.findall(own)) * (0.2 if n.linked else 1)
-        s[2] += bool(own)
-    length = np.array([sums[n.element.path][0] / max(1, sums[n.element.path][2]) for n in nodes])
-    marks = np.array([sums[n.element.path][1] / max(1, sums[n.element.path][2]) for n in nodes])
+    path = np.unique(np.array([n.element.path for n in nodes]), return_inverse=True)[1]
+    own = [n.text.strip() for n in nodes]
+    weight = np.array([0.2 if n.linked else 1.0 for n in nodes])
+    count = np.maximum(1, np.bincount(path, np.array([bool(t) for t in own], float)))
+    length = (np.bincount(path, np.array([len(t) for t in own]) * weight) / count)[path]
+    marks = (np.bincount(path, np.array([len(_PUNCTUATION.findall(t)) for t in own]) * weight) / count)[path]
     kernel = np.exp(-0.5 * np.arange(-2, 3) ** 2)
     kernel /= kernel.sum()
     smooth = lambda x: np.convolve(np.pad(x, 2, mode="edge"), kernel, "valid")
     return smooth(length) * (smooth(marks) + 0.1)
 
 
-def _up(e: Element | None) -> Iterator[Element]:
-    while e is not None:
-        yield e
-        e = e.parent
-
-
-def article_nodes(nodes: list[Node]) -> list[Node]:
-    nodes = [n for n in nodes if not n.element.dropped]
+def article_nodes(page: Parser) -> list[Node]:
+    nodes = [n for n in page.nodes if not n.element.dropped]
     full = [n for n in nodes if n.text.strip()]
     if not full:
         return []
     ratios = path_ratios(full)
     content = ratios >= min(float(ratios.std()), float(ratios.max()))
-    weight: dict[int, float] = {}
-    by_id: dict[int, Element] = {}
-    for n, ratio, hit in zip(full, ratios, content, strict=True):
-        for e in _up(n.element):
-            by_id[id(e)] = e
-            weight[id(e)] = weight.get(id(e), 0.0) + len(n.text.strip()) * (1.0 if hit else 0.01) * (0.2 if n.linked else 1)
-    total = max(weight.values())
-    for level in (2, 1):
-        marked = [e for e in by_id.values() if e.marked == level and weight[id(e)] >= (0.5 if level == 1 else 0.0) * total]
-        if marked:
-            heaviest = max(weight[id(e)] for e in marked)
-            # of nested containers the innermost that still has nearly everything
-            box = max((e for e in marked if weight[id(e)] >= 0.95 * heaviest), key=lambda e: e.depth)
-            return [n for n in nodes if any(e is box for e in _up(n.element))]
-    box = max((e for e in by_id.values() if weight[id(e)] >= 0.95 * total), key=lambda e: e.depth)
-    inside = [n for n in nodes if any(e is box for e in _up(n.element))]
+    weight = [0.0] * len(page.elements)
+    for n, hit in zip(full, content, strict=True):
+        weight[n.element.first] += len(n.text.strip()) * (1.0 if hit else 0.01) * (0.2 if n.linked else 1)
+    for e in reversed(page.elements):  # children come after their parents
+        if e.parent is not None:
+            weight[e.parent.first] += weight[e.first]
+    nearly = 0.95 * weight[0]
+    box = max((e for e in page.elements if weight[e.first] >= nearly), key=lambda e: e.depth)
+    marked = _marked_box(page, box, weight)
+    if marked is not None:
+        return [n for n in nodes if marked.first <= n.element.first <= marked.last]
+    inside = [n for n in nodes if box.first <= n.element.first <= box.last]
     keep = {id(n) for n, hit in zip(full, content, strict=True) if hit}
     hits = [i for i, n in enumerate(inside) if id(n) in keep]
     return [n for i, n in enumerate(inside) if hits and (hits[0] <= i <= hits[-1] or not n.linked)]
 
 
+def _marked_box(page: Parser, box: Element, weight: list[float]) -> Element | None:
+    """The marked container with the content: around the box, or the heaviest of several that share it."""
+    for level, least in ((2, 0.0), (1, 0.5)):
+        marked = [e for e in page.elements if e.marked == level and weight[e.first] > least * weight[0]]
+        if marked:
+            heaviest = max(weight[e.first] for e in marked)
+            # of nested containers the innermost that still has nearly everything
+            return max((e for e in marked if weight[e.first] >= 0.95 * heaviest), key=lambda e: e.depth)
+    return None
+
+
 def flowed(nodes: list[Node]) -> list[str]:
     """The text of each block, white space turned into single spaces; blocks without text go."""
     blocks: list[list[str]] = []
@@ -230,14 +265,14 @@ def flowed(nodes: list[Node]) -> list[str]:
 
 
 def main_text(html: str | None) -> str:
-    return " ".join(flowed(article_nodes(text_nodes(html)))) if html else ""
+    return " ".join(flowed(article_nodes(Parser(html)))) if html else ""
 
 
 def extract(pages: DataFrame, keep: list[str]) -> DataFrame:
     """The kept columns, text and n_chars of each page."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             texts = [main_text(h) for h in b.column("_html").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*keep, "text", "n_chars"])
 

@@ -4,7 +4,8 @@ Words are runs of digits, letters and non-ASCII characters, with A-Z lower-cased
 phrase's words stand consecutively. The fuzzy search finds notices with a few edits: a notice with at most e errors is
 cut in e + 1 pieces, one of which must stand in the text unchanged (pigeonhole); all pieces are searched at once by an
 Aho-Corasick automaton, and around each place the regex library matches the whole notice with at most e errors. A fuzzy
-match counts if it begins and ends at words, and it reports its span and edits.
+match counts if it begins and ends at words and has the words unedited that tell licences apart (mit, bsd, gnu ..); it
+reports its span and edits. "All rights reserved" alone is no licence: its label is ``reserved``, at half the score.
 
 Null and empty texts have no words, no places and score 0. Repeated rows and null ids give a row each; an empty table
 gives an empty result.
@@ -12,8 +13,10 @@ gives an empty result.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -38,9 +41,20 @@ NOTICES = [
     ("mozilla public license", "mpl", 2),
     ("creative commons attribution", "cc", 2),
     ("licensed under cc by", "cc", 1),
-    ("all rights reserved", "proprietary", 1),
+    ("all rights reserved", "reserved", 1),
     ("spdx license identifier", "spdx", 2),
+    ("gnu lesser general public license", "lgpl", 3),
+    ("gnu affero general public license", "agpl", 3),
+    ("eclipse public license", "epl", 2),
+    ("boost software license", "bsl", 2),
+    ("artistic license", "artistic", 1),
+    ("creative commons zero", "cc0", 1),
+    ("this is free and unencumbered software released into the public domain", "unlicense", 5),
 ]
+#: Words of notices that must stand unedited.
+TELLING = frozenset("mit bsd gnu cc by 0 2 3 apache lesser affero zero".split())
+#: Labels that tell of no licence.
+WEAK = frozenset(["reserved"])
 #: Every byte outside words becomes a space; A-Z becomes a-z; other bytes stay.
 _PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -91,11 +105,22 @@ def fuzzy_notices(line: str) -> list[tuple[str, int, int, int]]:
         for a, b in spans:
             for m in patterns[i].finditer(line, max(0, a), b):
                 s, e = m.span()
-                if (s == 0 or line[s - 1] == " ") and (e == len(line) or line[e] == " ") and s < e:
+                whole = (s == 0 or line[s - 1] == " ") and (e == len(line) or line[e] == " ") and s < e
+                if whole and TELLING.intersection(NOTICES[i][0].split()) <= set(line[s:e].split()):
                     found.append((NOTICES[i][1], s, e, sum(m.fuzzy_counts)))
     return found
 
 
+def number_of(lengths: list[int], places: list[int]) -> list[int]:
+    """The number of the word at each place of a line, words of these lengths being joined by single spaces."""
+    starts = list(accumulate((n + 1 for n in lengths), initial=0))
+    return [bisect_right(starts, p) - 1 for p in places]
+
+
+def word_numbers(words: list[bytes], places: list[int]) -> list[int]:
+    return number_of(list(map(len, words)), places) if places else []
+
+
 def scan(docs: DataFrame, keep: list[str]) -> DataFrame:
     """The kept columns, base places, labels, score and the fuzzy matches (label, first_word, last_word, edits)."""
     base = [(f" {p} ".encode(), len(p.split()), label) for p, label in PHRASES.items()]
@@ -107,20 +132,23 @@ def scan(docs: DataFrame, keep: list[str]) -> DataFrame:
             for text in b.column("_text").to_pylist():
                 words = [w for w in plain_words(text) if w]
                 line = b" " + b" ".join(words) + b" "
-                places, base_labels = [], set()
+                found, base_labels = [], set()
                 for phrase, _, label in base:
                     at = line.find(phrase)
                     while at >= 0:
-                        places.append(line.count(b" ", 0, at))
+                        found.append(at)
                         base_labels.add(label)
                         at = line.find(phrase, at + 1)
+                places = word_numbers(words, found)
                 near = []
                 if words:
                     plain = line[1:-1].decode("utf-8", "surrogatepass")
-                    near = [(label, plain.count(" ", 0, a), plain.count(" ", 0, e - 1), n) for label, a, e, n in fuzzy_notices(plain)]
+                    spans = fuzzy_notices(plain)
+                    starts = [len(w.decode("utf-8", "surrogatepass")) for w in words] if spans else []
+                    first, last = (number_of(starts, [m[k] - (k == 2) for m in spans]) for k in (1, 2))
+                    near = [(m[0], a, e, m[3]) for m, a, e in zip(spans, first, last, strict=True)]
                 labels = base_labels | {m[0] for m in near}
-                edits = min((m[3] for m in near), default=0)
-                score = 1.0 if base_labels else 1 / (1 + 0.25 * edits) if near else 0.0
+                score = 1.0 if base_labels else max((1 / (1 + 0.25 * m[3]) * (0.5 if m[0] in WEAK else 1.0) for m in near), default=0.0)
                 matches = [{"label": m[0], "first_word": m[1], "last_word": m[2], "edits": m[3]} for m in sorted(set(near), key=lambda m: m[1:])]
                 row = (len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base_labels)), ",".join(sorted(labels)), score, matches)
                 for column, x in zip(out, row, strict=True):

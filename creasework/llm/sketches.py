@@ -7,8 +7,8 @@ difference of two sketches holds only the paragraphs in which the texts differ;
 recovers them. When peeling gets stuck, both sketches are made anew with four times the cells, until it succeeds.
 
 The likeness of two fingerprints is the share of paragraphs that did not differ (1 for two empty texts). Null texts
-count as empty. Equal texts have equal fingerprints. Rows of equal doc_id follow each other by text; null ids come
-after all others. An empty table gives an empty result; a single row is its own successor.
+count as empty. Equal texts have equal fingerprints. Rows of equal doc_id follow each other by a hash of the text, then
+by the text; null ids come after all others. An empty table gives an empty result; a single row is its own successor.
 """
 
 from __future__ import annotations
@@ -18,8 +18,9 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from creasework.llm.common import table
@@ -165,38 +166,66 @@ def edited(text: str, follower: str) -> str:
     return text[: len(text) - k] + follower[:k]
 
 
-def with_followers(docs: DataFrame, rows_per_bucket: int = 2000, most_buckets: int = 200_000) -> DataFrame:
+class Ranges:
+    """Buckets of rows in order of descending id, then of a hash of the text; null ids come last.
+
+    bounds are ids that cut the rows in equal parts. An id that fills several parts is cut by its hashes instead, so no
+    bucket holds many more rows than another, whatever the ids are. heads has the first row (id is null, -id, hash) of
+    each bucket that has rows.
+    """
+
+    def __init__(self, quantiles: list[int], parts: int, nulls: int, rows_per_bucket: int):
+        ids, repeats = np.unique(np.array(quantiles, np.int64), return_counts=True)
+        self.bounds = ids[::-1].astype(np.int64)  # bucket group 2i: ids above bounds[i]; 2i + 1: bounds[i] itself
+        sizes = np.ones(2 * len(ids) + 2, np.int64)
+        sizes[1:-2:2] = repeats[::-1]
+        sizes[-1] = max(1, nulls // rows_per_bucket)
+        self.sizes, self.first = sizes, np.cumsum(sizes) - sizes
+        self.heads: tuple[np.ndarray, np.ndarray] | None = None
+
+    def buckets(self, ids: pd.Series, hashes: pd.Series) -> np.ndarray:
+        null = ids.isna().to_numpy()
+        own = ids.fillna(0).to_numpy().astype(np.int64)
+        up = -self.bounds
+        left, right = np.searchsorted(up, -own, "left"), np.searchsorted(up, -own, "right")
+        group = np.where(null, len(self.sizes) - 1, left + right)
+        share = (hashes.to_numpy().astype(np.float64) + 2.0**63) / 2.0**64
+        return self.first[group] + np.minimum((share * self.sizes[group]).astype(np.int64), self.sizes[group] - 1)
+
+
+def with_followers(docs: DataFrame, rows_per_bucket: int = 2000, most_buckets: int = 100_000) -> DataFrame:
     """(doc_id, text, bucket, halo): rows by descending doc_id in buckets, each sorted in one partition; the first row
     of the next bucket is there too, as halo (of the first bucket at the end of the last). Texts move once.
 
-    Buckets are ranges of ids: cells of equal width, of which neighbours are joined until they hold enough rows. What
-    is broadcast has a row for each cell or bucket, at most 4 * most_buckets.
+    What reaches the driver has a row for each bucket: quantiles of ids, and the ids and hashes of the first rows.
     """
-    low, high, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    buckets = max(1, min(most_buckets, n // rows_per_bucket))
-    cells = 4 * buckets
-    low, high = (low, high) if low is not None else (0, 0)
-    share = (F.lit(float(high)) - F.col("doc_id").cast("double")) / (float(high) - float(low) + 1.0)
-    cell = F.when(F.col("doc_id").isNull(), F.lit(cells)).otherwise(F.least(F.floor(share * cells), F.lit(cells - 1))).cast("int")
-    placed = docs.select("doc_id", cell.alias("cell"), "text")
-    counts = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("doc_id").alias("top"))
-    before = F.sum("n").over(Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1))
-    bucket = F.floor(F.coalesce(before, F.lit(0)) / max(1, -(-n // buckets))).cast("int")
-    spans = [r.asDict() for r in counts.select("cell", "top", bucket.alias("bucket")).orderBy("cell").collect()]
-    heads: dict[int, int | None] = {}
-    for r in spans:
-        heads.setdefault(r["bucket"], r["top"])
-    order = list(heads)
-    back = {b: order[i - 1] for i, b in enumerate(order)}
-    if not spans:
-        return placed.select("doc_id", "text", F.lit(0).alias("bucket"), F.lit(False).alias("halo"))
-    small = docs.sparkSession.createDataFrame([(r["cell"], r["bucket"], heads[r["bucket"]], back[r["bucket"]]) for r in spans], "cell int, bucket int, head long, back int")
-    joined = placed.join(F.broadcast(small), "cell")
-    own = F.struct(F.col("bucket"), F.lit(False).alias("halo"))
-    halo = F.struct(F.col("back").alias("bucket"), F.lit(True).alias("halo"))
-    dealt = joined.select("doc_id", "text", F.explode(F.when(F.col("doc_id").eqNullSafe(F.col("head")), F.array(own, halo)).otherwise(F.array(own))).alias("to"))
-    dealt = dealt.select("doc_id", "text", "to.bucket", "to.halo")
-    return dealt.repartition("bucket").sortWithinPartitions("bucket", "halo", F.desc_nulls_last("doc_id"), "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    n, nulls = docs.agg(F.count("*"), F.count_if(F.col("doc_id").isNull())).first()
+    parts = max(1, min(most_buckets, (n - nulls) // rows_per_bucket))
+    cuts = rows.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 10 * parts).alias("q")).first()["q"] if parts > 1 and n > nulls else []
+    ranges = Ranges(cuts or [], parts, nulls, rows_per_bucket)
+    hashed = rows.withColumn("hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+
+    @F.pandas_udf("long")
+    def bucket(ids: pd.Series, hashes: pd.Series) -> pd.Series:
+        return pd.Series(ranges.buckets(ids, hashes))
+
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), (-F.col("doc_id")).alias("id"), "hash")
+    first = hashed.select("doc_id", "hash", bucket("doc_id", "hash").alias("bucket")).groupBy("bucket").agg(F.min(order).alias("head")).orderBy("bucket").collect()
+    places = [r["bucket"] for r in first]
+    before = dict(zip(places, places[-1:] + places[:-1], strict=True))
+    heads = {(None if r["head"]["no_id"] else -r["head"]["id"], r["head"]["hash"]): before[r["bucket"]] for r in first}
+
+    @F.pandas_udf("array<long>")
+    def dealt(ids: pd.Series, hashes: pd.Series) -> pd.Series:
+        """The row's bucket, and the one before it if the row may be its follower."""
+        own = ranges.buckets(ids, hashes)
+        keys = zip((None if x != x else int(x) for x in ids.astype(object).where(ids.notna(), float("nan"))), hashes.tolist(), strict=True)
+        return pd.Series([[b, heads[k]] if k in heads else [b] for b, k in zip(own.tolist(), keys, strict=True)])
+
+    to = hashed.select("doc_id", "text", "hash", F.posexplode(dealt("doc_id", "hash")).alias("copy", "bucket"))
+    moved = to.select("doc_id", "text", "bucket", (F.col("copy") == 1).alias("halo"), "hash")
+    return moved.repartition("bucket").sortWithinPartitions("bucket", "halo", F.desc_nulls_last("doc_id"), "hash", "text").drop("hash")
 
 
 def _fingerprinted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -27,12 +27,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from creasework.llm.common import extended, table
-from creasework.llm.html import Element, flowed, text_nodes
+from creasework.llm.html import Parser, flowed
 
 #: Capture date of pages that carry none.
 DATE = "2024-01-01T00:00:00Z"
-_TITLE = re.compile(r"<title[^>]*>(.*?)</title", re.S | re.I)
-_LINK = re.compile(r"""<a\s[^>]*?href\s*=\s*["']?[^"'\s>]""", re.I)
+# none of them looks beyond the next "<", so that a page of open tags takes no longer than another
+_TITLE = re.compile(r"<title[^<>]*>([^<]*(?:<(?!/title)[^<]*)*)</title", re.I)
+_LINK = re.compile(r"""<a\s[^<>]*?href\s*=\s*["']?[^"'\s<>]""", re.I)
+_TITLE_END = re.compile("</title", re.I)
 _CHARSET = re.compile(r"""charset\s*=\s*["']?([\w-]+)""", re.I)
 _HEADERS = ["record_id", "target_uri", "date", "http_headers", "payload_digest"]
 
@@ -52,14 +54,13 @@ def warc_record(kind: str, headers: list[tuple[str, str | None]], block: bytes)
     return packer.compress("\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + packer.flush()
 
 
-def _in_head(element: Element | None) -> bool:
-    while element is not None and element.tag not in ("head", "body"):  # a body in a head that is not closed is a body
-        element = element.parent
-    return element is not None and element.tag == "head"
-
-
 def visible_text(html: str) -> str:
-    return "\n".join(flowed([n for n in text_nodes(html) if n.element.tag not in ("title", "noscript") and not _in_head(n.element)]))
+    """A line for each block of text outside the head; a body in a head that is not closed is a body."""
+    page = Parser(html)
+    in_head: list[bool] = []
+    for e in page.elements:  # parents come before their children
+        in_head.append(e.tag == "head" or e.tag != "body" and e.parent is not None and in_head[e.parent.first])
+    return "\n".join(flowed([n for n in page.nodes if n.element.tag not in ("title", "noscript") and not in_head[n.element.first]]))
 
 
 def responses(pages: DataFrame) -> DataFrame:
@@ -84,7 +85,7 @@ def derivatives(source: DataFrame, keep: list[str]) -> DataFrame:
                 for ref, uri, date, http, payload_digest, payload in zip(*(part.column(c).to_pylist() for c in [*_HEADERS, "payload"]), strict=True):
                     payload = payload or ""
                     own = payload_digest or digest(payload.encode("utf-8", "surrogatepass"))
-                    title, charset = _TITLE.search(payload), _CHARSET.search((http or "") + payload[:1024])
+                    title, charset = _TITLE.search(payload) if _TITLE_END.search(payload) else None, _CHARSET.search((http or "") + payload[:1024])
                     fields = [f"title: {' '.join(title[1].split())}" if title else None, f"charset-detected: {charset[1].lower()}" if charset else None, f"outlinks: {len(_LINK.findall(payload))}"]
                     fields += [f"http-{h}" for h in (http or "").split("\r\n")[1:]]
                     made = (("conversion", "text/plain", visible_text(payload)), ("metadata", "application/warc-fields", "\r\n".join(f for f in fields if f)))

@@ -107,6 +107,42 @@ def test_broken_markup_does_not_crash(page):
     assert isinstance(html.main_text(page), str) and isinstance(warc.visible_text(page or ""), str)
 
 
+HOSTILE = {"open": "<a " * 300000, "quotes": "<a '>\"" * 150000, "nested": "<div>x" * 160000, "inline": "<b>x" * 200000, "ends": "<b>" * 100000 + "</i>" * 100000, "titles": "<title>" * 140000, "signs": "<" * 1000000, "rules": "<p><b>" * 80000 + "<hr>" * 80000, "noscript": "<noscript>" + "<" * 900000}
+
+
+@pytest.mark.parametrize("name", HOSTILE)
+def test_a_megabyte_of_bad_markup_takes_seconds(name):
+    import time
+
+    began = time.process_time()
+    html.main_text(HOSTILE[name]), warc.visible_text(HOSTILE[name]), warc._LINK.findall(HOSTILE[name])
+    assert time.process_time() - began < 20
+
+
+def test_unmarked_pages_need_the_ratios(monkeypatch):
+    """A truth set without article, main or any class: F1 of words with the ratios and with random ones."""
+    rnd = random.Random(4)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(2, 9)))
+    sentence = lambda n: " ".join(word() for _ in range(n)) + ", " + " ".join(word() for _ in range(n)) + "."
+    pages = []
+    for _ in range(40):
+        title, text = word(), [sentence(rnd.randint(12, 25)) for _ in range(6)]
+        links = lambda: "<div>" + "".join(f"<span><a href=x>{word()} {word()}</a></span>" for _ in range(25)) + "</div>"
+        pages.append((f"<html><body>{links()}<div><h1>{title}</h1>{''.join(f'<p>{t}</p>' for t in text)}</div>{links()}</body></html>", " ".join([title, *text])))
+
+    def f1():
+        out = []
+        for page, want in pages:
+            a, b = Counter(html.main_text(page).split()), Counter(want.split())
+            out.append(2 * sum((a & b).values()) / (sum(a.values()) + sum(b.values())))
+        return float(np.mean(out))
+
+    assert f1() > 0.99
+    rng = np.random.default_rng(1)
+    monkeypatch.setattr(html, "path_ratios", lambda nodes: rng.random(len(nodes)))
+    assert f1() < 0.9
+
+
 def test_visible_text_has_headers():
     """<header> is no <head>, nor is a class with that name; a body in a head that is not closed is visible."""
     page = "<html><head><title>T</title><custom>no</custom></head><body><header>Site</header><article><header><h1>Headline</h1><p>By A</p></header><p class='a/head'>Text</p></article></body></html>"

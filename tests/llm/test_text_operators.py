@@ -83,7 +83,8 @@ def test_fingerprints_follow_descending_ids(spark):
     rows = [(i * 7 % 101, "".join(rnd.choice("abcé 😀\n") for _ in range(rnd.randint(0, 300)))) for i in range(101)] + [(None, "last"), (500, None), (500, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = sketches.with_followers(df, rows_per_bucket=10).mapInArrow(sketches._fingerprinted, sketches.fingerprints(df).schema).collect()
-    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0)))
+    hashes = {r["text"]: r["h"] for r in df.selectExpr("text", "xxhash64(coalesce(text, '')) as h").collect()}
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), hashes[r[1]], r[1] or ""))
     want = sorted((r[0] is None, r[0] or 0, hashlib.sha256(sketches.edited(r[1] or "", n[1] or "").encode()).hexdigest()) for r, n in zip(order, order[1:] + order[:1], strict=True))
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["edited_sha256"]) for r in got) == want
     assert sketches.fingerprints(df.where("false")).count() == 0
@@ -209,3 +210,49 @@ def test_licences(spark):
 def test_fuzzy_spans_lie_at_words(line):
     for label, a, e, edits in licences.fuzzy_notices(line):
         assert label == "apache" and edits <= 3 and (a == 0 or line[a - 1] == " ") and (e == len(line) or line[e] == " ")
+
+
+def levenshtein(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_fuzzy_notices_against_edit_distance():
+    """Planted notices with edits: every label that a scan of all word spans by edit distance gives, and no other."""
+    rnd = random.Random(31)
+    found = wanted = 0
+    for _ in range(60):
+        notice, _, errors = rnd.choice([n for n in licences.NOTICES if len(n[0]) < 45])
+        edited = list(notice)
+        for _ in range(rnd.randint(0, errors + 1)):
+            at = rnd.randrange(len(edited))
+            edited[at : at + rnd.randint(0, 1)] = rnd.choice(["", "x", "e"])
+        line = " ".join(" ".join(["lorem", "".join(edited), "ipsum dolor"]).split())
+        starts = [0, *(i + 1 for i, c in enumerate(line) if c == " ")]
+        ends = [*(i for i, c in enumerate(line) if c == " "), len(line)]
+        want = set()
+        for text, label, most in licences.NOTICES:
+            spans = (line[a:e] for a in starts for e in ends if abs(e - a - len(text)) <= most and a < e)
+            if any(levenshtein(text, x) <= most and licences.TELLING.intersection(text.split()) <= set(x.split()) for x in spans):
+                want.add(label)
+        got = {m[0] for m in licences.fuzzy_notices(line)}
+        assert got <= want, line
+        found, wanted = found + len(got), wanted + len(want)
+    assert wanted > 40 and found >= 0.97 * wanted
+
+
+def test_words_that_tell_licences_apart_are_not_edited():
+    for line in ("hit license", "it license", "the submit license", "bsd 4 clause license"):
+        assert not {m[0] for m in licences.fuzzy_notices(line)} & {"mit", "bsd"}, line
+
+
+def test_far_and_repeated_ids_share_no_bucket(spark):
+    """One id far from all others, one id with a third of the rows, null ids: buckets stay small, nothing is lost."""
+    rows = [(i, f"text {i}") for i in range(600)] + [(10**15, "far")] + [(7, f"seven {i}") for i in range(300)] + [(None, f"none {i}") for i in range(90)]
+    dealt = sketches.with_followers(spark.createDataFrame(rows, "doc_id long, text string"), rows_per_bucket=30)
+    sizes = [r["count"] for r in dealt.where("not halo").groupBy("bucket").count().collect()]
+    assert sum(sizes) == len(rows) and max(sizes) <= 100 and len(sizes) > 20
