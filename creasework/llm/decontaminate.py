@@ -77,26 +77,27 @@ def hits(docs: DataFrame, items: DataFrame, length: int = 10, keep: list[str] |
     n = F.size("words")
     if not sizes:
         return rows.select("row.*", "uid", n.alias("n_words"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"), F.array().cast("array<long>").alias("items"))
-    rows = rows.select("row", "uid", "words", F.concat(F.array(F.xxhash64("uid")), *(f"h{s}" for s in sizes)).alias("hashes"))
-    # the windows of the first size come first, then those of the next; the header is before them
-    starts, before = {}, F.lit(1)
-    for s in sizes:
-        starts[s] = before
-        before = before + F.greatest(n - s + 1, F.lit(0))
-    place = F.col("at") - F.coalesce(*(F.when(F.col("size") == s, starts[s]) for s in sizes))
     set_ = settle(reduce(DataFrame.union, hashed), "grams").select("size", "gram", "items", F.element_at("hs", 1).alias("hash"))
+    lower = lambda gram: F.transform(gram, lambda w: ascii_lower(w))
+    span = lambda place, size: F.struct(place.alias("start"), (place + size).alias("end"))
     if known[0] <= BROADCAST_WINDOWS:
-        tall = rows.select("row", "uid", "words", F.posexplode_outer("hashes").alias("at", "hash"))
-        met = tall.join(F.broadcast(set_), "hash", "left").where("at = 0 or size is not null")
-    else:  # only numbers are shuffled for the search; the few hits come back to the words for verification
+        # each window brings its own words, so a hit never carries its whole document
+        head = F.array(F.struct(F.lit(None).cast("long").alias("hash"), F.lit(-1).alias("place"), F.lit(0).alias("own"), F.array().cast("array<string>").alias("words")))
+        of_size = lambda s: F.transform(f"h{s}", lambda h, i: F.struct(h.alias("hash"), i.alias("place"), F.lit(s).alias("own"), F.slice("words", i + 1, s).alias("words")))
+        tall = rows.select("row", "uid", n.alias("n_words"), F.explode(F.concat(head, *(of_size(s) for s in sizes))).alias("w")).select("row", "uid", "n_words", "w.*")
+        met = tall.join(F.broadcast(set_), "hash", "left").where("place < 0 or size is not null")
+        true = (F.col("own") == F.col("size")) & (lower("words") == F.col("gram"))
+        met = met.select("row", "uid", "n_words", F.when(true, span(F.col("place"), F.col("size"))).alias("span"), F.when(true, F.col("items")).alias("items"))
+        by_row = met.groupBy("uid").agg(F.first("row").alias("row"), F.max("n_words").alias("n_words"), F.sort_array(F.collect_list("span")).alias("spans"), F.collect_set("items").alias("items"))
+    else:
+        # only numbers are shuffled for the search; the few hits of a document come back to its words together
         rows = settle(rows, "hashed")
-        tall = rows.select("uid", F.posexplode("hashes").alias("at", "hash")).where("at > 0").join(set_, "hash").drop("hash")
-        found = rows.select("row", "uid", "words").join(tall, "uid", "left")
-        met = found.withColumn("at", F.coalesce("at", F.lit(0)))
-    start = F.when((F.col("at") > 0) & (place >= 0) & (place + F.col("size") <= n), place)
-    true = start.isNotNull() & (F.transform(F.slice("words", F.coalesce(start, F.lit(0)) + 1, F.coalesce("size", F.lit(0))), lambda w: ascii_lower(w)) == F.col("gram"))
-    met = met.select("row", "uid", n.alias("n_words"), F.when(true, F.struct(start.alias("start"), (start + F.col("size")).alias("end"))).alias("span"), F.when(true, F.col("items")).alias("items"))
-    by_row = met.groupBy("uid").agg(F.first("row").alias("row"), F.max("n_words").alias("n_words"), F.sort_array(F.collect_list("span")).alias("spans"), F.collect_set("items").alias("items"))
+        of_size = lambda s: F.transform(f"h{s}", lambda h, i: F.struct(h.alias("hash"), i.alias("place"), F.lit(s).alias("own")))
+        tall = rows.select("uid", F.explode(F.concat(*(of_size(s) for s in sizes))).alias("w")).select("uid", "w.*")
+        found = tall.join(set_, "hash").where("own = size").groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("place", "size", "gram", "items"))).alias("found"))
+        true = lambda x: lower(F.slice("words", x["place"] + 1, x["size"])) == x["gram"]
+        by_row = rows.select("row", "uid", "words").join(found, "uid", "left").withColumn("found", F.coalesce(F.filter("found", true), F.filter(F.array().cast(found.schema["found"].dataType), true)))
+        by_row = by_row.select("row", "uid", n.alias("n_words"), F.transform("found", lambda x: span(x["place"], x["size"])).alias("spans"), F.transform("found", lambda x: x["items"]).alias("items"))
     empty = F.array().cast("array<struct<start:int,end:int>>")
     end = lambda a: F.coalesce(F.try_element_at(a, F.lit(-1))["end"], F.lit(-1))
     joined = lambda a, s: F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.struct(F.element_at(a, -1)["start"].alias("start"), F.greatest(end(a), s["end"]).alias("end"))))
