@@ -81,12 +81,19 @@ def hits(docs: DataFrame, items: DataFrame, length: int = 10, keep: list[str] |
     lower = lambda gram: F.transform(gram, lambda w: ascii_lower(w))
     span = lambda place, size: F.struct(place.alias("start"), (place + size).alias("end"))
     if known[0] <= BROADCAST_WINDOWS:
-        # each window brings its own words, so a hit never carries its whole document
-        head = F.array(F.struct(F.lit(None).cast("long").alias("hash"), F.lit(-1).alias("place"), F.lit(0).alias("own"), F.array().cast("array<string>").alias("words")))
-        of_size = lambda s: F.transform(f"h{s}", lambda h, i: F.struct(h.alias("hash"), i.alias("place"), F.lit(s).alias("own"), F.slice("words", i + 1, s).alias("words")))
-        tall = rows.select("row", "uid", n.alias("n_words"), F.explode(F.concat(head, *(of_size(s) for s in sizes))).alias("w")).select("row", "uid", "n_words", "w.*")
-        met = tall.join(F.broadcast(set_), "hash", "left").where("place < 0 or size is not null")
-        true = (F.col("own") == F.col("size")) & (lower("words") == F.col("gram"))
+        # one pass: the windows of the first size come first, then those of the next; place 0 is the document itself
+        starts, before = {}, F.lit(1)
+        for s in sizes:
+            starts[s] = before
+            before = before + F.greatest(n - s + 1, F.lit(0))
+        tall = rows.select("row", "uid", "words", F.posexplode(F.concat(F.array(F.xxhash64("uid")), *(f"h{s}" for s in sizes))).alias("at", "hash"))
+        met = tall.join(F.broadcast(set_), "hash", "left").where("at = 0 or size is not null")
+        place = F.col("at") - F.coalesce(*(F.when(F.col("size") == s, starts[s]) for s in sizes))
+        start = F.when((F.col("at") > 0) & (place >= 0) & (place + F.col("size") <= n), place)
+        # a hit takes its own words along, never its whole document: slices are cut in the same generated code as the
+        # join, because the window is used twice below and so isn't merged into what follows
+        met = met.select("row", "uid", n.alias("n_words"), "size", "gram", "items", start.alias("place"), F.slice("words", F.coalesce(start, F.lit(0)) + 1, F.coalesce(F.when(start.isNotNull(), F.col("size")), F.lit(0))).alias("window"))
+        true = F.col("place").isNotNull() & (F.size("window") == F.col("size")) & (lower("window") == F.col("gram"))
         met = met.select("row", "uid", "n_words", F.when(true, span(F.col("place"), F.col("size"))).alias("span"), F.when(true, F.col("items")).alias("items"))
         by_row = met.groupBy("uid").agg(F.first("row").alias("row"), F.max("n_words").alias("n_words"), F.sort_array(F.collect_list("span")).alias("spans"), F.collect_set("items").alias("items"))
     else:
