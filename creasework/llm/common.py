@@ -30,10 +30,15 @@ def extended(docs: DataFrame, keep: list[str], added: str) -> T.StructType:
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
-    """The batches in smaller ones, so that a worker holds few texts as Python objects at a time."""
+    """The batches in smaller ones, so that a worker holds few texts as Python objects at a time.
+
+    At the end of a task Arrow's unused memory goes back to the system: workers live on for tasks of other stages.
+    """
     for b in batches:
         for at in range(0, len(b), rows):
             yield b.slice(at, rows)
+        del b
+    pa.default_memory_pool().release_unused()
 
 
 def ascii_lower(c: Column) -> Column:

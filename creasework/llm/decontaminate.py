@@ -61,6 +61,32 @@ def windows(items: DataFrame, length: int = 10) -> DataFrame:
     return grams.groupBy("size", "gram").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
 
 
+def _merged(spans: Column, length: int) -> Column:
+    """Sorted spans of length places at most, joined where they touch or overlap; linear in their number.
+
+    Of the spans with one start the longest counts, so only the length spans before a place can reach it.
+    """
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    longest = F.filter(spans, lambda s, i: F.coalesce(F.try_element_at(spans, i + 2)["start"] > s["start"], F.lit(True)))
+
+    def of(a: Column) -> Column:
+        last = lambda i: F.array_max(F.transform(F.slice(a, F.greatest(i - length, F.lit(0)) + 1, F.least(i, F.lit(length))), lambda s: s["end"]))
+        first = F.filter(F.transform(a, lambda s, i: F.when((i == 0) | (last(i) < s["start"]), i)), lambda i: i.isNotNull())
+        stops = lambda b: F.transform(F.concat(F.slice(b, 2, F.greatest(F.size(b) - 1, F.lit(0))), F.array(F.size(a))), last)
+        ends = F.transform(F.array(first), lambda b: F.zip_with(F.transform(b, lambda i: F.element_at(a, i + 1)["start"]), stops(b), lambda s, e: F.struct(s.alias("start"), e.alias("end"))))
+        return F.element_at(ends, 1)
+
+    # one-element arrays bind an intermediate, so that it is computed once a row
+    return F.when(F.size(spans) > 0, F.element_at(F.transform(F.array(longest), of), 1)).otherwise(none)
+
+
+def _without(items: Column, spans: Column) -> Column:
+    """items outside the merged spans (start, end): the slices between them, linear in both."""
+    starts, ends = F.transform(spans, lambda s: s["start"]), F.transform(spans, lambda s: s["end"])
+    between = F.zip_with(F.concat(F.array(F.lit(0)), ends), F.concat(starts, F.array(F.size(items))), lambda a, b: F.slice(items, a + 1, b - a))
+    return F.flatten(between)
+
+
 def hits(docs: DataFrame, items: DataFrame, length: int = 10, keep: list[str] | None = None) -> DataFrame:
     """For each row of docs: the kept columns, uid, n_words, spans (start, end of merged hits) and items.
 
@@ -105,10 +131,7 @@ def hits(docs: DataFrame, items: DataFrame, length: int = 10, keep: list[str] |
         true = lambda x: lower(F.slice("words", x["place"] + 1, x["size"])) == x["gram"]
         by_row = rows.select("row", "uid", "words").join(found, "uid", "left").withColumn("found", F.coalesce(F.filter("found", true), F.filter(F.array().cast(found.schema["found"].dataType), true)))
         by_row = by_row.select("row", "uid", n.alias("n_words"), F.transform("found", lambda x: span(x["place"], x["size"])).alias("spans"), F.transform("found", lambda x: x["items"]).alias("items"))
-    empty = F.array().cast("array<struct<start:int,end:int>>")
-    end = lambda a: F.coalesce(F.try_element_at(a, F.lit(-1))["end"], F.lit(-1))
-    joined = lambda a, s: F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.struct(F.element_at(a, -1)["start"].alias("start"), F.greatest(end(a), s["end"]).alias("end"))))
-    merged = F.aggregate("spans", empty, lambda a, s: F.when(s["start"] <= end(a), joined(a, s)).otherwise(F.concat(a, F.array(s))))
+    merged = _merged(F.col("spans"), length)
     return by_row.select("row.*", "uid", "n_words", merged.alias("spans"), F.array_distinct(F.flatten("items")).alias("items"))
 
 
@@ -122,15 +145,16 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def decontaminate(docs: DataFrame, items: DataFrame, length: int = 10, max_share: float = 0.5) -> DataFrame:
     """docs without the words that benchmark windows hit.
 
-    A document of which max_share of the words or more are hit goes; in the others the hit spans are cut, up to the
-    next word, and n_chars is counted again. Documents without hits stay untouched.
+    A document of which max_share of the words or more are hit goes; in the others the hit spans are cut, each word with
+    the gap before it, and n_chars is counted again. Documents without hits stay untouched.
     """
     tagged = settle(docs.select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("key")), "rows")  # numbered once
     found = settle(hits(tagged.select("key", "row.text"), items, length, ["key"]).where(F.size("spans") > 0).select("key", "spans", "n_words"), "hits")
     hit = F.aggregate("spans", F.lit(0), lambda n, s: n + s["end"] - s["start"])
     words, gaps = raw_words(F.col("row.text")), F.split("row.text", RAW_WORD)  # gap i stands before word i
     pieces = F.zip_with(gaps, F.concat(words, F.array(F.lit(""))), lambda g, w: F.concat(g, w))
-    kept = F.filter(pieces, lambda p, i: ~F.exists("spans", lambda s: (s["start"] <= i) & (i < s["end"])))
+    # bound once a row by a one-element array, as every slice would split the text again
+    kept = F.element_at(F.transform(F.array(pieces), lambda p: _without(p, F.col("spans"))), 1)
     text = F.array_join(kept, "")
     joined = tagged.join(found, "key", "left").where(F.col("spans").isNull() | (hit < max_share * F.col("n_words")))
     row = F.col("row").withField("text", text)

@@ -5,6 +5,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from creasework.llm import decontaminate, language, licences, sketches, toxicity
 
@@ -61,6 +62,35 @@ def test_decontamination_cuts_spans_and_keeps_the_rest(spark):
     assert "b5" not in got[1]["text"] and got[1]["text"].count("w29") == 2 and got[1]["n_chars"] == len(got[1]["text"]) and got[1]["spans"] == "k"
 
 
+def test_spans_are_merged_and_cut_as_one_by_one(spark):
+    draw = random.Random(5)
+    rows = []
+    for key in range(200):
+        n = draw.randint(0, 60)
+        spans = sorted({(a, min(n, a + draw.choice([1, 3, 10]))) for a in (draw.randrange(max(n, 1)) for _ in range(draw.randint(0, 12) if n else 0))})
+        rows.append((key, list(range(n)), spans))
+    df = spark.createDataFrame(rows, "key int, items array<int>, spans array<struct<start:int,end:int>>")
+    df = df.withColumn("merged", decontaminate._merged(F.col("spans"), 10)).withColumn("kept", decontaminate._without(F.col("items"), F.col("merged")))
+    got = {r["key"]: ([tuple(s) for s in r["merged"]], list(r["kept"])) for r in df.collect()}
+    for key, items, spans in rows:
+        want = []
+        for a, e in spans:
+            if want and a <= want[-1][1]:
+                want[-1] = (want[-1][0], max(want[-1][1], e))
+            else:
+                want.append((a, e))
+        assert got[key] == (want, [i for i in items if not any(a <= i < e for a, e in spans)])
+
+
+def test_a_document_of_very_many_separate_hits(spark):
+    n = 20_000
+    docs = spark.createDataFrame([(1, " ".join(f"hit w{i}" for i in range(n)))], "doc_id long, text string")
+    items = spark.createDataFrame([(7, "hit")], "item_id long, text string")
+    assert found_hits(decontaminate.hits(docs, items)) == [(1, 2 * n, n, [7])]
+    row = decontaminate.decontaminate(docs, items, max_share=0.6).first()
+    assert row["text"] == "".join(f" w{i}" for i in range(n))  # a word goes with the gap before it
+
+
 def test_no_benchmark(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     none = spark.createDataFrame([], "item_id long, text string")
