@@ -69,6 +69,10 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
     return langs, np.log(seen / seen.sum(axis=0)).astype(np.float32)
 
 
+#: Proportions that differ by less are equal, so that sums in another order (another processor) decide nothing.
+TIE = 1e-6
+
+
 def mixture(odds: np.ndarray, times: np.ndarray, rounds: int = 12) -> tuple[np.ndarray, float]:
     """(proportions, log-likelihood) by expectation-maximisation; odds[i, l]: likelihood of trigram i, which stands
     times[i] times, in language l."""
@@ -96,7 +100,7 @@ def languages_of(cells: np.ndarray, logs: np.ndarray) -> tuple[np.ndarray, np.nd
     share, fit_ = mixture(odds, times)
     penalty = 0.5 * np.log(len(cells) / OVERLAP + 1)
     while len(chosen) > 1:
-        rest = np.arange(len(chosen)) != np.argmin(share)
+        rest = np.arange(len(chosen)) != np.flatnonzero(share <= share.min() + TIE)[-1]
         fewer, fewer_fit = mixture(odds[:, chosen[rest]], times)
         if (fit_ - fewer_fit) / OVERLAP > penalty:
             break
@@ -118,7 +122,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: list[st
                     best.append("und"), score.append(0.0), mix.append([])
                     continue
                 chosen, share = languages_of(cells, logs)
-                top = int(np.argmax(share))
+                top = int(np.flatnonzero(share >= share.max() - TIE)[0])
                 n = len(cells) / OVERLAP
                 best.append(names[chosen[top]])
                 score.append(float(min(1.0, (n * share[top] + 1) / (n + len(langs)))))
