@@ -21,8 +21,8 @@ def sum_if(cond: Column, value: str | Column) -> Column:
 
 
 def round_even(c: Column, digits: int) -> Column:
-    """Scaled, rounded half to even, scaled back, as array libraries do it: 2.675 is 267.49.. hundredths and gives 2.67.
-    (Spark's bround takes the shortest decimal text of a double instead.)"""
+    """Scaled, rounded half to even, scaled back, as array libraries do it: 9.075 is 907.49.. hundredths and gives 9.07,
+    2.675 is 267.5 hundredths and gives 2.68. (Spark's bround takes the shortest decimal text of a double instead.)"""
     scale = F.lit(10.0**digits)
     return F.rint(c * scale) / scale
 

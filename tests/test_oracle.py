@@ -32,7 +32,7 @@ def test_query_equals_sql(spark, name):
     pd.testing.assert_frame_equal(plain(got), plain(want), check_dtype=False, atol=1e-9, rtol=1e-9)
 
 
-@pytest.mark.parametrize(("runs", "balls", "scale", "want"), [(121, 80, 6, 9.07), (2.675, 1, 1, 2.67), (0.125, 1, 1, 0.12), (0.375, 1, 1, 0.38), (-0.125, 1, 1, -0.12), (1, 0, 1, None)])
+@pytest.mark.parametrize(("runs", "balls", "scale", "want"), [(121, 80, 6, 9.07), (2.675, 1, 1, 2.68), (0.125, 1, 1, 0.12), (0.375, 1, 1, 0.38), (-0.125, 1, 1, -0.12), (1, 0, 1, None)])
 def test_ties_are_rounded_as_arrays_are(spark, runs, balls, scale, want):
     d = spark.createDataFrame([(float(runs), balls)], "runs double, balls int")
     assert d.select(exprs.ratio("runs", "balls", scale)).first()[0] == want
