@@ -2,13 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from creasework import config as C
 from creasework.functions import exprs as X
 
 
+#: What draws are apart, and the steps (shift, then factor) that mix a number of 31 bits.
+DRAW_STEP = 2654435761
+MIXING = ((15, 739982445), (12, 695872825), (15, 1))
+
+
+def _mixed(x: Column) -> Column:
+    """An evenly spread number of 31 bits."""
+    low = F.lit((1 << 31) - 1)
+    x = x.bitwiseAND(low)
+    for shift, factor in MIXING:
+        x = (x.bitwiseXOR(F.shiftright(x, shift)) * F.lit(factor)).bitwiseAND(low)
+    return x
+
+
 def delivery_stats(deliveries: DataFrame, matches: DataFrame) -> DataFrame:
     d = deliveries.join(matches.select("match_id", "venue_id"), "match_id").groupBy("venue_id").agg(
         F.count("*").alias("balls"),
@@ -52,22 +68,24 @@ def factor_intervals(innings: DataFrame, matches: DataFrame, draws: int = C.BOOT
     """Interval of each venue's mean first innings over the global mean, by a seeded Poisson bootstrap.
 
     Each innings counts Poisson(1) times in each draw, the count being drawn from a hash of innings and draw, so the
-    resampling is one aggregation without collecting a venue's innings anywhere.
+    resampling is one aggregation without collecting a venue's innings anywhere. The id is hashed once; integer mixing
+    gives the numbers of its draws.
     """
-    first = innings.where("innings_number = 1").join(matches.select("match_id", "venue_id"), "match_id").select("venue_id", "innings_id", "total_runs")
+    seed = F.conv(F.substring(F.md5(F.col("innings_id").cast("string").cast("binary")), 1, 7), 16, 10).cast("long")
+    first = innings.where("innings_number = 1").join(matches.select("match_id", "venue_id"), "match_id").select("venue_id", seed.alias("seed"), "total_runs")
     enough = first.groupBy("venue_id").agg(F.count("*").alias("n"), F.sum("total_runs").alias("runs")).where(F.col("n") >= C.MIN_VENUE_INNINGS)
     mean = enough.agg((F.sum("runs") / F.sum("n")).alias("mean"))
-    u = F.pmod(F.xxhash64("innings_id", "draw"), F.lit(1 << 30)) / float(1 << 30)
-    cumulative, total, term = [], 0.0, 0.36787944117144233
+    x = _mixed(F.col("seed") + F.col("draw") * F.lit(DRAW_STEP))
+    cumulative, total, term = [], 0.0, math.exp(-1)
     for k in range(8):
         total += term
-        cumulative.append(total)
+        cumulative.append(math.ceil(total * (1 << 31)))
         term /= k + 1
-    times = sum((F.when(u >= c, 1).otherwise(0) for c in cumulative), F.lit(0))
-    drawn = first.join(enough.select("venue_id"), "venue_id", "left_semi").select("venue_id", "innings_id", "total_runs", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw")).withColumn("times", times)
+    times = sum((F.when(F.col("x") >= c, 1).otherwise(0) for c in cumulative), F.lit(0))
+    drawn = first.join(enough.select("venue_id"), "venue_id", "left_semi").select("venue_id", "seed", "total_runs", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw")).withColumn("x", x).withColumn("times", times)
     means = drawn.groupBy("venue_id", "draw").agg((F.sum(F.col("times") * F.col("total_runs")) / F.nullif(F.sum("times"), F.lit(0))).alias("m"))
     out = means.groupBy("venue_id").agg(F.percentile("m", F.lit(bounds[0])).alias("lo"), F.percentile("m", F.lit(bounds[1])).alias("hi"))
-    return out.crossJoin(F.broadcast(mean)).select("venue_id", (F.col("lo") / F.col("mean")).alias("bat_factor_lo"), (F.col("hi") / F.col("mean")).alias("bat_factor_hi"))
+    return out.crossJoin(F.broadcast(mean)).select("venue_id", *(X.round_even(F.col(c) / F.col("mean"), 6).alias(f"bat_factor_{c}") for c in ("lo", "hi")))
 
 
 def upsert(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:

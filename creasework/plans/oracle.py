@@ -1,6 +1,10 @@
 """The same results in DuckDB SQL: shared definitions and one select for each query."""
 
+from math import ceil, exp, factorial
+
 _PH = ("pp", "mid", "death")
+#: Numbers of 31 bits from which on an innings counts once more, twice more .. in a draw: Poisson with mean 1.
+_POISSON = [ceil(sum(exp(-1) / factorial(j) for j in range(k + 1)) * 2**31) for k in range(8)]
 
 
 def _phase_sums(what: str, cond: str) -> str:
@@ -160,6 +164,9 @@ SELECTS = {
     "style_matchups": f"select *, {_RATES} from (select batter_id, case bowler_id % 8 when 0 then 'Right-arm fast' when 1 then 'Right-arm fast-medium' when 2 then 'Right-arm off-break' when 3 then 'Right-arm leg-break googly' when 4 then 'Left-arm fast' when 5 then 'Left-arm fast-medium' when 6 then 'Slow left-arm orthodox' else 'Left-arm wrist-spin' end as style, {_PAIR} from balls group by all) where balls >= 24",
     "partnerships": "select innings_id, wicket_number, sum(total_runs) as runs, sum(is_legal::int) as balls, max(is_wicket::int) as ended from (select *, 1 + coalesce(sum(is_wicket::int) over (partition by innings_id order by ball_number rows between unbounded preceding and 1 preceding), 0) as wicket_number from balls) group by all",
     "venue_factors": "select * from venue_factors",
+    "venue_factor_ci": f"""|d as (select venue_id, total_runs, (concat('0x', substr(md5(innings_id::varchar), 1, 7))::bigint + draw * 2654435761) & 2147483647 as a, draw from innings join sides using (match_id) join vp using (venue_id), (select unnest(range(1, 501)) as draw) where innings_number = 1),
+ e as (select *, (xor(a, a >> 15) * 739982445) & 2147483647 as b from d), f as (select *, (xor(b, b >> 12) * 695872825) & 2147483647 as c from e), g as (select venue_id, total_runs, xor(c, c >> 15) as x, draw from f),
+ h as (select venue_id, sum(total_runs * times) / nullif(sum(times), 0) as m from (select venue_id, draw, total_runs, {" + ".join(f"(x >= {c})::int" for c in _POISSON)} as times from g) group by venue_id, draw)|select venue_id, round_even(quantile_cont(m, 0.05) / any_value(mean), 6) as bat_factor_lo, round_even(quantile_cont(m, 0.95) / any_value(mean), 6) as bat_factor_hi from h, vm group by venue_id""",
     "batting_ratings": "select player_id, s_avg, s_sr, s_pp_sr, s_mid_sr, s_death_sr, s_chase, s_first, s_opener, s_finisher, s_anchor, bat_rating, adj_average, adj_strike_rate from batting_ratings",
     "bowling_ratings": "select * from bowling_ratings",
     "overall_ratings": "select * from overall_ratings",
