@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from creasework.llm import fim, runs
 from creasework.llm.decontaminate import op1_decontaminate
+from creasework.llm.fim import op12_fim
 from creasework.llm.html import op3_html
 from creasework.llm.language import op5_language
 from creasework.llm.licences import op10_licences
 from creasework.llm.packing import op4_pack
+from creasework.llm.runs import op11_runs
 from creasework.llm.sharding import op9_shards
 from creasework.llm.simhash import op7_simhash
 from creasework.llm.sketches import op2_fingerprints
+from creasework.llm.tokens import op13_token_files
 from creasework.llm.toxicity import op6_toxicity
 from creasework.llm.warc import op8_warc
 
@@ -24,6 +28,9 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_shards": op9_shards,
     "op10_licences": op10_licences,
+    "op11_runs": op11_runs,
+    "op12_fim": op12_fim,
+    "op13_token_files": op13_token_files,
 }
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -38,4 +45,6 @@ p AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(rang
 k AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM h) GROUP BY 1)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN p USING (doc_id) LEFT JOIN k USING (doc_id)""",
+    "op11_runs": runs.SQL,
+    "op12_fim": fim.SQL,
 }
