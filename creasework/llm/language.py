@@ -5,8 +5,8 @@ the proportions from the trigrams' likelihoods; the set of languages is the one
 (half a log of the effective number of trigrams for each language). The prediction is the language with the largest
 proportion, ties going to the first in order; the score is that proportion, shrunk for short texts.
 
-The trigram model is fitted on a sample of labelled texts, SAMPLE for each language at most, taken by a hash of doc_id
-among the rows that are not held out. Null texts and texts without letters are ``und`` with score 0. Repeated rows and
+The trigram model is fitted on a sample of labelled texts, about SAMPLE for each language, taken by a hash of doc_id
+among the rows that are not held out (all rows of an id go together). Null texts and texts without letters are ``und`` with score 0. Repeated rows and
 null ids give a row each; an empty table gives an empty result. Without labelled rows all texts are ``und``.
 """
 
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from creasework.llm.common import bounded_sample, extended, fold, slices, table
 
-#: Labelled texts of a language that the model is fitted on, at most (chosen by hash, whole texts).
+#: Labelled texts of a language that the model is fitted on, about (chosen by hash, whole texts).
 SAMPLE = 1500
 #: Cells that trigrams are hashed to.
 CELLS = 1 << 15
@@ -34,7 +34,11 @@ _LETTER = np.array([chr(i).isalpha() for i in range(0x10000)])
 def trigram_cells(text: str) -> np.ndarray:
     """Cells of the trigrams of letters; other characters count as one space. Empty if there is no letter."""
     codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    letter = _LETTER[np.minimum(codes, 0xFFFF)] | (codes > 0xFFFF)
+    letter = _LETTER[np.minimum(codes, 0xFFFF)]
+    beyond = codes > 0xFFFF
+    if beyond.any():
+        high = codes[beyond]
+        letter[beyond] = np.isin(high, [c for c in np.unique(high).tolist() if chr(c).isalpha()])
     if not letter.any():
         return np.empty(0, np.int64)
     codes = np.where(letter, codes, np.uint32(32))

@@ -286,3 +286,18 @@ def test_far_and_repeated_ids_share_no_bucket(spark):
     dealt = sketches.with_followers(spark.createDataFrame(rows, "doc_id long, text string"), rows_per_bucket=30)
     sizes = [r["count"] for r in dealt.where("not halo").groupBy("bucket").count().collect()]
     assert sum(sizes) == len(rows) and max(sizes) <= 100 and len(sizes) > 20
+
+
+def test_letters_beyond_the_first_plane_are_told_from_signs():
+    """Emoji and mathematical digits are no letters, ideographs of extension B and mathematical letters are."""
+    emoji, digit, ideograph, letter = chr(0x1F600), chr(0x1D7D9), chr(0x20000), chr(0x1D400)
+    assert not len(language.trigram_cells(f"{emoji}{emoji} {chr(0x1F680)}")) and not len(language.trigram_cells(digit * 3))
+    assert len(language.trigram_cells(ideograph)) == 1 and len(language.trigram_cells(letter)) == 1
+    assert language.trigram_cells(f"abc{emoji}def").tolist() == language.trigram_cells("abc def").tolist()
+
+
+def test_texts_of_signs_alone_have_no_language(spark):
+    rows = [(i, "same words here", "a") for i in range(30)] + [(100, chr(0x1F600) * 5, None), (101, chr(0x1D7D9), None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = language.identify(docs, language.fit(docs), ["doc_id"]).where("doc_id >= 100").collect()
+    assert [(r["lang_pred"], r["score"]) for r in got] == [("und", 0.0), ("und", 0.0)]
