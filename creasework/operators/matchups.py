@@ -87,10 +87,15 @@ def matrix(d: DataFrame, batters: DataFrame, bowlers: DataFrame) -> DataFrame:
     return cells.join(with_rates(pair_sums(own, "batter_id", "bowler_id")), ["batter_id", "bowler_id"], "left").fillna(0, subset=["balls", "runs", "dismissals", "wickets", "dots", "boundaries"])
 
 
+def _listed(ids: DataFrame) -> DataFrame:
+    """The ids of a side, broadcast if they are no more than CELLS."""
+    return F.broadcast(ids) if ids.count() <= CELLS else ids
+
+
 def threats(d: DataFrame, batters: DataFrame, bowlers: DataFrame, least: int = 6) -> DataFrame:
     """Bowlers against each batter of the other side with enough balls between them (wides count here): balls, whole
     strike rate, wickets; most wickets first."""
-    own = d.join(F.broadcast(batters.limit(CELLS)), "batter_id", "left_semi").join(F.broadcast(bowlers.limit(CELLS)), "bowler_id", "left_semi")
+    own = d.join(_listed(batters), "batter_id", "left_semi").join(_listed(bowlers), "bowler_id", "left_semi")
     met = own.groupBy("bowler_id", "batter_id").agg(F.count("*").alias("balls"), F.sum("bat_runs").alias("runs"), X.count_if(F.col("is_wicket")).alias("wickets")).where(F.col("balls") >= least)
     return met.select("bowler_id", "batter_id", "balls", X.round_even(F.col("runs") * 100.0 / F.col("balls"), 0).cast("long").alias("strike_rate"), "wickets").orderBy(F.desc("wickets"), "bowler_id", "batter_id")
 

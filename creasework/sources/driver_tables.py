@@ -1,11 +1,12 @@
 """The driver's star schema seen as ball-by-ball data: a line is a ball, a customer a match, a nation a team.
 
-The facts that many queries share (balls, innings, matches, batter and bowler innings, careers) are written once to the shared
-folder for a session and a state of the tables, so the lines are read once and joined once.
+The balls, innings and matches that many queries share are written once to the shared folder for a session and a state of
+the tables, so the lines are read and joined once; they are facts, and what queries ask of them is planned anew each time.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -15,7 +16,13 @@ from pyspark.sql import functions as F
 from creasework.operators import balls, careers, ratings, venues
 from creasework.sources.shared import settle, stamp
 
-_SETTLED: dict[tuple, DataFrame] = {}
+#: By name and folder: the state of its tables, and the settled facts.
+_SETTLED: dict[tuple[str, str], tuple[tuple, DataFrame]] = {}
+
+
+def forget() -> None:
+    """Settle all facts anew from now on."""
+    _SETTLED.clear()
 
 
 @dataclass
@@ -32,12 +39,13 @@ class League:
     def _stamp(self) -> tuple:
         return (self.spark.sparkContext.applicationId, id(self.spark), stamp(self.spark, [f"{self.sf_dir}/{t}.parquet" for t in ("lineitem", "orders", "customer")]))
 
-    def _once(self, name: str, df: DataFrame) -> DataFrame:
-        """df as a settled table, made by the first query of this session that needs it while the tables stay as they are."""
-        key = (name, *self._stamp)
-        if key not in _SETTLED:
-            _SETTLED[key] = settle(df, name)
-        return _SETTLED[key]
+    def _once(self, name: str, plan: Callable[[], DataFrame]) -> DataFrame:
+        """The plan's rows as a settled table, made by the first query of this session that needs it while the tables stay
+        as they are; of a folder whose tables have changed since, what was settled is forgotten."""
+        key, made = (name, self.sf_dir), _SETTLED.get((name, self.sf_dir))
+        if not made or made[0] != self._stamp:
+            _SETTLED[key] = made = (self._stamp, settle(plan(), name))
+        return made[1]
 
     @cached_property
     def teams(self) -> DataFrame:
@@ -101,7 +109,7 @@ class League:
 
     @cached_property
     def deliveries(self) -> DataFrame:
-        return self._once("deliveries", balls.with_flags(self.raw_deliveries))
+        return self._once("deliveries", lambda: balls.with_flags(self.raw_deliveries))
 
     @cached_property
     def scores(self) -> DataFrame:
@@ -112,47 +120,50 @@ class League:
     @cached_property
     def matches(self) -> DataFrame:
         """Winner null when tied or when an innings is missing; the toss goes to the home side of even matches."""
+        return self._once("matches", self._played)
+
+    def _played(self) -> DataFrame:
         when = self.table("orders").groupBy(F.col("o_custkey").alias("match_id")).agg(F.to_date(F.min("o_orderdate")).alias("match_date"))
         won = F.when(F.col("first_total") > F.col("second_total"), F.col("team1_id")).when(F.col("second_total") > F.col("first_total"), F.col("team2_id"))
         toss = F.when(F.col("match_id") % 2 == 0, F.col("team1_id")).otherwise(F.col("team2_id"))
         m = self.sides.join(when, "match_id").join(self.scores, "match_id").withColumn("winner_id", won).withColumn("toss_winner_id", toss)
-        return self._once("matches", m.withColumn("season", F.year("match_date").cast("string")).drop("first_total", "second_total"))
+        return m.withColumn("season", F.year("match_date").cast("string")).drop("first_total", "second_total")
 
     @cached_property
     def innings(self) -> DataFrame:
-        return self._once("innings", balls.innings_totals(self.deliveries))
+        return self._once("innings", lambda: balls.innings_totals(self.deliveries))
 
     @cached_property
     def batter_innings(self) -> DataFrame:
-        return self._once("batter_innings", balls.batter_innings(self.deliveries))
+        return balls.batter_innings(self.deliveries)
 
     @cached_property
     def bowler_innings(self) -> DataFrame:
-        return self._once("bowler_innings", balls.bowler_innings(self.deliveries))
+        return balls.bowler_innings(self.deliveries)
 
     @cached_property
     def batting(self) -> DataFrame:
-        return self._once("batting", careers.batting_facts(self.batter_innings, self.matches, self.innings))
+        return careers.batting_facts(self.batter_innings, self.matches, self.innings)
 
     @cached_property
     def bowling(self) -> DataFrame:
-        return self._once("bowling", careers.bowling_facts(self.bowler_innings, self.matches))
+        return careers.bowling_facts(self.bowler_innings, self.matches)
 
     @cached_property
     def venue_factors(self) -> DataFrame:
-        return self._once("venue_factors", venues.factors(self.innings, self.deliveries, self.matches))
+        return venues.factors(self.innings, self.deliveries, self.matches)
 
     @cached_property
     def career_batting(self) -> DataFrame:
-        return self._once("career_batting", careers.career_batting(self.batting, self.venue_factors))
+        return careers.career_batting(self.batting, self.venue_factors)
 
     @cached_property
     def career_bowling(self) -> DataFrame:
-        return self._once("career_bowling", careers.career_bowling(self.bowling, self.venue_factors))
+        return careers.career_bowling(self.bowling, self.venue_factors)
 
     @cached_property
     def chase_split(self) -> DataFrame:
-        return self._once("chase_split", careers.chase_split(self.batting))
+        return careers.chase_split(self.batting)
 
     @cached_property
     def batting_ratings(self) -> DataFrame:
