@@ -42,7 +42,7 @@ MAGIC, HEADER, FOOTER = b"idfile01", struct.Struct("<8sQ32s"), struct.Struct("<Q
 INDEX = np.dtype([("key", "<i8"), ("has_key", "<u8"), ("offset", "<u8"), ("size", "<u8"), ("ids", "<u8"), ("start", "<u8")])
 #: Bytes of frames in a file, and in a part; bytes of the dictionary.
 FILE_BYTES, PART_BYTES, DICTIONARY_BYTES = 8_000_000, 256_000_000, 65_536
-#: What the dictionary is trained on: so many documents at most, chosen by a hash, so many characters of each.
+#: What the dictionary is trained on: about so many different documents, chosen by a hash, so many characters of each.
 SAMPLE, SAMPLE_CHARS = 1000, 4000
 LEVEL = 3
 
@@ -166,8 +166,9 @@ def train(docs: DataFrame, tokens: ByteTokens, end: bytes, size: int = DICTIONAR
     """A dictionary from a bounded sample of documents; empty where there are too few."""
     import zstandard
 
-    few = docs.where("text <> ''").select(F.xxhash64("doc_id", "text").alias("h"), F.substring("text", 1, SAMPLE_CHARS).alias("text")).orderBy("h", "text").limit(SAMPLE)
-    samples = [ids + end for ids in tokens.serialize(pa.array([r["text"] for r in few.collect()], pa.string()))]
+    some = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)) < F.lit((1 << 40) * min(1.0, SAMPLE / max(1, docs.count())))
+    few = docs.where("text <> ''").where(some).select(F.xxhash64("doc_id", "text").alias("h"), F.substring("text", 1, SAMPLE_CHARS).alias("text")).dropDuplicates(["h"])
+    samples = [ids + end for ids in tokens.serialize(pa.array([r["text"] for r in sorted(few.collect())], pa.string()))]
     size = min(size, sum(map(len, samples)) // 8)
     if len(samples) < 8 or size < 256:
         return b""
