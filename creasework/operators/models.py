@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from creasework import config as C
 from creasework.functions import exprs as X
+from creasework.operators import search
 from creasework.sources.shared import settle
 
 BAT_FEATURES = ["venue_bat_factor", "boundary_rate", "pace_index", "batting_position", "is_chase", "req_rr", "career_adj_avg", "career_adj_sr", "career_innings", "chase_avg", "first_avg", "chase_sr", "pp_sr", "mid_sr", "death_sr", "tournament_enc"]
@@ -37,11 +38,13 @@ def _venue(facts: DataFrame, factors: DataFrame) -> DataFrame:
 _VENUE = {"venue_bat_factor": lambda: _clipped("bat_factor", 1.0, 0.5, 2.0), "boundary_rate": lambda: _clipped("_boundary", 0.12, 0.05, 0.25), "pace_index": lambda: _clipped("_pace", 0.5, 0, 1)}
 
 
-def batting_features(batting: DataFrame, factors: DataFrame, career: DataFrame, chase: DataFrame, least_balls: int = 4) -> DataFrame:
-    """16 features per batter innings. Phase strike rates are those of the innings itself, as the models expect."""
-    c = career.where("tournament = 'ALL'").select("player_id", F.col("adj_average").alias("_avg"), F.col("adj_strike_rate").alias("_sr"), F.col("innings").alias("_n"))
-    s = chase.groupBy("player_id").agg(*(F.max(F.when(F.col("innings_type") == t, F.col(a))).alias(b) for t, a, b in (("chase", "average", "_ca"), ("first", "average", "_fa"), ("chase", "strike_rate", "_cs"))))
-    d = _venue(batting.where(F.col("balls_faced") >= least_balls), factors).join(c, "player_id", "left").join(s, "player_id", "left")
+def batting_features(batting: DataFrame, factors: DataFrame, career: DataFrame, chase: DataFrame, least_balls: int = 4, on: tuple[str, ...] = ("player_id",)) -> DataFrame:
+    """16 features per batter innings. Phase strike rates are those of the innings itself, as the models expect; without
+    that leak, and with careers of earlier days only (on: player and day), see ``point_in_time``."""
+    on = list(on)
+    c = career.where("tournament = 'ALL'").select(*on, F.col("adj_average").alias("_avg"), F.col("adj_strike_rate").alias("_sr"), F.col("innings").alias("_n"))
+    s = chase.groupBy(*on).agg(*(F.max(F.when(F.col("innings_type") == t, F.col(a))).alias(b) for t, a, b in (("chase", "average", "_ca"), ("first", "average", "_fa"), ("chase", "strike_rate", "_cs"))))
+    d = _venue(batting.where(F.col("balls_faced") >= least_balls), factors).join(c, on, "left").join(s, on, "left")
     own = {f"{p}_sr": F.least(F.col(f"{p}_runs") * 100.0 / F.greatest(F.col(f"{p}_balls"), F.lit(1)), F.lit(300.0)) for p in ("pp", "mid", "death")}
     out = {n: f() for n, f in _VENUE.items()} | {
         "batting_position": _clipped("batting_position", 5, 1, 11),
@@ -58,10 +61,12 @@ def batting_features(batting: DataFrame, factors: DataFrame, career: DataFrame,
     return d.select("innings_id", "player_id", "runs", "season", "tournament", *((out | own)[n].alias(n) for n in BAT_FEATURES))
 
 
-def bowling_features(bowling: DataFrame, factors: DataFrame, career: DataFrame, least_balls: int = 6) -> DataFrame:
+def bowling_features(bowling: DataFrame, factors: DataFrame, career: DataFrame, least_balls: int = 6, on: tuple[str, ...] = ("player_id",)) -> DataFrame:
+    """10 features per bowler innings and its economy, the target."""
+    on = list(on)
     names = ("adj_economy", "dot_pct", "innings", "pp_economy", "mid_economy", "death_economy")
-    c = career.where("tournament = 'ALL'").select("player_id", *(F.col(n).alias(f"_{n}") for n in names))
-    d = _venue(bowling.where(F.col("balls_bowled") >= least_balls), factors).join(c, "player_id", "left").withColumn("economy_target", F.col("runs_conceded") * 6.0 / F.col("balls_bowled"))
+    c = career.where("tournament = 'ALL'").select(*on, *(F.col(n).alias(f"_{n}") for n in names))
+    d = _venue(bowling.where(F.col("balls_bowled") >= least_balls), factors).join(c, on, "left").withColumn("economy_target", F.col("runs_conceded") * 6.0 / F.col("balls_bowled"))
     out = {n: f() for n, f in _VENUE.items()} | {
         "career_adj_econ": _clipped("_adj_economy", 8.5, 4, 18),
         "career_dot_pct": _clipped("_dot_pct", 33, 10, 70),
@@ -186,6 +191,29 @@ def tune(d: DataFrame, features: list[str], label: str, grid: list[dict], season
     return reduce(DataFrame.union, rows).orderBy("mae")
 
 
+#: Where boosted trees are searched: the bounds of the settings.
+TREE_SPACE = {"trees": search.Number(100, 500, whole=True), "rate": search.Number(0.01, 0.2, log=True), "depth": search.Number(3, 6, whole=True), "share": search.Number(0.5, 1.0), "least": search.Number(10, 60, whole=True)}
+
+
+def find_settings(d: DataFrame, features: list[str], label: str, space: search.Space = TREE_SPACE, season: str | None = None, folds: int = 3, **how) -> list[search.Trial]:
+    """Settings by their mean absolute error over folds, best first. A held-out season is left out of the search; folds
+    are the steps of a trial, so a poor setting sees one fold only. how: trials, side_by_side, seed .. of ``search.minimise``."""
+    rest = d.where(F.col("season") != season) if season else d
+    rest = settle(rest.withColumn("fold", F.pmod(F.xxhash64("innings_id", "player_id"), F.lit(folds)).cast("int")), "search")
+
+    def judge(setting: dict, k: int) -> float:
+        model = train(rest.where(F.col("fold") != k), features, label, **setting)
+        return model.transform(rest.where(F.col("fold") == k)).agg(F.avg(F.abs(F.col("prediction") - F.col(label)))).first()[0]
+
+    return search.minimise(judge, space, steps=folds, **how)
+
+
+def settings_report(d: DataFrame, features: list[str], label: str, season: str, settings: dict[str, dict]) -> DataFrame:
+    """(model, n, r2, mae, ..) on the held-out season of each named setting, trained on the others."""
+    rows = [holdout(d, features, label, season, **s).withColumn("model", F.lit(name)) for name, s in settings.items()]
+    return reduce(DataFrame.union, rows).orderBy("mae")
+
+
 def players_at_venue(bat_model: PipelineModel, bowl_model: PipelineModel, players: DataFrame, venue: DataFrame) -> DataFrame:
     """Each player at one venue: predicted runs batting first and chasing, and predicted economy, best first.
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from creasework import config as C
-from creasework.operators import balls, careers, entities, form, lookups, matchups, models, profiles, ratings, similarity, squads, venues
+from creasework.operators import balls, careers, entities, form, incremental, lookups, matchups, models, neighbours, point_in_time, profiles, ratings, similarity, squads, venues
 from creasework.sources.driver_tables import League
 from creasework.sources.shared import settle
 
@@ -165,6 +165,23 @@ def _threats(g: League) -> DataFrame:
     return matchups.threats(g.deliveries, n(44, 55).withColumnRenamed("id", "batter_id"), n(0, 275).withColumnRenamed("id", "bowler_id"), least=3)
 
 
+def _captains(g: League) -> DataFrame:
+    """What each side's first player had scored before each match, and in how many innings."""
+    sides = F.explode(F.array("team1_id", "team2_id"))
+    asked = g.matches.select("match_id", "match_date", sides.alias("team_id")).withColumn("player_id", F.col("team_id") * 11)
+    sums = {"innings": F.lit(1), "runs": F.col("runs"), "balls": F.col("balls_faced")}
+    return point_in_time.figures_at(asked, g.batting, ["player_id"], "match_date", sums)
+
+
+def _merged(facts: DataFrame, state: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The facts' states of ten batches of matches, merged."""
+    return incremental.merged(state(facts.withColumn("tournament", F.concat_ws("#", F.col("match_id") % 10, "tournament"))).withColumns({"batch": F.substring_index("tournament", "#", 1).cast("int"), "tournament": F.substring_index("tournament", "#", -1)}))
+
+
+def _vectors(g: League) -> DataFrame:
+    return g.table("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector"))
+
+
 def _context(g: League) -> DataFrame:
     return balls.with_context(g.deliveries).select("innings_id", "ball_number", "phase", "is_legal", "is_dot", "ball_in_over", "cum_runs", "cum_legal", "crr_at_ball", "req_rate_at_ball")
 
@@ -204,7 +221,8 @@ PLANS: dict[str, Callable[[League], DataFrame]] = {
     "venue_top_players": _venue_top,
     "form_last_n": lambda g: _rounded_form(_form(g)),
     "rolling_form": lambda g: form.rolling(series(g), ["ts", "event_id"]).select("player_id", "inning_number", F.round("rolling_avg", 6).alias("rolling_avg"), F.round("rolling_sr", 6).alias("rolling_sr")),
-    "role_similarity": lambda g: similarity.top_similar(g.table("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector"))),
+    "role_similarity": lambda g: similarity.top_similar(_vectors(g)),
+    "nearest_vectors": lambda g: neighbours.top_similar(_vectors(g)),
     "batter_vs_bowler": lambda g: matchups.batter_vs_bowlers(g.deliveries, 100),
     "pair_phase": lambda g: matchups.pair_phases(g.deliveries, *_busiest_pair(g)),
     "all_opponents_of_bowler": lambda g: matchups.bowler_vs_batters(g.deliveries, 100),
@@ -228,6 +246,11 @@ PLANS: dict[str, Callable[[League], DataFrame]] = {
     "match_prediction": lambda g: squads.match_prediction(_squads(g), g.overall_ratings, _venue(g), "home"),
     "batting_features": lambda g: _bat_features(g).drop("season", "tournament"),
     "bowling_features": lambda g: models.bowling_features(g.bowling, g.venue_factors, g.career_bowling, least_balls=3).drop("season"),
+    "bowling_features_before": lambda g: point_in_time.bowling_features(g.bowling, g.venue_factors, least_balls=3).drop("season"),
+    "batting_features_before": lambda g: point_in_time.batting_features(g.batting, g.venue_factors).drop("season", "tournament"),
+    "captains_before_match": _captains,
+    "career_batting_merged": lambda g: incremental.career_batting(_merged(g.batting, incremental.batting_state), g.venue_factors),
+    "career_bowling_merged": lambda g: incremental.career_bowling(_merged(g.bowling, incremental.bowling_state), g.venue_factors),
     "venue_facets": _facets,
     "matchup_threats": _threats,
     "gbm_holdout_eval": _holdout,

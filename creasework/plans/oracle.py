@@ -150,6 +150,8 @@ SELECTS = {
  union all select match_id, innings_id, bowler_id, case when wickets >= 3 then 'five_wicket_haul' when wickets = 2 then 'four_wicket_haul' end, wickets from bowler_innings) where milestone is not null""",
     "career_batting": "select * from career_batting",
     "career_bowling": "select * from career_bowling",
+    "career_batting_merged": "select * from career_batting",
+    "career_bowling_merged": "select * from career_bowling",
     "chase_split": "select * from chase_split",
     "position_split": f"select player_id, batting_position, innings, not_outs, runs, balls, {_AVG}, {_SR}, {_PHASE_SR} from (select player_id, batting_position, {_BAT4}, {', '.join(f'sum({p}_{w}) as {p}_{w}' for p in _PH for w in ('runs', 'balls'))} from batting where batting_position between 1 and 11 group by all)",
     "venue_batting": "select * from vbat",
@@ -224,6 +226,19 @@ SELECTS = {
     "bowling_features": """select innings_id, b.player_id, runs_conceded * 6.0::double / b.balls_bowled as economy_target, least(greatest(coalesce(bat_factor, 1.0), 0.5), 2.0)::double as venue_bat_factor, least(greatest(coalesce(boundary_rate, 0.12), 0.05), 0.25)::double as boundary_rate, least(greatest(coalesce(pace_index, 0.5), 0), 1)::double as pace_index,
  least(greatest(coalesce(c.adj_economy, 8.5), 4), 18)::double as career_adj_econ, least(greatest(coalesce(c.dot_pct, 33), 10), 70)::double as career_dot_pct, least(greatest(coalesce(c.innings, 1), 1), 300)::double as career_bowl_inn, least(greatest(coalesce(c.pp_economy, 8.0), 4), 18)::double as pp_economy, least(greatest(coalesce(c.mid_economy, 8.0), 4), 18)::double as mid_economy, least(greatest(coalesce(c.death_economy, 9.5), 4), 20)::double as death_economy, 5.0::double as tournament_enc
  from bowling b left join venue_factors using (venue_id) left join (select player_id, adj_economy, dot_pct, innings, pp_economy, mid_economy, death_economy from career_bowling where tournament = 'ALL') c using (player_id) where b.balls_bowled >= 3 and runs_conceded * 6.0::double / b.balls_bowled > 2 and runs_conceded * 6.0::double / b.balls_bowled < 24""",
+    # figures before a day: the facts of earlier days, found by a join of the facts with themselves
+    "bowling_features_before": f"""|bf as (select b.*, round_even(runs_conceded / coalesce(bat_factor, 1.0), 6)::decimal(20,6) as adj from bowling b left join venue_factors using (venue_id)),
+ bb as (select x.player_id, x.innings_id, count(y.innings_id) as innings, sum(y.balls_bowled) as balls, sum(y.dot_balls) as dots, sum(y.adj)::double as adj_runs, {', '.join(f'sum(y.{p}_{w}) as {p}_{w}' for p in _PH for w in ('balls', 'runs'))} from bf x left join bf y on x.player_id = y.player_id and y.match_date < x.match_date group by all),
+ bc as (select player_id, innings_id, nullif(innings, 0) as innings, {_rate('dots', 'balls', '100.0')} as dot_pct, {_rate('adj_runs', 'balls', '6.0')} as adj_economy, {_PHASE_ECO} from bb)|select innings_id, b.player_id, runs_conceded * 6.0::double / b.balls_bowled as economy_target, least(greatest(coalesce(bat_factor, 1.0), 0.5), 2.0)::double as venue_bat_factor, least(greatest(coalesce(boundary_rate, 0.12), 0.05), 0.25)::double as boundary_rate, least(greatest(coalesce(pace_index, 0.5), 0), 1)::double as pace_index,
+ least(greatest(coalesce(c.adj_economy, 8.5), 4), 18)::double as career_adj_econ, least(greatest(coalesce(c.dot_pct, 33), 10), 70)::double as career_dot_pct, least(greatest(coalesce(c.innings, 1), 1), 300)::double as career_bowl_inn, least(greatest(coalesce(c.pp_economy, 8.0), 4), 18)::double as pp_economy, least(greatest(coalesce(c.mid_economy, 8.0), 4), 18)::double as mid_economy, least(greatest(coalesce(c.death_economy, 9.5), 4), 20)::double as death_economy, 5.0::double as tournament_enc
+ from bowling b left join venue_factors using (venue_id) left join bc c using (player_id, innings_id) where b.balls_bowled >= 3 and runs_conceded * 6.0::double / b.balls_bowled > 2 and runs_conceded * 6.0::double / b.balls_bowled < 24""",
+    "batting_features_before": f"""|tf as (select b.*, round_even(runs / coalesce(bat_factor, 1.0), 6)::decimal(20,6) as adj from batting b left join venue_factors using (venue_id)),
+ tb as (select x.player_id, x.innings_id, nullif(count(y.innings_id), 0) as innings, sum((not y.not_out)::int) as outs, sum(y.runs) as runs, sum(y.balls_faced) as balls, sum(y.adj)::double as adj_runs, {', '.join(f"coalesce(sum(y.{p}_{w}), 0) as {p}_{w}" for p in _PH for w in ('runs', 'balls'))},
+  {', '.join(f"sum(case when {k} then y.runs end) as {n}_runs, sum(case when {k} then y.balls_faced end) as {n}_balls, sum(case when {k} then (not y.not_out)::int end) as {n}_outs" for n, k in (('chase', 'y.is_chase'), ('first', 'not y.is_chase')))} from tf x left join tf y on x.player_id = y.player_id and y.match_date < x.match_date group by all),
+ tc as (select player_id, innings_id, innings, {_rate('adj_runs', 'outs')} as adj_average, {_rate('runs', 'balls', '100.0')} as adj_sr, {_rate('chase_runs', 'chase_outs')} as ca, {_rate('first_runs', 'first_outs')} as fa, {_rate('chase_runs', 'chase_balls', '100.0')} as cs, {', '.join(f"least({p}_runs * 100.0::double / greatest({p}_balls, 1), 300) as {p}_sr" for p in _PH)} from tb)|select innings_id, b.player_id, b.runs, least(greatest(coalesce(bat_factor, 1.0), 0.5), 2.0)::double as venue_bat_factor, least(greatest(coalesce(boundary_rate, 0.12), 0.05), 0.25)::double as boundary_rate, least(greatest(coalesce(pace_index, 0.5), 0), 1)::double as pace_index, least(greatest(batting_position, 1), 11)::double as batting_position, is_chase::int::double as is_chase, least(greatest(coalesce(required_rr_start, 0), 0), 20)::double as req_rr,
+ least(greatest(coalesce(c.adj_average, 20), 0), 80)::double as career_adj_avg, least(greatest(coalesce(c.adj_sr, 120), 50), 250)::double as career_adj_sr, least(greatest(coalesce(c.innings, 1), 1), 300)::double as career_innings, least(greatest(coalesce(c.ca, 20), 0), 80)::double as chase_avg, least(greatest(coalesce(c.fa, 20), 0), 80)::double as first_avg, least(greatest(coalesce(c.cs, 120), 50), 250)::double as chase_sr, c.pp_sr::double as pp_sr, c.mid_sr::double as mid_sr, c.death_sr::double as death_sr, 5.0::double as tournament_enc
+ from batting b left join venue_factors using (venue_id) left join tc c using (player_id, innings_id) where b.balls_faced >= 4""",
+    "captains_before_match": "|asked as (select match_id, match_date, unnest([team1_id, team2_id]) as team_id from matches)|select a.match_id, a.match_date, a.team_id, a.team_id * 11 as player_id, count(b.innings_id) as innings, coalesce(sum(b.runs), 0)::bigint as runs, coalesce(sum(b.balls_faced), 0)::bigint as balls from asked a left join batting b on b.player_id = a.team_id * 11 and b.match_date < a.match_date group by all",
 }
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,3 +81,33 @@ def read_presets(spark: SparkSession, path: str) -> DataFrame:
 def write_presets(d: DataFrame, path: str) -> None:
     squad = F.struct("playing_xi", "bench", "substitutes")
     d.select(F.to_json(F.struct("team", squad.alias("squad"))).alias("value")).write.mode("overwrite").text(path)
+
+
+def write_bucketed(d: DataFrame, path: str, name: str, by: str, buckets: int, order: list[str], look_up: list[str] | None = None, row_group_bytes: int | None = None) -> DataFrame:
+    """Write d to path in buckets by a key, sorted within each, and name it in the session's catalog.
+
+    Tables with the same number of buckets join on the key without a shuffle. look_up: columns with a Bloom filter in each
+    row group, so that a lookup of one value skips the groups without it. How the table lies is noted beside it.
+    """
+    spark, sorted_by = d.sparkSession, [by, *(c for c in order if c != by)]
+    w = d.repartition(buckets, by).write.mode("overwrite").option("path", path).bucketBy(buckets, by).sortBy(*sorted_by)
+    for c in look_up or []:
+        w = w.option(f"parquet.bloom.filter.enabled#{c}", "true")
+    if row_group_bytes:
+        w = w.option("parquet.block.size", row_group_bytes)
+    spark.sql(f"drop table if exists {name}")
+    w.saveAsTable(name)
+    layout = {"by": by, "buckets": buckets, "order": sorted_by, "schema": d.schema.json()}
+    spark.createDataFrame([(json.dumps(layout),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/_layout")
+    return spark.table(name)
+
+
+def open_bucketed(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """A bucketed table that another session has written, named in this one's catalog."""
+    from pyspark.sql.types import StructType
+
+    layout = json.loads(spark.read.text(f"{path}/_layout").first()["value"])
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in StructType.fromJson(json.loads(layout["schema"])).fields)
+    spark.sql(f"drop table if exists {name}")
+    spark.sql(f"create table {name} ({columns}) using parquet clustered by (`{layout['by']}`) sorted by ({', '.join(f'`{c}`' for c in layout['order'])}) into {layout['buckets']} buckets location '{path}'")
+    return spark.table(name)
