@@ -12,12 +12,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creasework.operators import balls, careers, entities, form, lookups, ratings, similarity, venues
+from creasework.operators import balls, careers, entities, form, lookups, neighbours, ratings, similarity, venues
 from creasework.sources import match_json, tables
 from creasework.sources.shared import settle
 
 #: Tables that an ingest writes before its matches.
 INGESTED = ("deliveries", "people")
+#: Players whose role vectors are all compared with each other; more go by hyperplanes.
+ALL_PAIRS = 100_000
 SCORES = ["s_opener", "s_finisher", "s_anchor", "s_pp_sr", "s_death_sr", "s_chase", "s_pp_bowl", "s_mid_bowl", "s_death_bowl"]
 
 
@@ -61,8 +63,7 @@ class Store:
         return entities.resolve_players(self.read("people"), by_name)
 
     def _canonical(self) -> DataFrame:
-        m = self.read("matches").dropDuplicates(["source_id"])
-        return m.select(F.col("source_id").alias("match_id"), "tournament", "season", F.col("venue").alias("venue_id"), "match_date", F.col("batting_first").alias("team1_id"), F.when(F.col("batting_first") == F.col("team1"), F.col("team2")).otherwise(F.col("team1")).alias("team2_id"), F.col("winner").alias("winner_id"))
+        return match_json.canonical(self.read("matches"))
 
     def venue(self) -> None:
         d = self.read("deliveries")
@@ -105,7 +106,8 @@ class Store:
     def enrich(self, tournament: str = "ALL") -> None:
         rated = self.read("ratings").where(F.col("tournament") == tournament)
         numbered = rated.withColumn("id", F.xxhash64("player_id"))
-        near = similarity.top_similar(similarity.role_vectors(numbered.withColumn("player_id", F.col("id")), SCORES))
+        vectors = similarity.role_vectors(numbered.withColumn("player_id", F.col("id")), SCORES)
+        near = similarity.top_similar(vectors) if vectors.count() <= ALL_PAIRS else neighbours.top_similar(vectors)
         ids = numbered.select("id", "player_id")
         near = near.join(ids.select(F.col("id").alias("id_a"), F.col("player_id").alias("player_a")), "id_a").join(ids.select(F.col("id").alias("id_b"), F.col("player_id").alias("player_b")), "id_b")
         self.write("similarity", near.select("player_a", "player_b", "similarity", "rank"))

@@ -63,6 +63,13 @@ def matches(documents: DataFrame, tournament: str) -> DataFrame:
     )
 
 
+def canonical(found: DataFrame) -> DataFrame:
+    """Matches as operators take them: one row each, with the side that batted first as the first team."""
+    m = found.dropDuplicates(["source_id"])
+    second = F.when(F.col("batting_first") == F.col("team1"), F.col("team2")).otherwise(F.col("team1"))
+    return m.select(F.col("source_id").alias("match_id"), "tournament", "season", F.col("venue").alias("venue_id"), "match_date", F.col("batting_first").alias("team1_id"), second.alias("team2_id"), F.col("winner").alias("winner_id"))
+
+
 def people(documents: DataFrame) -> DataFrame:
     """(uuid, name) as the documents' registries have them."""
     return documents.select(F.explode("info.registry.people").alias("name", "uuid")).select("uuid", "name").distinct()

@@ -5,10 +5,10 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from creasework.operators import balls
+from creasework.operators import balls, matchups
 from creasework.plans.api import Store
 from creasework.sources import match_json
-from creasework.streaming.match_stream import ingest_stream
+from creasework.streaming.match_stream import ingest_stream, streamed_careers
 
 PEOPLE = {n: f"u{i}" for i, n in enumerate(["A1", "A2", "A3", "B1", "B2", "B3"])}
 
@@ -106,3 +106,33 @@ def test_stream_takes_each_document_once(spark, folder, tmp_path):
         ingest_stream(spark, str(folder), str(tmp_path / "out"), str(tmp_path / "state"), "cup").awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out" / "matches")).count() == 2
     assert spark.read.parquet(str(tmp_path / "out" / "deliveries")).count() == 20
+
+
+def test_streamed_careers_equal_those_of_all_matches(spark, folder, tmp_path):
+    """Documents that come one by one give the careers, and the people, of one ingest of them all."""
+    out, inbox = str(tmp_path / "out"), tmp_path / "inbox"
+    inbox.mkdir()
+    for f in sorted(folder.glob("*.json")):
+        (inbox / f.name).write_bytes(f.read_bytes())
+        ingest_stream(spark, str(inbox), out, str(tmp_path / "state"), "cup").awaitTermination()
+    store = Store(spark, str(tmp_path / "store"))
+    store.ingest(str(folder), "cup")
+    store.venue()
+    store.metrics()
+    order = lambda d: sorted(map(str, (r.asDict() for r in d.select(*sorted(d.columns)).collect())))
+    for got, name in zip(streamed_careers(spark, out, store.read("venue_difficulty")), ("career_bat", "career_bowl"), strict=True):
+        want = store.read(name)
+        assert order(got.select([F.col(c).cast("string") for c in sorted(want.columns)])) == order(want.select([F.col(c).cast("string") for c in sorted(want.columns)]))
+    people = spark.read.parquet(f"{out}/people").select("uuid", "name").distinct()
+    assert order(people) == order(store.read("people").select("uuid", "name").distinct())
+    assert spark.read.parquet(f"{out}/batting_states").select("batch").distinct().count() >= 2
+
+
+def test_pair_by_tournament_season_and_venue(spark, folder):
+    got = match_json.ingest(spark, str(folder), "cup")
+    d, m = got.deliveries, match_json.canonical(got.matches)
+    pair = d.groupBy("batter_id", "bowler_id").count().orderBy(F.desc("count"), "batter_id", "bowler_id").first()
+    rows = matchups.pair_contexts(d, m, pair["batter_id"], pair["bowler_id"]).collect()
+    whole = matchups.pair_sums(d.where((F.col("batter_id") == pair["batter_id"]) & (F.col("bowler_id") == pair["bowler_id"])), "batter_id", "bowler_id").first()
+    assert {r["tournament"] for r in rows} == {"cup"} and sum(r["runs"] for r in rows) == whole["runs"] and sum(r["balls"] for r in rows) == whole["balls"]
+    assert len(rows) == len({(r["season"], r["venue_id"]) for r in rows})
