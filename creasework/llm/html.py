@@ -15,7 +15,7 @@ and null ids give a row each; an empty table an empty result.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 from html import unescape
@@ -29,6 +29,7 @@ from creasework.llm.common import extended, slices, table
 
 _OPEN = re.compile(r"<(?:!--|[!?]|(/?)([a-zA-Z][^\s/>]*))")
 _QUOTED = re.compile(r"""(?:[^>"']|"[^"]*"|'[^']*')*+>""")
+_SIGN = re.compile(r"[>\"']")
 _ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)(?:"|\Z)|'([^']*)(?:'|\Z)|([^\s"'>]+)))?""")
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
 _PART = re.compile(r"[a-z]+")
@@ -44,9 +45,6 @@ CLOSES_P = frozenset("address article aside blockquote details div dl fieldset f
 _ALIKE = {"li": ("li",), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",)}
 _WALLS = ("ul", "ol", "table", "dl", "select")
 _END = {tag: re.compile(rf"</{tag}\b[^>]*>", re.I) for tag in RAW}
-#: Tags of a page whose quotes may be broken before quotes lose their meaning there; inline elements that an end tag
-#: looks past at most.
-BROKEN, FAR = 50, 64
 #: Elements and names (in class, id or role) that are never part of an article.
 NOT_ARTICLE = frozenset("head nav header footer aside form script style noscript iframe template textarea select button svg canvas object dialog menu title".split())
 NOT_ARTICLE_NAMES = frozenset(
@@ -109,7 +107,9 @@ class Parser:
         self.nodes: list[Node] = []
         self.paths: dict[tuple[int, str], int] = {}
         self.stack: list[Element] = []
-        self.open: dict[str, int] = {}
+        self.open: dict[str, list[int]] = {}  # of each tag the places of its open elements in the stack
+        self.walls: list[int] = []  # the places of those that break a line
+        self.lost: set[int] = set()  # quotes from which on no tag ends
         self.block = 0
         self._push("#page", "")
         self._read(html)
@@ -123,42 +123,59 @@ class Parser:
         path = self.paths.setdefault((parent.path if parent else -1, label), len(self.paths))
         n = len(self.elements)
         self.elements.append(Element(tag, parent, path, dropped, 0 if dropped else marked, len(self.stack), n, n))
+        self.open.setdefault(tag, []).append(len(self.stack))
+        if tag not in INLINE:
+            self.walls.append(len(self.stack))
         self.stack.append(self.elements[-1])
-        self.open[tag] = self.open.get(tag, 0) + 1
 
     def _close(self, upto: int) -> None:
         while len(self.stack) > upto:
             gone = self.stack.pop()
             gone.last = len(self.elements) - 1
-            self.open[gone.tag] -= 1
+            self.open[gone.tag].pop()
             if gone.tag not in INLINE:
+                self.walls.pop()
                 self.block += 1
 
-    def _close_last(self, tags: tuple[str, ...], walls: Callable[[str], bool], far: int | None = None) -> None:
-        """End the innermost open element of these tags, unless a wall comes first."""
-        if not any(self.open.get(t) for t in tags):
-            return
-        least = 0 if far is None else max(0, len(self.stack) - 1 - far)
-        for i in range(len(self.stack) - 1, least, -1):
-            if self.stack[i].tag in tags:
-                self._close(i)
-                return
-            if walls(self.stack[i].tag):
-                return
+    def _last(self, tags: tuple[str, ...]) -> int:
+        """The place of the innermost open element of these tags; 0, the page's own, if there is none."""
+        return max((places[-1] for t in tags if (places := self.open.get(t))), default=0)
+
+    def _close_last(self, tags: tuple[str, ...], wall: int = 0) -> None:
+        """End the innermost open element of these tags, unless it lies outside the wall at this place."""
+        place = self._last(tags)
+        if place and place >= wall:
+            self._close(place)
 
     def _text(self, raw: str) -> None:
         if raw:
-            self.nodes.append(Node(unescape(raw) if "&" in raw else raw, self.stack[-1], self.block, self.open.get("a", 0) > 0))
+            self.nodes.append(Node(unescape(raw) if "&" in raw else raw, self.stack[-1], self.block, bool(self.open.get("a"))))
 
     def _start(self, tag: str) -> None:
         """End what a start tag ends."""
         if tag in CLOSES_P:
-            self._close_last(("p",), lambda t: t not in INLINE)
+            self._close_last(("p",), self.walls[-1])
         elif tag in _ALIKE:
-            self._close_last(_ALIKE[tag], lambda t: t in _WALLS or tag in ("td", "th") and t == "tr")
+            self._close_last(_ALIKE[tag], self._last((*_WALLS, "tr") if tag in ("td", "th") else _WALLS))
+
+    def _tag_end(self, html: str, position: int) -> int:
+        """Behind the sign that ends the tag, quoted ones aside; where a quote stays open, behind the first one at all; 0
+        if there is none. Quotes from which no end was found are remembered, so no stretch is searched twice."""
+        if not self.lost and (quoted := _QUOTED.match(html, position)):
+            return quoted.end()
+        trail, at = [], position
+        while (sign := _SIGN.search(html, at)) and sign.start() not in self.lost:
+            if sign[0] == ">":
+                return sign.end()
+            trail.append(sign.start())
+            at = html.find(sign[0], sign.end()) + 1
+            if not at:
+                break
+        self.lost.update(trail)
+        return html.find(">", position) + 1
 
     def _read(self, html: str) -> None:
-        at = position = broken = 0
+        at = position = 0
         while m := _OPEN.search(html, position):
             position = m.end()
             if not m[2]:
@@ -169,17 +186,14 @@ class Parser:
                 self._text(html[at : m.start()])
                 at = position = len(html) if end < 0 else end + (3 if comment else 1)
                 continue
-            quoted = _QUOTED.match(html, position) if broken < BROKEN else None
-            end = quoted.end() if quoted else html.find(">", position) + 1
-            broken += quoted is None
+            end = self._tag_end(html, position)
             if not end:
                 break  # no tag ends from here on
             self._text(html[at : m.start()])
             attributes, tag = html[position : end - 1], m[2].lower()
             at = position = end
             if m[1]:
-                inline = tag in INLINE
-                self._close_last((tag,), lambda t, inline=inline: inline and t not in INLINE, FAR if inline else None)
+                self._close_last((tag,), self.walls[-1] if tag in INLINE else 0)
                 continue
             self._start(tag)
             if tag not in INLINE:

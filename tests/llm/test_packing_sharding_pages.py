@@ -109,7 +109,7 @@ def test_broken_markup_does_not_crash(page):
     assert isinstance(html.main_text(page), str) and isinstance(warc.visible_text(page or ""), str)
 
 
-HOSTILE = {"open": "<a " * 300000, "quotes": "<a '>\"" * 150000, "nested": "<div>x" * 160000, "inline": "<b>x" * 200000, "ends": "<b>" * 100000 + "</i>" * 100000, "titles": "<title>" * 140000, "signs": "<" * 1000000, "rules": "<p><b>" * 80000 + "<hr>" * 80000, "noscript": "<noscript>" + "<" * 900000}
+HOSTILE = {"open": "<a " * 300000, "quotes": "<a '>\"" * 150000, "nested": "<div>x" * 160000, "inline": "<b>x" * 200000, "ends": "<b>" * 100000 + "</i>" * 100000, "titles": "<title>" * 140000, "signs": "<" * 1000000, "rules": "<p><b>" * 80000 + "<hr>" * 80000, "noscript": "<noscript>" + "<" * 900000, "far ends": "<a>" * 50000 + "<i>" * 50000 + "</a>x" * 50000, "open quotes": "<a b='>\"<i c=\"'>" * 50000 + "'\"\"", "deep links": "<a><i>" * 100000 + "</a>" * 100000}
 
 
 @pytest.mark.parametrize("name", HOSTILE)
@@ -121,6 +121,36 @@ def test_a_megabyte_of_bad_markup_takes_seconds(name):
     assert time.process_time() - began < 20
 
 
+def test_end_tags_find_their_elements_however_deep():
+    """A link ends whatever number of inline elements stays open in it, and ends at the next block."""
+    for n in (1, 63, 64, 65, 10000):
+        inside = "<a href=x>go" + "<i>" * n + "</a>"
+        nodes = html.text_nodes(f"<div>{inside} after</div>")
+        assert [(x.text, x.linked) for x in nodes] == [("go", True), (" after", False)], n
+        assert html.main_text(f"<body><p>{inside}</p>" + "<p>One, two and three more words here.</p>" * 9 + "</body>").count("three") == 9, n
+    assert [x.linked for x in html.text_nodes("<a href=x><div>a</a>b</div>c")] == [True, True, True]
+
+
+def test_quotes_count_after_any_number_of_broken_tags():
+    """A quote that stays open is broken by itself: tags after it keep theirs."""
+    for n in (0, 1, 49, 50, 51, 1000):
+        page = '<i ">"' * n + "it's " + '<b title="a>b">kept</b>'
+        assert html.flowed(html.text_nodes(page)) == ['"' * n + "it's kept"], n
+    alone = '<p>w <i it\'s>x</i> <b title="a>b">kept</b></p>'
+    assert html.flowed(html.text_nodes(alone)) == ["w x kept"]
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_ends_of_tags_against_a_walk_from_each(seed):
+    """Whatever was remembered before, each tag ends where a walk from it alone says."""
+    rnd = random.Random(seed)
+    page = "".join(rnd.choice(["<a ", ">", '"', "'", "x", " ", "<b>", "='"]) for _ in range(rnd.randint(1, 400)))
+    parser = html.Parser("")
+    for position in range(len(page)):
+        quoted = html._QUOTED.match(page, position)
+        assert parser._tag_end(page, position) == (quoted.end() if quoted else page.find(">", position) + 1)
+
+
 def test_unmarked_pages_need_the_ratios(monkeypatch):
     """A truth set without article, main or any class: F1 of words with the ratios and with random ones."""
     rnd = random.Random(4)
