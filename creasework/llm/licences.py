@@ -4,8 +4,9 @@ Words are runs of digits, letters and non-ASCII characters, with A-Z lower-cased
 phrase's words stand consecutively. The fuzzy search finds notices with a few edits: a notice with at most e errors is
 cut in e + 1 pieces, one of which must stand in the text unchanged (pigeonhole); all pieces are searched at once by an
 Aho-Corasick automaton, and around each place the regex library matches the whole notice with at most e errors. A fuzzy
-match counts if it begins and ends at words and has the words unedited that tell licences apart (mit, bsd, gnu ..); it
-reports its span and edits. "All rights reserved" alone is no licence: its label is ``reserved``, at half the score.
+match counts if it begins and ends at words and has the words that tell licences apart (mit, bsd, apache ..) in their
+places with one edit at most; numbers of clauses must stand there unedited, short names in a notice of two words ("mit
+license") as words. A match reports its span and edits. "All rights reserved" alone is no licence: its label is ``reserved``, at half the score.
 
 Null and empty texts have no words, no places and score 0. Repeated rows and null ids give a row each; an empty table
 gives an empty result.
@@ -51,8 +52,8 @@ NOTICES = [
     ("creative commons zero", "cc0", 1),
     ("this is free and unencumbered software released into the public domain", "unlicense", 5),
 ]
-#: Words of notices that must stand unedited.
-TELLING = frozenset("mit bsd gnu cc by 0 2 3 apache lesser affero zero".split())
+#: Words that tell licences apart; the number of a version doesn't.
+TELLING = frozenset("mit bsd cc by 2 3 apache lesser affero zero".split())
 #: Labels that tell of no licence.
 WEAK = frozenset(["reserved"])
 #: Every byte outside words becomes a space; A-Z becomes a-z; other bytes stay.
@@ -69,9 +70,20 @@ def _cut(notice: str, parts: int) -> list[tuple[int, str]]:
     return [(a, notice[a:b]) for a, b in zip(at, at[1:], strict=False)]
 
 
+def telling_words(notice: str) -> tuple[frozenset[str], list[tuple[int, str]]]:
+    """The telling words of a notice: those that must stand as words, and those that only count in their places: numbers
+    unedited, others with an edit at most."""
+    words = notice.partition(" version ")[0].split(" ")
+    starts = accumulate((len(w) + 1 for w in words), initial=0)
+    told = [(at, w) for at, w in zip(starts, words, strict=False) if w in TELLING]
+    firm = frozenset(w for _, w in told if len(words) == 2 and len(w) < 4)
+    return firm, [(at, w) for at, w in told if w not in firm]
+
+
 @lru_cache(1)
 def _search():
-    """The automaton over all seeds and the notices' fuzzy patterns; built once in each worker."""
+    """The automaton over all seeds, the notices' fuzzy patterns and those of their telling words; built once in each
+    worker."""
     import ahocorasick
     import regex
 
@@ -83,12 +95,13 @@ def _search():
     for seed, uses in seeds.items():
         automaton.add_word(seed, (len(seed), uses))
     automaton.make_automaton()
-    return automaton, [regex.compile(rf"(?b)(?:(?<![^ ]){regex.escape(n)}(?![^ ])){{e<={e}}}") for n, _, e in NOTICES]
+    telling = [(firm, [(at, len(w), regex.compile(rf"(?<![0-9]){w}(?![0-9])" if w.isdigit() else rf"(?:{w}){{e<=1}}")) for at, w in loose]) for firm, loose in (telling_words(n) for n, _, _ in NOTICES)]
+    return automaton, telling, [regex.compile(rf"(?b)(?:(?<![^ ]){regex.escape(n)}(?![^ ])){{e<={e}}}") for n, _, e in NOTICES]
 
 
 def fuzzy_notices(line: str) -> list[tuple[str, int, int, int]]:
     """(label, first character, character after the last, edits) of notices in words joined by single spaces."""
-    automaton, patterns = _search()
+    automaton, telling, patterns = _search()
     windows: dict[int, list[list[int]]] = {}
     for end, (size, uses) in automaton.iter(line):
         for i, offset in uses:
@@ -102,12 +115,16 @@ def fuzzy_notices(line: str) -> list[tuple[str, int, int, int]]:
                 spans.append([a, b])
     found = []
     for i, spans in windows.items():
+        notice, label, errors = NOTICES[i]
+        firm, loose = telling[i]
         for a, b in spans:
             for m in patterns[i].finditer(line, max(0, a), b):
                 s, e = m.span()
                 whole = (s == 0 or line[s - 1] == " ") and (e == len(line) or line[e] == " ") and s < e
-                if whole and TELLING.intersection(NOTICES[i][0].split()) <= set(line[s:e].split()):
-                    found.append((NOTICES[i][1], s, e, sum(m.fuzzy_counts)))
+                if not whole or not firm <= set(line[s:e].split()):
+                    continue
+                if all(p.search(line, max(s, s + at - errors), min(e, s + at + size + errors)) for at, size, p in loose):
+                    found.append((label, s, e, sum(m.fuzzy_counts)))
     return found
 
 
