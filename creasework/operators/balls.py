@@ -36,9 +36,14 @@ def with_context(d: DataFrame) -> DataFrame:
     so_far = Window.partitionBy("innings_id").orderBy("ball_number").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     in_over = Window.partitionBy("innings_id", "over_number").orderBy("ball_number").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     legal = F.col("is_legal").cast("int")
-    chase = (F.col("innings_number") == 2) & F.col("target").isNotNull()
     d = d.withColumn("cum_runs", F.sum("total_runs").over(so_far)).withColumn("cum_legal", F.sum(legal).over(so_far))
     d = d.withColumn("ball_in_over", F.when(F.col("is_legal"), F.sum(legal).over(in_over)).otherwise(0))
+    return with_rates(d)
+
+
+def with_rates(d: DataFrame) -> DataFrame:
+    """The run rate so far and the one that is needed, of a chase's balls with their running score."""
+    chase = (F.col("innings_number") == 2) & F.col("target").isNotNull()
     need = F.greatest(F.lit(0), F.col("target") - F.col("cum_runs"))
     left = F.greatest(F.lit(1), F.lit(C.INNINGS_BALLS) - F.col("cum_legal"))
     return d.withColumns(

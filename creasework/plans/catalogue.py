@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from creasework import config as C
 from creasework.operators import balls, careers, entities, form, incremental, lookups, matchups, models, neighbours, point_in_time, profiles, ratings, similarity, squads, venues
 from creasework.sources.driver_tables import League
-from creasework.sources.shared import settle
+from creasework.sources.shared import checkpoint_dir, settle
 
 #: Marks for the driver's short innings; the library's defaults are 100, 50, 30 and 5, 4.
 SMALL_RUNS = {"hundred": 30, "fifty": 20, "thirty": 10}
@@ -182,12 +183,29 @@ def _vectors(g: League) -> DataFrame:
     return g.table("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector"))
 
 
+_CONTEXT = ("innings_id", "ball_number", "phase", "is_legal", "is_dot", "ball_in_over", "cum_runs", "cum_legal", "crr_at_ball", "req_rate_at_ball")
+
+
 def _context(g: League) -> DataFrame:
-    return balls.with_context(g.deliveries).select("innings_id", "ball_number", "phase", "is_legal", "is_dot", "ball_in_over", "cum_runs", "cum_legal", "crr_at_ball", "req_rate_at_ball")
+    return balls.with_context(g.deliveries).select(*_CONTEXT)
+
+
+def _context_streamed(g: League) -> DataFrame:
+    """The same from a stream of all balls, a second apart; one of another innings, far later, closes the stream."""
+    from creasework.streaming import innings_stream
+
+    folder = f"{checkpoint_dir(g.spark)}/ball_stream-{uuid.uuid4().hex}"
+    timed = g.deliveries.withColumn("bowled_at", F.timestamp_seconds("ball_number"))
+    timed.write.parquet(f"{folder}/balls")
+    last = timed.limit(1).withColumns({"innings_id": F.lit(-1).cast("long"), "bowled_at": F.timestamp_seconds(F.lit(10**9))})
+    last.write.mode("append").parquet(f"{folder}/balls")
+    innings_stream.score_table(g.spark, f"{folder}/balls", f"{folder}/scores", f"{folder}/state", "bowled_at", late="5000 days").awaitTermination()
+    return g.spark.read.parquet(f"{folder}/scores").where("innings_id >= 0").select(*_CONTEXT)
 
 
 PLANS: dict[str, Callable[[League], DataFrame]] = {
     "ball_context": _context,
+    "ball_context_streamed": _context_streamed,
     "innings_totals": lambda g: g.innings.withColumn("chase_successful", F.col("chase_successful").cast("int")),
     "batter_innings": lambda g: g.batter_innings,
     "bowler_innings": lambda g: g.bowler_innings,

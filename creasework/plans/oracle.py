@@ -241,6 +241,9 @@ SELECTS = {
     "captains_before_match": "|asked as (select match_id, match_date, unnest([team1_id, team2_id]) as team_id from matches)|select a.match_id, a.match_date, a.team_id, a.team_id * 11 as player_id, count(b.innings_id) as innings, coalesce(sum(b.runs), 0)::bigint as runs, coalesce(sum(b.balls_faced), 0)::bigint as balls from asked a left join batting b on b.player_id = a.team_id * 11 and b.match_date < a.match_date group by all",
 }
 
+#: A stream of the same balls gives the same scores.
+SELECTS["ball_context_streamed"] = SELECTS["ball_context"]
+
 
 def sql() -> dict[str, str]:
     """The full statement of each query; a select may bring definitions of its own as |definitions|select."""
