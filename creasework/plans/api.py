@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creasework.operators import balls, careers, entities, form, lookups, neighbours, ratings, similarity, venues
+from creasework.operators import balls, careers, entities, form, lookups, name_search, neighbours, ratings, similarity, venues
 from creasework.sources import match_json, tables
 from creasework.sources.shared import settle
 
@@ -125,6 +125,18 @@ class Store:
     def search(self, text: str) -> DataFrame:
         return lookups.search(self.read("people"), text)
 
+    def index_names(self) -> None:
+        """Add the names that came since the last call to the search index."""
+        new = self.read("people").distinct()
+        if self.has("name_index/names"):
+            old = self.read("name_index/names")
+            new = new.join(old, new["name"].eqNullSafe(old["name"]) & new["uuid"].eqNullSafe(old["uuid"]), "left_anti")
+        name_search.add(settle(new, "new_names"), "name", f"{self.path}/name_index")
+
+    def find(self, text: str) -> DataFrame:
+        """(uuid, name) of all indexed names that hold the text, in any case, by the index."""
+        return name_search.find(self.spark, f"{self.path}/name_index", "name", name_search.literal(text))
+
     def profile(self, player: str, tournament: str = "ALL") -> DataFrame:
         """Career of a player; bowlers who never batted are found too."""
         own = lambda name: self.read(name).where((F.col("player_id") == player) & (F.col("tournament") == tournament))

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from creasework import config as C
-from creasework.operators import balls, careers, entities, form, incremental, lookups, matchups, models, neighbours, point_in_time, profiles, ratings, similarity, squads, venues
+from creasework.operators import balls, careers, entities, form, incremental, lookups, matchups, models, name_search, neighbours, point_in_time, profiles, ratings, similarity, squads, venues
 from creasework.sources.driver_tables import League
 from creasework.sources.shared import checkpoint_dir, settle
 
@@ -203,6 +204,14 @@ def _context_streamed(g: League) -> DataFrame:
     return g.spark.read.parquet(f"{folder}/scores").where("innings_id >= 0").select(*_CONTEXT)
 
 
+def _name_search(g: League) -> DataFrame:
+    """Parts by patterns of their names, through an index of trigrams that is made of all names first."""
+    index = f"{checkpoint_dir(g.spark)}/name_index-{uuid.uuid4().hex}"
+    name_search.add(g.table("part").select("p_partkey", "p_name"), "p_name", index)
+    found = [name_search.find(g.spark, index, "p_name", p).withColumn("pattern", F.lit(p)) for p in ("%BLUE%", "%d gi_m%", "hot%ge%", "%no such%", "%o_t")]
+    return reduce(DataFrame.unionByName, found)
+
+
 PLANS: dict[str, Callable[[League], DataFrame]] = {
     "ball_context": _context,
     "ball_context_streamed": _context_streamed,
@@ -260,6 +269,7 @@ PLANS: dict[str, Callable[[League], DataFrame]] = {
     "coverage_by_tournament": lambda g: lookups.coverage(g.matches),
     "matches_per_year": lambda g: lookups.matches_per_year(g.matches),
     "table_audit": _audit,
+    "name_search": _name_search,
     "xi_rating": lambda g: squads.xi_rating(_squads(g), g.overall_ratings, _venue(g)),
     "match_prediction": lambda g: squads.match_prediction(_squads(g), g.overall_ratings, _venue(g), "home"),
     "batting_features": lambda g: _bat_features(g).drop("season", "tournament"),

@@ -240,7 +240,7 @@ SELECTS = {
  from batting b left join venue_factors using (venue_id) left join tc c using (player_id, innings_id) where b.balls_faced >= 4""",
     "captains_before_match": "|asked as (select match_id, match_date, unnest([team1_id, team2_id]) as team_id from matches)|select a.match_id, a.match_date, a.team_id, a.team_id * 11 as player_id, count(b.innings_id) as innings, coalesce(sum(b.runs), 0)::bigint as runs, coalesce(sum(b.balls_faced), 0)::bigint as balls from asked a left join batting b on b.player_id = a.team_id * 11 and b.match_date < a.match_date group by all",
 }
-
+SELECTS["name_search"] = "select p_partkey, p_name, pattern from part, (values ('%BLUE%'), ('%d gi_m%'), ('hot%ge%'), ('%no such%'), ('%o_t')) x(pattern) where p_name ilike pattern"
 #: A stream of the same balls gives the same scores.
 SELECTS["ball_context_streamed"] = SELECTS["ball_context"]
 
