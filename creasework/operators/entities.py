@@ -6,12 +6,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def known_uuids(seen: DataFrame) -> DataFrame:
+    """(name, known): the uuid of each name that was ever seen with one; the smallest of several."""
+    return seen.where("uuid is not null and name is not null").groupBy("name").agg(F.min("uuid").alias("known"))
+
+
+def resolve_keys(facts: DataFrame, seen: DataFrame, columns: list[str]) -> DataFrame:
+    """facts whose keys are uuids wherever the player was ever seen with one, also in a later ingest than the fact.
+
+    A document's ball has the name as key where its own registry has no uuid. Facts stay as they were written; what is
+    known of the names is joined when they are read, so the order of ingests tells nothing. As in ``resolve_players``.
+    """
+    known = known_uuids(seen)
+    for c in columns:
+        facts = facts.join(known.select(F.col("name").alias(c), F.col("known").alias("_uuid")), c, "left").withColumn(c, F.coalesce("_uuid", c)).select(facts.columns)
+    return facts
+
+
 def resolve_players(seen: DataFrame, by_name: bool = False) -> DataFrame:
     """(uuid, name) sightings to one player each: the uuid where there is one, else the name.
 
     A name without uuid takes the uuid that the name has elsewhere. by_name joins all uuids of a name in one player.
     """
-    known = seen.where("uuid is not null").groupBy("name").agg(F.min("uuid").alias("known"))
+    known = known_uuids(seen)
     d = seen.select("uuid", "name").distinct().join(known, "name", "left")
     key = F.coalesce("known", "name") if by_name else F.coalesce("uuid", "known", "name")
     return d.select(key.alias("player_key"), "uuid", "name")

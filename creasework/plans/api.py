@@ -18,6 +18,8 @@ from creasework.sources.shared import settle
 
 #: Tables that an ingest writes before its matches.
 INGESTED = ("deliveries", "people")
+#: Players of a ball.
+PLAYERS = ["batter_id", "non_striker_id", "bowler_id", "player_out_id"]
 #: Players whose role vectors are all compared with each other; more go by hyperplanes.
 ALL_PAIRS = 100_000
 SCORES = ["s_opener", "s_finisher", "s_anchor", "s_pp_sr", "s_death_sr", "s_chase", "s_pp_bowl", "s_mid_bowl", "s_death_bowl"]
@@ -34,6 +36,8 @@ class Store:
         if name in INGESTED:  # only what an ingest that came to its end has written
             done = self.spark.read.parquet(f"{self.path}/matches").select("batch").distinct()
             d = d.join(F.broadcast(done), "batch", "left_semi").drop("batch")  # a row for each ingest
+        if name == "deliveries":
+            d = entities.resolve_keys(d, self.read("people"), PLAYERS)
         return d
 
     def has(self, name: str) -> bool:

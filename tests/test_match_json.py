@@ -91,6 +91,28 @@ def test_partnerships_keep_all_runs(spark, folder):
     assert p.agg(F.sum("runs")).first()[0] == 30 and p.where("innings_id = 'm1:1'").count() == 2
 
 
+def without(*names):
+    return {"people": {n: u for n, u in PEOPLE.items() if n not in names}}
+
+
+@pytest.mark.parametrize("order", [(0, 1, 2), (2, 0, 1), (1, 2, 0)])
+def test_a_player_has_one_key_whatever_the_order_of_ingests(spark, tmp_path, order):
+    """Players whose uuid only some registries have; their balls have the name as key where it is missing."""
+    docs = [document(dates=["2023-05-01"], registry=without("A1", "B3")), document(dates=["2023-05-02"]), document(dates=["2023-05-03"], registry=without("A1", "A2", "B1"))]
+    store = Store(spark, str(tmp_path / "store"))
+    for i in order:
+        (tmp_path / f"in{i}").mkdir()
+        (tmp_path / f"in{i}" / f"m{i}.json").write_text(json.dumps(docs[i]))
+        store.ingest(str(tmp_path / f"in{i}"), "cup")
+    d = store.read("deliveries").cache()
+    keys = {k for c in ("batter_id", "bowler_id", "non_striker_id", "player_out_id") for (k,) in d.select(c).distinct().collect()}
+    assert keys == {"u0", "u1", "u2", "u3", "u4", None}
+    runs = {r["batter_id"]: (r["n"], r["runs"]) for r in balls.batter_innings(d).groupBy("batter_id").agg(F.count("*").alias("n"), F.sum("runs").alias("runs")).collect()}
+    assert runs == {"u0": (3, 15), "u1": (3, 18), "u3": (3, 18), "u4": (3, 27)}
+    assert d.count() == 30 and d.columns == spark.read.parquet(str(tmp_path / "store" / "deliveries")).drop("batch").columns
+    d.unpersist()
+
+
 def test_store_end_to_end(spark, folder, tmp_path):
     store = Store(spark, str(tmp_path / "store"))
     assert store.all(str(folder), "cup") == {"inserted": 2, "skipped": 4}
