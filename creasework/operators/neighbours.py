@@ -6,7 +6,8 @@ long codes where many vectors lie close together, short ones elsewhere. Each vec
 differ where its products are nearest to zero (probes). All that meet in a bucket are compared exactly, and the best k
 over all buckets stay.
 
-Rows that move are tables * (1 + probes) a vector, whatever their number. Equal vectors are one vector with several ids:
+Rows that move are tables * (1 + probes) a vector, whatever their number; they take the vector along once, to where it
+is compared, and as numbers of the width in which it is given. Equal vectors are one vector with several ids:
 they never meet as pairs, and an id's equals come before others as its nearest. A bucket that stays crowded at the whole
 code is cut in blocks whose pairs are tasks, so nothing in it is dropped. ``similarity.top_similar`` is the exact query.
 Vectors are of one length; zero vectors have similarity 0 with all. An empty frame gives an empty result.
@@ -18,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from creasework.sources.shared import settle
@@ -39,7 +40,7 @@ def _classes(vectors: DataFrame) -> DataFrame:
 
 
 def codes(classes: DataFrame, tables: int, probes: int, seed: int) -> DataFrame:
-    """(t, code, cid, vector, asks): each vector's own code in each table (asks false), and the codes that it asks."""
+    """(t, code, flips, cid): each vector's own code in each table, and its bits by how near to change they are."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         planes: dict[int, np.ndarray] = {}
@@ -50,9 +51,9 @@ def codes(classes: DataFrame, tables: int, probes: int, seed: int) -> DataFrame:
                     planes[t] = _planes(x.shape[1], t, seed)
                 products = x @ planes[t]
                 code = (products > 0) @ (1 << np.arange(BITS - 1, -1, -1))
-                yield pd.DataFrame({"t": t, "code": code, "flips": (np.argsort(np.abs(products), axis=1, kind="stable")[:, : max(probes * 3, 1)]).tolist(), "cid": p["cid"], "vector": p["vector"]})
+                yield pd.DataFrame({"t": t, "code": code, "flips": (np.argsort(np.abs(products), axis=1, kind="stable")[:, : max(probes * 3, 1)]).tolist(), "cid": p["cid"]})
 
-    return classes.select("cid", "vector").mapInPandas(run, "t int, code long, flips array<int>, cid long, vector array<double>")
+    return classes.select("cid", "vector").mapInPandas(run, "t int, code long, flips array<int>, cid long")
 
 
 def bucket_bits(coded: DataFrame, crowd: int) -> DataFrame:
@@ -65,7 +66,7 @@ def bucket_bits(coded: DataFrame, crowd: int) -> DataFrame:
 
 
 def buckets(coded: DataFrame, crowd: int, probes: int) -> DataFrame:
-    """(t, bits, prefix, cid, vector, asks): where each vector lies, and the buckets that it asks as well.
+    """(t, bits, prefix, n, cid, asks, all): where each vector lies, and the buckets that it asks as well.
 
     A beginning is a bucket if it is small enough and the one a bit shorter is not.
     """
@@ -75,13 +76,13 @@ def buckets(coded: DataFrame, crowd: int, probes: int) -> DataFrame:
     leaves = settle(above.select("t", "bits", "prefix", "n"), "leaves")
     leaves_ = F.broadcast(leaves) if leaves.count() <= BROADCAST_CODES else leaves
     spans = F.array(*(F.struct(F.lit(b).alias("bits"), F.shiftright("code", BITS - b).alias("prefix")) for b in range(LEAST_BITS, BITS + 1)))
-    own = coded.select("t", "cid", "vector", "code", "flips", F.explode(spans).alias("x")).select("t", "cid", "vector", "code", "flips", "x.bits", "x.prefix").join(leaves_, ["t", "bits", "prefix"])
+    own = coded.select("t", "cid", "code", "flips", F.explode(spans).alias("x")).select("t", "cid", "code", "flips", "x.bits", "x.prefix").join(leaves_, ["t", "bits", "prefix"])
     # the bits of the own bucket that are nearest to change, the nearest first; the code with one changed is asked
     near = F.slice(F.filter("flips", lambda i: i < F.col("bits")), 1, probes)
-    asked = own.select("t", "cid", "vector", F.explode(near).alias("i"), "code").withColumn("code", F.col("code").bitwiseXOR(F.expr(f"shiftleft(1L, {BITS - 1} - i)")))
-    other = asked.select("t", "cid", "vector", F.explode(spans).alias("x")).select("t", "cid", "vector", "x.bits", "x.prefix").join(leaves_, ["t", "bits", "prefix"])
-    both = own.select("t", "bits", "prefix", "n", "cid", "vector", F.lit(False).alias("asks"))
-    both = settle(both.unionByName(other.select("t", "bits", "prefix", "n", "cid", "vector", F.lit(True).alias("asks"))), "members")
+    asked = own.select("t", "cid", F.explode(near).alias("i"), "code").withColumn("code", F.col("code").bitwiseXOR(F.expr(f"shiftleft(1L, {BITS - 1} - i)")))
+    other = asked.select("t", "cid", F.explode(spans).alias("x")).select("t", "cid", "x.bits", "x.prefix").join(leaves_, ["t", "bits", "prefix"])
+    both = own.select("t", "bits", "prefix", "n", "cid", F.lit(False).alias("asks"))
+    both = settle(both.unionByName(other.select("t", "bits", "prefix", "n", "cid", F.lit(True).alias("asks"))), "members")
     all_ = settle(both.groupBy("t", "bits", "prefix").agg(F.count("*").alias("all")), "sizes")
     return both.join(F.broadcast(all_) if all_.count() <= BROADCAST_CODES else all_, ["t", "bits", "prefix"])
 
@@ -101,7 +102,7 @@ def _blocks(members: DataFrame, block_rows: int) -> DataFrame:
 def nearest_classes(classes: DataFrame, k: int, tables: int, probes: int, crowd: int, seed: int) -> DataFrame:
     """(a, b, similarity) of the k nearest other vectors found for each."""
     coded = settle(codes(classes, tables, probes, seed), "codes")
-    members = _blocks(buckets(coded, crowd, probes), 2 * crowd)
+    members = _blocks(buckets(coded, crowd, probes).join(classes.select("cid", "vector"), "cid"), 2 * crowd)
 
     def compare(p: pd.DataFrame) -> pd.DataFrame:
         x, y = p[p.left].drop_duplicates("cid").sort_values("cid"), p[~p.left].sort_values("cid")
@@ -127,9 +128,14 @@ def _first_ids(vectors: DataFrame, classes: DataFrame, n: int) -> DataFrame:
     return dealt.withColumn("row", row).where(F.col("row") <= n).groupBy("cid").agg(least(F.collect_list("id")).alias("first"))
 
 
+def _numbers(vectors: DataFrame) -> Column:
+    """The vector as it is if it is of floats, which products take as doubles exactly; else as doubles."""
+    return F.col("vector") if vectors.schema["vector"].dataType.simpleString() == "array<float>" else F.col("vector").cast("array<double>")
+
+
 def top_similar(vectors: DataFrame, k: int = 20, tables: int = 12, probes: int = 6, crowd: int = 256, seed: int = 7) -> DataFrame:
     """(id_a, id_b, similarity, rank) of the k nearest others found for each id; similarity to 4 digits, ties by id."""
-    v = settle(vectors.select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector")), "vectors")
+    v = settle(vectors.select(F.col("id").cast("long").alias("id"), _numbers(vectors).alias("vector")), "vectors")
     classes = settle(_classes(v), "classes")
     near = nearest_classes(classes, k, tables, probes, crowd, seed)
     first = settle(_first_ids(v, classes, k + 1), "first_ids")

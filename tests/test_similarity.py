@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from creasework.operators import similarity
+from creasework.operators import neighbours, similarity
 
 
 @pytest.mark.parametrize(("rows", "columns", "digits"), [(40, 300, 2), (40, 300, 0), (30, 60, 1), (5, 10, 1), (1, 81, 4)])
@@ -26,3 +26,10 @@ def test_strips_give_the_neighbours_of_all_pairs(spark):
     got = similarity.top_similar(d, k=5, block_rows=10)
     assert sorted((a, b) for a, b, *_ in got.select("id_a", "id_b").collect()) == sorted((a, int(b)) for a in range(600) for b in best[a])
     assert got.where(F.col("rank") > 5).count() == 0
+
+
+def test_codes_and_buckets_leave_vectors_where_they_are(spark):
+    """Codes and memberships hold ids only; before, each took its vector along."""
+    classes = spark.createDataFrame([(i, [float(i % 7), 1.0, -float(i)]) for i in range(50)], "cid long, vector array<float>")
+    coded = neighbours.codes(classes, 2, 1, 7)
+    assert "vector" not in coded.columns and "vector" not in neighbours.buckets(coded, 8, 1).columns
