@@ -46,8 +46,9 @@ class WordTokens:
     composition may depend on their neighbours; so do texts with special tokens.
     """
 
-    #: Bytes of remembered words and pieces at most; when they are full, memory starts anew.
-    MEMORY = 48_000_000
+    #: Bytes of remembered words and pieces at most. When half of them are full, the older half goes; what is met again
+    #: moves to the newer one first, so that frequent words stay.
+    MEMORY = 96_000_000
     PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
     #: Where Python and the tokenizer agree on letters, digits, white space and lower case.
     SIMPLE = re.compile(r"[\n\t\r\x0b\x0c\x20-\x84\x86-\xa9\xab-\xb1\xb4-\xb8\xbb\xbf-įı-ſ]*")
@@ -56,30 +57,41 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenize = self.tokenizer.model.tokenize
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.bytes = 0
 
+    def _keep(self, piece: str, ids: bytes) -> None:
+        if len(piece) < 64:
+            self.known[piece] = ids
+            self.bytes += 200 + len(ids)
+
     def _piece(self, piece: str) -> bytes:
         signs = piece if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(_BYTE_LEVEL)
-        return array.array("I", [t.id for t in self.tokenizer.model.tokenize(signs)]).tobytes()
+        return array.array("I", [t.id for t in self.tokenize(signs)]).tobytes()
 
     def _learn(self, word: str) -> bytes:
-        """The ids of a word that is not remembered; short ones are remembered, with their pieces."""
-        low, known = word.lower(), self.known
-        pieces = (low,) if low.isalpha() else self.PIECE.findall(low)
+        """The ids of a word that isn't in the newer memory. Its pieces are remembered; a word of several pieces, or with
+        capitals, only when they were known before, as most words are met once."""
+        older = self.older
+        ids = older.get(word)
+        if ids is not None:
+            self._keep(word, ids)
+            return ids
+        low, known, fresh = word.lower(), self.known, False
         found = []
-        for p in pieces:
+        for p in (low,) if low.isalpha() else self.PIECE.findall(low):
             ids = known.get(p)
             if ids is None:
-                ids = self._piece(p)
-                if len(p) < 64:
-                    known[p] = ids
-                    self.bytes += 200 + len(ids)
+                ids = older.get(p)
+                if ids is None:
+                    ids, fresh = self._piece(p), True
+                self._keep(p, ids)
             found.append(ids)
         ids = found[0] if len(found) == 1 else b"".join(found)
-        if len(word) < 64 and word not in known:
-            known[word] = ids
-            self.bytes += 200 + len(ids)
+        if not fresh and word not in known:
+            self._keep(word, ids)
         return ids
 
     def ids(self, text: str | None) -> bytes:
@@ -87,9 +99,8 @@ class WordTokens:
             return b""
         if "<|" in text or not self.SIMPLE.fullmatch(text):
             return array.array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-        if self.bytes > self.MEMORY:
-            self.known.clear()
-            self.bytes = 0
+        if 2 * self.bytes > self.MEMORY:
+            self.known, self.older, self.bytes = {}, self.known, 0
         words = text.split()
         got = list(map(self.known.get, words))
         try:
