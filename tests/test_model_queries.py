@@ -10,8 +10,8 @@ SF = "/root/testdata/sf0.001"
 
 
 def test_parts_follow_the_cores_not_the_rows():
-    """Before, 11 million rows lay in 220 parts, each of them a task at each level of each tree, and 170000 in four."""
-    assert [models.training_parts(n, 12) for n in (0, 1, 10_000, 10_001, 170_000, 11_000_000)] == [1, 1, 1, 2, 12, 12]
+    """Before, 11 million rows lay in 220 parts, each of them a task at each level of each tree."""
+    assert [models.training_parts(n, 12) for n in (0, 1, 50_000, 50_001, 170_000, 11_000_000)] == [1, 1, 1, 2, 4, 12]
     assert models.training_parts(100_000_000, 12) == 25  # no more rows than fit a task
 
 
