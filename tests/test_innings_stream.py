@@ -96,3 +96,53 @@ def test_balls_without_key_or_time_and_null_runs(spark, tmp_path):
 def test_a_store_without_timers_is_refused(spark):
     with pytest.raises(ValueError, match="RocksDB"):
         innings_stream.scores(spark.range(1), "id")
+
+
+def test_a_slot_holds_the_state_of_all_its_innings(spark, timed, tmp_path, monkeypatch):
+    """State has an entry for each slot, not for each innings; scores go on from the overs before, over several batches."""
+    monkeypatch.setattr(innings_stream, "SLOTS", 3, raising=False)
+    want = rows(balls.with_context(timed))
+    second = F.col("match_id") * 60 + F.col("ball_number") * 10
+    for part in range(4):
+        put(timed.where(F.least(F.lit(3), F.floor(second / 650)) == part), tmp_path / "in")
+        run(spark, tmp_path, late="90 seconds")
+        state = innings_stream.stateful_session(spark).read.format("statestore")
+        keys = {name: state.option("stateVarName", name).load(str(tmp_path / "state")).select("key").distinct().count() for name in ("waiting", "score")}
+        assert 1 <= keys["waiting"] <= 3 and 1 <= keys["score"] <= 3
+    assert timed.select("innings_id").distinct().count() > 50
+    put(flush(timed), tmp_path / "in")
+    assert rows(run(spark, tmp_path, late="90 seconds")) == want
+
+
+def test_odd_ids_overs_and_times(spark, tmp_path):
+    """Ids of any text, a null over, numbers beyond int, nested columns; a zoned and a plain time; a ball that comes again with another time."""
+    shape = "innings_id string, innings_number int, ball_number long, over_number int, total_runs int, is_legal boolean, target int, t int, more struct<a: array<int>, b: string>"
+    d = spark.createDataFrame(
+        [
+            ("a\t\"\n", 2, 2**40, None, 1, True, 9, 1, ([1, None], "x\n")),
+            ("a\t\"\n", 2, 2**40 + 1, None, 2, True, 9, 2, None),
+            ("a\t\"\n", 2, 2**40 + 1, 4, 5, True, 9, 3, None),
+            ("a\t\"\n", 2, 2**40 + 2, 4, None, None, 9, 3, ([], None)),
+            ("", 1, 1, -1, 6, True, None, 1, None),
+            ("", 1, 2, -1, 1, True, None, 1, None),
+        ],
+        shape,
+    ).withColumn("bowled_at", F.timestamp_micros(F.col("t") * 1_000_001)).withColumn("plain", F.col("bowled_at").cast("timestamp_ntz")).drop("t")
+    put(d, tmp_path / "in")
+    put(d.limit(1).withColumns({"innings_id": F.lit("end"), "bowled_at": F.lit(FLUSH).cast("timestamp")}), tmp_path / "in")
+    got = run(spark, tmp_path, late="1 second").where("innings_id <> 'end'")
+    first = d.dropDuplicates(["innings_id", "ball_number"])
+    assert sorted((r["innings_id"], r["ball_number"] % 2**20, r["cum_runs"], r["cum_legal"], r["ball_in_over"]) for r in got.collect()) == [("", 1, 6, 1, 1), ("", 2, 7, 2, 2), ("a\t\"\n", 0, 1, 1, 1), ("a\t\"\n", 1, 3, 2, 2), ("a\t\"\n", 2, 3, 2, 0)]
+    assert got.select(*first.columns).exceptAll(d).count() == 0
+
+
+@pytest.mark.parametrize("late", ["1 day", "3 months"])
+def test_times_that_pandas_does_not_hold(spark, tmp_path, late):
+    shape = "innings_id long, innings_number int, ball_number int, over_number int, total_runs int, is_legal boolean, target int, year int"
+    d = spark.createDataFrame([(1, 1, 1, 1, 4, True, None, 3000), (1, 1, 2, 1, 1, True, None, 3000), (2, 1, 1, 1, 2, True, None, 2000), (1, 1, 3, 1, 1, True, None, 3000), (3, 1, 1, 1, 1, True, None, 1500)], shape)
+    d = d.withColumn("bowled_at", F.make_timestamp("year", F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.col("ball_number")))
+    put(d.where("ball_number < 3"), tmp_path / "in")
+    run(spark, tmp_path, late=late)
+    put(d.where("ball_number = 3"), tmp_path / "in")
+    got = run(spark, tmp_path, late=late)
+    assert sorted((r["innings_id"], r["ball_number"], r["cum_runs"], r["bowled_at"].year) for r in got.collect()) == [(1, 1, 4, 3000), (1, 2, 5, 3000), (1, 3, 6, 3000), (2, 1, 2, 2000)]
