@@ -21,6 +21,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyarrow import csv
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -58,6 +59,17 @@ def _unpacked(entries: Iterable[tuple[bytes]], schema: pa.Schema) -> pa.Table:
     return pa.concat_tables([schema.empty_table(), *(pa.ipc.open_stream(e).read_all() for (e,) in entries)])
 
 
+def _parsed(lines: pd.Series) -> pa.Table:
+    """Balls from lines; JSON holds no raw tabs and newlines."""
+    text = "\n".join(lines).encode()
+    return csv.read_csv(
+        pa.BufferReader(text),
+        csv.ReadOptions(use_threads=False, block_size=len(text) + 1, column_names=_BALL.names),
+        csv.ParseOptions(delimiter="\t", quote_char=False),
+        csv.ConvertOptions(column_types=_BALL, strings_can_be_null=False),
+    )
+
+
 def _firsts(*keys: np.ndarray) -> np.ndarray:
     """Where groups of equal keys, which stand together, begin."""
     return np.flatnonzero(np.r_[True, np.logical_or.reduce([k[1:] != k[:-1] for k in keys])])
@@ -85,12 +97,13 @@ class Score(StatefulProcessor):
         self.due = handle.getValueState("due", "at_ms long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        came, overs = pd.concat(rows), _unpacked(self.score.get(), _OVER).to_pandas()
+        came, overs = pa.concat_tables([_parsed(d["line"]) for d in rows]), _unpacked(self.score.get(), _OVER).to_pandas()
         if len(overs):
-            came = came[~(came["ball_number"] <= came["innings"].map(overs.groupby("innings")["ball_number"].max()))]
+            last = came["innings"].to_pandas().map(overs.groupby("innings")["ball_number"].max())
+            came = came.filter(pa.array(~(came["ball_number"].to_pandas() <= last)))
         if len(came):
-            self.waiting.appendList(_packed(pa.table([pa.array(came[f.name], f.type) for f in _BALL], schema=_BALL)))
-            first, due = min(int(came["at_ms"].min()), self.far_ms), self.due.get()
+            self.waiting.appendList(_packed(came))
+            first, due = min(int(came["at_ms"].to_numpy().min()), self.far_ms), self.due.get()
             if due is None or first < due[0]:
                 if due is not None:
                     self.handle.deleteTimer(due[0])
@@ -153,18 +166,19 @@ def scores(deliveries: DataFrame, time: str, late: str = "10 minutes", pause_sec
     # in the state times are numbers and names are short
     is_time = {f.name: isinstance(f.dataType, T.TimestampType) for f in given}
     short = T.StructType([T.StructField(str(i), T.LongType() if is_time[f.name] else f.dataType) for i, f in enumerate(given)])
-    moved = d.select(
-        F.pmod(F.xxhash64("innings_id"), F.lit(SLOTS)).alias("slot"),
-        F.col("innings_id").cast("string").alias("innings"),
-        # a null over is one of its own, below all integers
-        F.coalesce(F.col("over_number").cast("int").cast("long"), F.lit(-(2**40))).alias("over_number"),
-        F.col("ball_number").cast("long").alias("ball_number"),
-        F.ceil(F.unix_micros(F.col(time).cast("timestamp")) / 1000).cast("long").alias("at_ms"),
-        F.coalesce(F.col("total_runs").cast("long"), F.lit(0)).alias("runs"),
-        F.coalesce("is_legal", F.lit(False)).cast("long").alias("legal"),
-        F.to_json(F.struct(*((F.unix_micros(f.name) if is_time[f.name] else F.col(f.name)).alias(str(i)) for i, f in enumerate(given))), _MICROS).alias("ball"),
-        "_time",
+    json = F.to_json(F.struct(*((F.unix_micros(f.name) if is_time[f.name] else F.col(f.name)).alias(str(i)) for i, f in enumerate(given))), _MICROS)
+    # a line a ball, as PySpark takes rows apart value by value; a null over is one of its own, below all integers
+    line = F.concat_ws(
+        "\t",
+        F.to_json(F.array(F.col("innings_id").cast("string"))),
+        F.coalesce(F.col("over_number").cast("int").cast("long"), F.lit(-(2**40))),
+        F.col("ball_number").cast("long"),
+        F.ceil(F.unix_micros(F.col(time).cast("timestamp")) / 1000).cast("long"),
+        F.coalesce(F.col("total_runs").cast("long"), F.lit(0)),
+        F.coalesce("is_legal", F.lit(False)).cast("long"),
+        json,
     )
+    moved = d.select(F.pmod(F.xxhash64("innings_id"), F.lit(SLOTS)).alias("slot"), line.alias("line"), "_time")
     out = moved.groupBy("slot").transformWithStateInPandas(Score(pause_seconds * 1000, far_ms), "ball string, cum_runs long, cum_legal long, ball_in_over long", "append", "EventTime")
     ball = [(F.timestamp_micros(f"ball.{i}") if is_time[f.name] else F.col(f"ball.{i}")).alias(f.name) for i, f in enumerate(given)]
     return balls.with_rates(out.withColumn("ball", F.from_json("ball", short, _MICROS)).select(*ball, "cum_runs", "cum_legal", "ball_in_over"))
